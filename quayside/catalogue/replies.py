@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from quayside.catalogue.registry import DOCUMENT_ATTACHMENTS_SQL, EVENT_CELLS_SQL, document_attachments, money, query, table
+from quayside.catalogue.registry import DOCUMENT_ATTACHMENTS_SQL, EVENT_CELLS_SQL, document_attachments, map_text, money, query, table
 from quayside.operators import replies
 from quayside.plans import extract as extract_plan
 from quayside.plans.diagnostics import retry_failed as retry_plan
@@ -41,10 +41,7 @@ _ALL_SQL = f"""
 
 
 def _records(parsed):
-    from quayside.catalogue.registry import map_text
-
-    records = replies.records_from_replies(parsed)
-    return records.join(parsed.select("attachment_id", "strategy"), "attachment_id").select(
+    return replies.records_from_replies(parsed, ["strategy"]).select(
         "attachment_id", "record_pos", "region", map_text("dynamic_data").alias("cells"), "strategy"
     )
 

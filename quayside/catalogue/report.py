@@ -9,7 +9,7 @@ from quayside.plans.report import report as report_plan
 
 
 def line_report_records(spark, sf):
-    """Line items as records of their supplier's nation."""
+    """Line items as records of their supplier's nation; places are classified before the join."""
     size = F.col("p_size").cast("string")
     data = F.create_map(
         F.lit("name"), F.col("p_name"), F.lit("dwt"), F.when(F.col("p_size") > 25, size).otherwise(F.lit(" - ")),
@@ -18,11 +18,11 @@ def line_report_records(spark, sf):
     )
     return (
         table(spark, sf, "lineitem").join(table(spark, sf, "part"), F.col("l_partkey") == F.col("p_partkey"))
-        .join(supplier_places(spark, sf), F.col("l_suppkey") == F.col("s_suppkey"))
+        .join(with_zone(supplier_places(spark, sf)), F.col("l_suppkey") == F.col("s_suppkey"))
         .select(
             F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").alias("record_id"),
             F.col("s_nationkey").alias("email_id"), F.col("s_suppkey").alias("attachment_id"), F.col("s_name").alias("filename"),
-            F.col("l_orderkey").alias("record_pos"), data.alias("dynamic_data"), "region",
+            F.col("l_orderkey").alias("record_pos"), data.alias("dynamic_data"), "region", "zone",
         )
     )
 
@@ -48,7 +48,7 @@ _CELLS_SQL = f"""
                unnest([a1, a2, a3, a4]) AS active FROM groups)
     WHERE active""")
 def active_columns(spark, sf):
-    cells = report.with_cells(with_zone(line_report_records(spark, sf)))
+    cells = report.with_cells(line_report_records(spark, sf))
     summary = report.zone_summary(cells, ["email_id", "zone"])
     return report.active_columns(summary, ["email_id", "zone"]).withColumn("active", F.lit(True))
 
@@ -79,7 +79,7 @@ _FRAGMENTS_SQL = f"""
                     || '</tr></thead><tbody>' ELSE '' END
                || string_agg(html, '' ORDER BY rn)
                || CASE WHEN fragment = (n_records - 1) // 1000 THEN '</tbody></table>' ELSE '' END AS html
-        FROM rows GROUP BY ALL)"""
+        FROM rows GROUP BY email_id, zone, fragment, n_records, a1, a2, a3, a4)"""
 
 
 @query(f"WITH {_FRAGMENTS_SQL} SELECT email_id, zone, CAST(fragment AS BIGINT) AS fragment, n_records, md5(html) AS html_md5, length(html) AS n_chars FROM fragments")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from quayside.functions.text import ColumnLike, col
+from quayside.functions.text import ColumnLike, col, let
 
 # --- Fixed values: the accepted e-mail date form, `Mon, 1 Jan 2024 10:00:00 +0530` ---------
 _MONTHS = ["jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec"]
@@ -18,19 +18,20 @@ _MAIL_DATE = (
 def mail_date(c: ColumnLike) -> Column:
     """Timestamp of an e-mail date header; null when the text has another form."""
     text = col(c)
+    fields = F.split(F.regexp_replace(text, _MAIL_DATE, "$1|$2|$3|$4|$5|$6|$7|$8"), r"\|")
+    return F.when(text.rlike(_MAIL_DATE), let(fields, _instant))
 
-    def group(i: int) -> Column:
-        return F.regexp_extract(text, _MAIL_DATE, i)
 
+def _instant(field: Column) -> Column:
+    """Timestamp from day, month, year, time, sign and the offset's hours, minutes, seconds."""
     def number(i: int) -> Column:
-        return F.coalesce(F.nullif(group(i), F.lit("")).try_cast("long"), F.lit(0))
-
-    month = F.array_position(F.array(*[F.lit(m) for m in _MONTHS]), F.lower(group(2))).cast("string")
-    local = F.concat(group(3), F.lit("-"), month, F.lit("-"), group(1), F.lit(" "), group(4), F.lit("+00:00"))
-    offset = number(6) * 3600 + number(7) * 60 + number(8)
-    signed = F.when(group(5) == "-", -offset).otherwise(offset)
-    parsed = F.timestamp_seconds(F.unix_seconds(local.try_cast("timestamp")) - signed)
-    return F.when(text.rlike(_MAIL_DATE) & (offset < 86400), parsed)
+        return F.coalesce(F.nullif(field[i], F.lit("")), F.lit("0")).cast("long")
+
+    month = F.array_position(F.array(*[F.lit(m) for m in _MONTHS]), F.lower(field[1])).cast("string")
+    local = F.concat(field[2], F.lit("-"), month, F.lit("-"), field[0], F.lit(" "), field[3], F.lit("+00:00"))
+    offset = number(5) * 3600 + number(6) * 60 + number(7)
+    signed = F.when(field[4] == "-", -offset).otherwise(offset)
+    return F.when(offset < 86400, F.timestamp_seconds(F.unix_seconds(local.try_cast("timestamp")) - signed))
 
 
 def received_at(c: ColumnLike, now: Column | None = None) -> Column:

@@ -1,8 +1,8 @@
 """Text expressions. All run inside the JVM.
 
 Whitespace is the Unicode notion: Java's ``\\s`` under ``(?U)`` plus the four ASCII
-separators 1C-1F. Patterns avoid re-scanning: a trailing run is only tried at its start,
-and tag removal stops at the last ``>``, so one very long text stays linear.
+separators 1C-1F. Trimming takes a character set, not a pattern, and tag removal stops at
+the last ``>``, so one very long text stays linear.
 """
 
 from __future__ import annotations
@@ -16,6 +16,12 @@ ColumnLike = Column | str
 
 _SPACE = r"[\s\x1C-\x1F]"
 
+# --- Fixed values: code points that count as whitespace -----------------------------------
+WHITESPACE = "".join(map(chr, [
+    *range(0x09, 0x0E), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B),
+    0x2028, 0x2029, 0x202F, 0x205F, 0x3000,
+]))
+
 # --- Fixed values: entities replaced, in this order --------------------------------------
 _ENTITIES = [("&nbsp;", " "), ("&amp;", "&"), ("&lt;", "<"), ("&gt;", ">")]
 
@@ -30,7 +36,7 @@ def let(value: Column, body) -> Column:
 
 
 def strip(c: ColumnLike) -> Column:
-    return F.regexp_replace(col(c), rf"(?U)^{_SPACE}+|(?<!{_SPACE}){_SPACE}+\z", "")
+    return F.btrim(col(c), F.lit(WHITESPACE))
 
 
 def is_blank(c: ColumnLike) -> Column:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from itertools import groupby
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -20,31 +21,48 @@ def _first_true(cases: list[tuple[Column, str]]) -> Column:
     return chain.otherwise(F.lit(UNSPECIFIED))
 
 
-def zone_of(region: ColumnLike, mode: str = "compat", rules: Rules = ZONE_RULES) -> Column:
-    """Zone of a free-text place.
+def _touches(place: Column, keywords: list[str]) -> Column:
+    """Some keyword is inside the place, or has the place inside it.
+
+    The first test loops over a constant array: the same tests written out would make one method
+    too long for the JVM to compile. The second takes all keywords as one text, one per line; a
+    place with a line break is inside no keyword.
+    """
+    inside = F.exists(F.array(*[F.lit(k) for k in keywords]), lambda k: F.contains(place, k))
+    around = F.contains(F.lit("\n".join(keywords)), place) & ~F.contains(place, F.lit("\n"))
+    return inside | around
+
+
+def place_of(region: ColumnLike) -> Column:
+    return F.lower(strip(region))
+
+
+def zone_of_place(place: ColumnLike, mode: str = "compat", rules: Rules = ZONE_RULES) -> Column:
+    """Zone of a trimmed, lower-cased place.
 
-    ``compat``: the first rule, in priority order, whose keyword is inside the text or has the
-    text inside it. Texts shorter than a keyword and texts longer than it cannot both be
-    decided by one test, hence two ``contains`` per rule.
+    ``compat``: the first rule, in priority order, that touches the place. Neighbouring rules of
+    one zone are decided together.
     ``word``: the longest keyword that occurs as whole words.
     """
-    text = col(region)
+    text = col(place)
     if mode == "compat":
-        ordered = sorted(rules)
-
-        def decide(r: Column) -> Column:
-            return _first_true([(F.contains(r, F.lit(k)) | F.contains(F.lit(k), r), z) for _, k, z in ordered])
-    elif mode == "word":
+        runs = groupby(sorted(rules), key=lambda rule: rule[2])
+        return _first_true([(_touches(text, [k for _, k, _ in run]), zone) for zone, run in runs])
+    if mode == "word":
         ordered = sorted(rules, key=lambda rule: (-len(rule[1]), rule[0]))
+        return _first_true([(text.rlike(rf"(?U)(?<!\w){re.escape(k)}(?!\w)"), z) for _, k, z in ordered])
+    raise ValueError(f"unknown mode {mode!r}")
 
-        def decide(r: Column) -> Column:
-            return _first_true([
-                (r.rlike(rf"(?U)(?<!\w){re.escape(k)}(?!\w)"), z) for _, k, z in ordered
-            ])
-    else:
-        raise ValueError(f"unknown mode {mode!r}")
-    found = let(F.lower(strip(text)), decide)
-    return F.when(text.isNull() | (text == ""), F.lit(UNSPECIFIED)).otherwise(found)
+
+def zone_or_default(region: ColumnLike, zone: Column) -> Column:
+    """A missing or empty region has no zone; one of blanks only has been matched."""
+    text = col(region)
+    return F.when(text.isNull() | (text == ""), F.lit(UNSPECIFIED)).otherwise(zone)
+
+
+def zone_of(region: ColumnLike, mode: str = "compat", rules: Rules = ZONE_RULES) -> Column:
+    """Zone of a free-text region."""
+    return zone_or_default(region, let(place_of(region), lambda place: zone_of_place(place, mode, rules)))
 
 
 def zone_position(zone: ColumnLike) -> Column:

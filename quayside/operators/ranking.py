@@ -7,6 +7,8 @@ many tasks by sorting the whole table instead of one window partition per group.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -32,16 +34,21 @@ def recent_per_job(events: DataFrame, n: int = RECENT_EVENTS) -> DataFrame:
     return top_n(events, ["job_id"], [F.col("seq").desc()], n)
 
 
-def number_rows(df: DataFrame, by: list[str], order: list[Column], name: str = "row_index") -> DataFrame:
+def number_rows(
+    df: DataFrame, by: list[str], order: list[Column], name: str = "row_index",
+    then: Callable[[DataFrame], DataFrame] | None = None,
+) -> DataFrame:
     """Exact 1-based row number within each group, whatever the group sizes.
 
     Rows are range-partitioned by group and order, so a group holding a third of the table
     covers a third of the partitions. A row's number is its place in its partition plus the
     group's rows in earlier partitions; those counts are one row per group and partition.
     The sorted rows are pinned, because both passes must see the same placement.
-    ``order`` should end in a unique column.
+    ``order`` should end in a unique column. ``then`` adds row-wise columns after the sort:
+    sorting samples its input first, so costly columns made before it are computed twice.
     """
-    placed = pin(df.orderBy(*by, *order).withColumn("_at", F.monotonically_increasing_id())).withColumn(
+    ordered = df.orderBy(*by, *order)
+    placed = pin((then(ordered) if then else ordered).withColumn("_at", F.monotonically_increasing_id())).withColumn(
         "_slice", F.shiftright("_at", 33)
     )
     runs = placed.groupBy(*by, "_slice").agg(F.min("_at").alias("_first"), F.count(F.lit(1)).alias("_n"))
@@ -54,7 +61,7 @@ def number_rows(df: DataFrame, by: list[str], order: list[Column], name: str = "
     for c in by:
         same_run = same_run & F.col(c).eqNullSafe(F.col(f"_by_{c}"))
     return placed.join(starts, same_run).select(
-        *df.columns, (F.col("_at") - F.col("_first") + F.col("_before") + 1).alias(name)
+        *[c for c in placed.columns if c not in ("_at", "_slice")], (F.col("_at") - F.col("_first") + F.col("_before") + 1).alias(name)
     )
 
 

@@ -162,24 +162,24 @@ def parsed_attempts(resolved: DataFrame, on_bad: str = "reject") -> DataFrame:
     )
 
 
-def _elements(parsed: DataFrame) -> DataFrame:
-    return parsed.select("attachment_id", F.posexplode("elements").alias("record_pos", "element"))
+def _elements(parsed: DataFrame, keep: list[str] | None = None) -> DataFrame:
+    return parsed.select("attachment_id", *(keep or []), F.posexplode("elements").alias("record_pos", "element"))
 
 
 def rejected_elements(parsed: DataFrame) -> DataFrame:
     return _elements(parsed).where(~is_object(F.col("element")))
 
 
-def records_from_replies(parsed: DataFrame) -> DataFrame:
+def records_from_replies(parsed: DataFrame, keep: list[str] | None = None) -> DataFrame:
     """One record row per object element; region split off, keys normalised."""
-    raw = _elements(parsed).where(is_object(F.col("element"))).withColumn(
+    raw = _elements(parsed, keep).where(is_object(F.col("element"))).withColumn(
         "_m", F.from_json("element", "map<string,string>")
     )
     region, rest = split_region("_m")
     return raw.select(
         stable_id("attachment_id", "record_pos").alias("record_id"), "attachment_id", "record_pos",
         let(rest, normalise_keys).alias("dynamic_data"), region.alias("region"),
-        F.lit(False).alias("is_validated"),
+        F.lit(False).alias("is_validated"), *(keep or []),
     )
 
 

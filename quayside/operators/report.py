@@ -62,12 +62,19 @@ def head_html(zone: Column, active: Column, columns: Columns = REPORT_COLUMNS) -
 
 
 def numbered_cells(records: DataFrame, columns: Columns = REPORT_COLUMNS) -> DataFrame:
-    """Records with zone, cells, number within the zone and stripe."""
-    cells = with_cells(with_zone(records), columns).select(
-        "email_id", "zone", "attachment_id", "record_pos", "record_id", source_key().alias("_source"), "cells", "filled"
+    """Records with zone, cells, number within the zone and stripe.
+
+    A ``zone`` column that is already there is used as it is: classify places before joining
+    them to their records where that is possible.
+    """
+    zoned = (records if "zone" in records.columns else with_zone(records)).select(
+        "email_id", "zone", "attachment_id", "record_pos", "record_id", source_key().alias("_source"), "dynamic_data"
     )
     order = [F.col("_source"), F.col("attachment_id"), F.col("record_pos"), F.col("record_id")]
-    return number_rows(cells, ["email_id", "zone"], order).drop("_source").withColumn("stripe", stripe("row_index"))
+    numbered = number_rows(
+        zoned, ["email_id", "zone"], order, then=lambda df: with_cells(df, columns).drop("dynamic_data", "_source")
+    )
+    return numbered.withColumn("stripe", stripe("row_index"))
 
 
 def report_fragments(
@@ -132,4 +139,5 @@ def report_documents(fragments: DataFrame, intro: str = DEFAULT_INTRO) -> DataFr
 
 def zone_markers(records: DataFrame) -> DataFrame:
     """Map markers per e-mail: zone, position and count."""
-    return in_zone_order(zone_counts(with_zone(records), ["email_id"]), ["email_id"])
+    zoned = records if "zone" in records.columns else with_zone(records)
+    return in_zone_order(zone_counts(zoned, ["email_id"]), ["email_id"])

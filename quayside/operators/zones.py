@@ -7,15 +7,21 @@ from pyspark.sql import functions as F
 
 from quayside import config_tables
 from quayside.config_tables import UNSPECIFIED, ZONE_RULES
-from quayside.functions.text import strip
-from quayside.functions.zones import Rules, zone_of, zone_position
+from quayside.functions.zones import Rules, place_of, zone_of_place, zone_or_default, zone_position
+from quayside.session import pin
 
 BROADCAST_RULES = 20_000
+BROADCAST_PLACES = 200_000
+BROADCAST_CHARS = 20_000_000
 
 
 def with_zone(df: DataFrame, region: str = "region", mode: str = "compat", rules: Rules = ZONE_RULES) -> DataFrame:
-    """Add ``zone`` by the fixed dictionary, row by row in the scan stage."""
-    return df.withColumn("zone", zone_of(region, mode, rules))
+    """Add ``zone`` by the fixed dictionary, row by row in the scan stage: nothing is shuffled.
+
+    The trimmed place is a column of its own, so that it is computed once per row.
+    """
+    placed = df.withColumn("_place", place_of(region))
+    return placed.withColumn("zone", zone_or_default(region, zone_of_place("_place", mode, rules))).drop("_place")
 
 
 def match_rules(
@@ -26,8 +32,10 @@ def match_rules(
     Each distinct text is matched once. Up to ``broadcast_rules`` rules (counted first) are
     shipped to every task. A larger table is matched by equality instead: a keyword inside the
     text equals one of the text's substrings, a text inside a keyword one of the keyword's.
+    The matched texts are measured too: a small set goes to the rows by broadcast, a large one
+    meets them in a shuffled join.
     """
-    text = F.lower(strip(F.col(region)))
+    text = place_of(region)
     places = df.where(F.col(region) != "").select(text.alias("_text")).distinct()
     rules = rules.select("priority", "keyword", "zone")
     if rules.limit(broadcast_rules + 1).count() <= broadcast_rules:
@@ -35,7 +43,10 @@ def match_rules(
         hits = places.join(F.broadcast(rules), two_way).select("_text", "priority", "zone")
     else:
         hits = _hits_by_equality(places, rules)
-    best = hits.groupBy("_text").agg(F.min_by("zone", "priority").alias("_zone"))
+    best = pin(hits.groupBy("_text").agg(F.min_by("zone", "priority").alias("_zone")))
+    n, chars = best.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.length("_text")), F.lit(0))).first()
+    if n <= BROADCAST_PLACES and chars <= BROADCAST_CHARS:
+        best = F.broadcast(best)
     return (
         df.withColumn("_text", F.when(F.col(region) != "", text))
         .join(best, "_text", "left")

@@ -10,6 +10,7 @@ from quayside.operators.counts import counts_report, error_details, error_previe
 from quayside.operators.merge import replace_children
 from quayside.operators.replies import records_from_replies, retry_results
 from quayside.operators.select import only_errors
+from quayside.session import pin
 
 
 class Diagnostics(NamedTuple):
@@ -36,7 +37,7 @@ class Retried(NamedTuple):
 def retry_failed(attachments: DataFrame, records: DataFrame, replies: DataFrame) -> Retried:
     """Replace the records of failed attachments whose retry gave any."""
     failed = only_errors(attachments).select("attachment_id")
-    again = retry_results(replies.join(failed, "attachment_id", "left_semi"))
+    again = pin(retry_results(replies.join(failed, "attachment_id", "left_semi")))
     new_records = records_from_replies(again)
     marked, snapshot = replace_children(attachments, records, new_records)
     return Retried(marked, snapshot, new_records)

@@ -11,6 +11,7 @@ from quayside.operators.merge import apply_extraction
 from quayside.operators.replies import (
     build_requests, parsed_attempts, records_from_replies, rejected_elements, resolve_attempts,
 )
+from quayside.session import pin
 
 # --- Fixed values: markers around the text in a request -------------------------------------
 REQUEST_HEAD = "Return a JSON array with one object per record found in the text below.\n\nTEXT TO PARSE:\n"
@@ -34,7 +35,12 @@ def answered(attachments: DataFrame, answer, head: str = REQUEST_HEAD, tail: str
 
 
 def extract(attachments: DataFrame, replies: DataFrame, compat: bool = True, on_bad: str = "reject") -> Extracted:
-    parsed = parsed_attempts(resolve_attempts(replies, compat=compat), on_bad)
+    """Records, attachments with their new status, and elements that were no objects.
+
+    All three come from the parsed replies, so these are pinned: parsing leaves the JVM and is
+    not to run three times.
+    """
+    parsed = pin(parsed_attempts(resolve_attempts(replies, compat=compat), on_bad))
     failed = F.col("status") == "error"
     return Extracted(
         records_from_replies(parsed.where(~failed)),

@@ -12,7 +12,7 @@ from quayside.operators.joins import without_removed
 from quayside.operators.merge import merge_emails
 from quayside.operators.ranking import first_n_attachments
 from quayside.operators.select import from_sender, subject_contains
-from quayside.sources.messages import explode_parts, message_attachments, message_emails
+from quayside.sources.messages import explode_parts, message_attachments, message_emails, with_headers
 
 
 class Ingested(NamedTuple):
@@ -24,12 +24,13 @@ def ingest(
     messages: DataFrame, sender: str | None = None, subject: str | None = None, first_n: int = FIRST_N_ATTACHMENTS
 ) -> Ingested:
     """E-mails and their first attachments from (path, content) rows."""
-    parts = explode_parts(messages)
+    headed = with_headers(messages)
     if sender is not None:
-        parts = from_sender(parts, sender)
+        headed = from_sender(headed, sender)
     if subject is not None:
-        parts = subject_contains(parts, subject)
-    return Ingested(message_emails(parts), first_n_attachments(message_attachments(parts), first_n))
+        headed = subject_contains(headed, subject)
+    chosen = messages if sender is None and subject is None else headed.select("path", "content")
+    return Ingested(message_emails(headed), first_n_attachments(message_attachments(explode_parts(chosen)), first_n))
 
 
 class Snapshot(NamedTuple):

@@ -11,10 +11,12 @@ from collections.abc import Iterator
 from email import message_from_bytes
 from email.header import decode_header
 from email.message import Message
+from email.parser import BytesHeaderParser
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quayside.functions.dates import received_at
 from quayside.functions.ids import stable_id
@@ -25,9 +27,10 @@ from quayside.operators.select import drop_blank_text
 MESSAGE_TYPES = ["message/rfc822", "message/delivery-status"]
 
 FILE_SCHEMA = "path string, modificationTime timestamp, length long, content binary"
+HEADERS = ["message_id", "subject", "sender", "date_header"]
 PART_SCHEMA = (
-    "path string, message_id string, subject string, sender string, date_header string, part_index int, "
-    "content_type string, filename string, leaves array<struct<content_type:string,text:string>>"
+    "path string, message_id string, part_index int, content_type string, filename string, "
+    "leaves array<struct<content_type:string,text:string>>"
 )
 
 
@@ -86,16 +89,18 @@ def _attached(part: Message, filename: str) -> Message | None:
     return message_from_bytes(data) if data else None
 
 
+def _message_id(message: Message, path: str) -> str:
+    return _clean(str(message.get("Message-ID", path)))
+
+
 def _parts(path: str, content: bytes) -> Iterator[tuple]:
     message = message_from_bytes(content)
-    head = (
-        path, _clean(str(message.get("Message-ID", path))), _header(message.get("Subject")),
-        _header(message.get("From")), _clean(str(message.get("Date", ""))),
-    )
+    message_id = _message_id(message, path)
     for index, part in enumerate(message.walk()):
         filename = _header(part.get_filename())
         inner = _attached(part, filename)
-        yield (*head, index, part.get_content_type(), filename, list(_leaves(inner)) if inner is not None else [])
+        leaves = list(_leaves(inner)) if inner is not None else []
+        yield path, message_id, index, part.get_content_type(), filename, leaves
 
 
 def _parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -105,8 +110,32 @@ def _parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(rows, columns=names)
 
 
+def _header_block(content: Column) -> Column:
+    """Bytes up to the first empty line; the body stays in the JVM."""
+    text = content.cast("string")
+    return F.substring_index(F.substring_index(text, "\r\n\r\n", 1), "\n\n", 1).cast("binary")
+
+
+@F.pandas_udf(T.StructType([T.StructField(name, T.StringType()) for name in HEADERS]))
+def _headers(paths: pd.Series, blocks: pd.Series) -> pd.DataFrame:
+    parser = BytesHeaderParser()
+    rows = []
+    for path, block in zip(paths, blocks):
+        head = parser.parsebytes(block)
+        rows.append((
+            _message_id(head, path), _header(head.get("Subject")), _header(head.get("From")), _clean(str(head.get("Date", ""))),
+        ))
+    return pd.DataFrame(rows, columns=HEADERS)
+
+
 # --- DataFrame level --------------------------------------------------------------------------
 
+def with_headers(messages: DataFrame) -> DataFrame:
+    """Add the decoded headers to (path, content) rows. Bodies are not parsed for this, so
+    messages can be chosen by sender or subject before the full parse."""
+    return messages.withColumn("_h", _headers("path", _header_block(F.col("content")))).select(*messages.columns, "_h.*")
+
+
 def explode_parts(messages: DataFrame) -> DataFrame:
     """One row per MIME part of (path, content) rows, in walk order."""
     return messages.select("path", "content").mapInPandas(_parse, PART_SCHEMA)
@@ -125,9 +154,9 @@ def part_text(parts: DataFrame) -> DataFrame:
     return parts.withColumn("raw_text", join_non_empty("\n\n", texts)).drop("leaves")
 
 
-def message_emails(parts: DataFrame) -> DataFrame:
-    """One e-mail row per message; the root part stands for its message."""
-    return parts.where(F.col("part_index") == 0).select(
+def message_emails(headed: DataFrame) -> DataFrame:
+    """One e-mail row per message of ``with_headers``."""
+    return headed.select(
         stable_id("message_id").alias("email_id"), "message_id", "subject", "sender",
         received_at("date_header").alias("date_received"), F.lit("fetching").alias("status"),
         F.current_timestamp().alias("created_at"),
