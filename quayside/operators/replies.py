@@ -70,10 +70,14 @@ def _recover(reply: str | None, mode: str) -> tuple[str, list]:
 
 
 def _element_json(item) -> str:
-    """Element as JSON with every value as text, in Python's ``str`` form; the region keeps its type."""
-    if isinstance(item, dict):
-        item = {k: v if isinstance(v, str) or k == "region" else str(v) for k, v in item.items()}
-    return json.dumps(item)
+    """Element as JSON with every value as text, in Python's ``str`` form; the region keeps its type.
+    One nested too deeply to write becomes ``null``, which is no object and so a reject."""
+    try:
+        if isinstance(item, dict):
+            item = {k: v if isinstance(v, str) or k == "region" else str(v) for k, v in item.items()}
+        return json.dumps(item)
+    except RecursionError:
+        return "null"
 
 
 def _parser(mode: str):
@@ -85,7 +89,8 @@ def _parser(mode: str):
             "elements": [[_element_json(item) for item in items] for _, items in found],
         })
 
-    return parse
+    # Keeps the optimizer from parsing again in every filter and projection on the result.
+    return parse.asNondeterministic()
 
 
 def parse_reply(content: ColumnLike, mode: str = "all") -> Column:

@@ -12,25 +12,57 @@ from quayside.operators.joins import without_removed
 from quayside.operators.merge import merge_emails
 from quayside.operators.ranking import first_n_attachments
 from quayside.operators.select import from_sender, subject_contains
+from quayside.session import pin
 from quayside.sources.messages import explode_parts, message_attachments, message_emails, with_headers
 
 
+BROADCAST_PATHS = 100_000
+
+
 class Ingested(NamedTuple):
     emails: DataFrame
     attachments: DataFrame
 
 
-def ingest(
-    messages: DataFrame, sender: str | None = None, subject: str | None = None, first_n: int = FIRST_N_ATTACHMENTS
-) -> Ingested:
-    """E-mails and their first attachments from (path, content) rows."""
+def _chosen(messages: DataFrame, sender: str | None, subject: str | None) -> DataFrame:
     headed = with_headers(messages)
     if sender is not None:
         headed = from_sender(headed, sender)
     if subject is not None:
         headed = subject_contains(headed, subject)
-    chosen = messages if sender is None and subject is None else headed.select("path", "content")
-    return Ingested(message_emails(headed), first_n_attachments(message_attachments(explode_parts(chosen)), first_n))
+    return headed
+
+
+def superseded_paths(heads: DataFrame) -> DataFrame:
+    """Paths whose message id comes again under a later path."""
+    ids = heads.select("path", "message_id")
+    repeated = ids.groupBy("message_id").agg(F.max("path").alias("_last"), F.count(F.lit(1)).alias("_n")).where("_n > 1")
+    return ids.join(repeated, "message_id").where(F.col("path") < F.col("_last")).select("path")
+
+
+def without_paths(messages: DataFrame, paths: DataFrame, limit: int = BROADCAST_PATHS) -> DataFrame:
+    """Leave out messages by path. Few paths (counted first) go to the messages; only more than
+    that make the message bodies travel."""
+    paths = pin(paths)
+    n = paths.limit(limit + 1).count()
+    if n == 0:
+        return messages
+    return messages.join(F.broadcast(paths) if n <= limit else paths, "path", "left_anti")
+
+
+def ingest(
+    messages: DataFrame, sender: str | None = None, subject: str | None = None, first_n: int = FIRST_N_ATTACHMENTS
+) -> Ingested:
+    """E-mails and their first attachments from (path, content) rows.
+
+    The headers are read first and pinned, as they are small and used three times: for the
+    e-mail rows, for the choice of messages and for repeats of a message id, where the first
+    message gives the e-mail and the last its attachments.
+    """
+    heads = pin(_chosen(messages, sender, subject).drop("content"))
+    bodies = messages if sender is None and subject is None else _chosen(messages, sender, subject).select("path", "content")
+    parts = explode_parts(without_paths(bodies, superseded_paths(heads)))
+    return Ingested(message_emails(heads), first_n_attachments(message_attachments(parts), first_n))
 
 
 class Snapshot(NamedTuple):
@@ -47,8 +79,7 @@ def merge_ingested(current: Snapshot, new: Ingested, order: str = "message_id")
     keys = merged.where("is_incoming").select("message_id", F.col("email_id").alias("_id"))
     fresh = (
         new.attachments.join(
-            new.emails.select("email_id", "message_id").distinct().join(keys, "message_id").select("email_id", "_id"),
-            "email_id",
+            new.emails.select("email_id", "message_id").join(keys, "message_id").select("email_id", "_id"), "email_id"
         ).withColumn("email_id", F.col("_id")).drop("_id")
     )
     return Snapshot(

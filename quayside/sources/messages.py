@@ -133,7 +133,9 @@ def _headers(paths: pd.Series, blocks: pd.Series) -> pd.DataFrame:
 def with_headers(messages: DataFrame) -> DataFrame:
     """Add the decoded headers to (path, content) rows. Bodies are not parsed for this, so
     messages can be chosen by sender or subject before the full parse."""
-    return messages.withColumn("_h", _headers("path", _header_block(F.col("content")))).select(*messages.columns, "_h.*")
+    # Non-deterministic to the optimizer, so that a filter on a header does not decode it again.
+    decode = _headers.asNondeterministic()
+    return messages.withColumn("_h", decode("path", _header_block(F.col("content")))).select(*messages.columns, "_h.*")
 
 
 def explode_parts(messages: DataFrame) -> DataFrame:
@@ -154,9 +156,11 @@ def part_text(parts: DataFrame) -> DataFrame:
     return parts.withColumn("raw_text", join_non_empty("\n\n", texts)).drop("leaves")
 
 
-def message_emails(headed: DataFrame) -> DataFrame:
-    """One e-mail row per message of ``with_headers``."""
-    return headed.select(
+def message_emails(heads: DataFrame) -> DataFrame:
+    """One e-mail row per message id of ``with_headers`` rows; the first path speaks for repeats."""
+    fields = F.struct("subject", "sender", "date_header")
+    firsts = heads.groupBy("message_id").agg(F.min_by(fields, "path").alias("_m")).select("message_id", "_m.*")
+    return firsts.select(
         stable_id("message_id").alias("email_id"), "message_id", "subject", "sender",
         received_at("date_header").alias("date_received"), F.lit("fetching").alias("status"),
         F.current_timestamp().alias("created_at"),
