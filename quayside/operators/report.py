@@ -85,15 +85,19 @@ def report_fragments(
     Concatenating an e-mail's fragments by (zone_pos, fragment) gives its tables whole, so a
     zone of any size is written without ever being one value.
     """
-    numbered = numbered_cells(records, columns)
     by = ["email_id", "zone"]
-    summary = zone_summary(numbered, by)
-    rows = numbered.join(summary, by).select(
-        *by, "active", "n_records", "row_index",
-        F.floor((F.col("row_index") - 1) / F.lit(rows_per_fragment)).alias("fragment"),
+    numbered = numbered_cells(records, columns).withColumn(
+        "fragment", F.floor((F.col("row_index") - 1) / F.lit(rows_per_fragment))
+    )
+    parts = zone_summary(numbered, [*by, "fragment"])
+    whole = parts.groupBy(*by).agg(F.sum("n_records").alias("n_records"), F.bit_or("active").alias("active"))
+    heads = parts.select(*by, "fragment").join(whole, by)
+    # Rows meet their zone's totals by fragment, so a zone with most of the rows is spread out.
+    rows = numbered.join(heads, [*by, "fragment"]).select(
+        *by, "fragment", "active", "n_records", "row_index",
         row_html(F.col("cells"), F.col("active"), raw).alias("html"),
     )
-    pieces = rows.groupBy(*by, "active", "n_records", "fragment").agg(
+    pieces = rows.groupBy(*by, "fragment", "active", "n_records").agg(
         F.array_sort(F.collect_list(F.struct("row_index", "html"))).alias("_rows")
     )
     body = F.array_join(F.transform("_rows", lambda r: r["html"]), "")

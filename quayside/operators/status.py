@@ -16,13 +16,22 @@ def status_of(event_type: ColumnLike, mapping: dict[str, str] = EVENT_STATUS) ->
 
 
 def latest_status(events: DataFrame, mapping: dict[str, str] = EVENT_STATUS) -> DataFrame:
-    """Status after the last status event of each attachment."""
-    return (
-        events.withColumn("status", status_of("type", mapping))
-        .where(F.col("status").isNotNull() & F.col("attachment_id").isNotNull())
+    """Status after the last status event of each attachment.
+
+    The aggregate keeps one number per status, the last time it was seen, rather than a text:
+    fixed-size buffers are hashed, text buffers would have every task sort its events first.
+    """
+    statuses = sorted(set(mapping.values()))
+    seen = (
+        events.select("attachment_id", "seq", status_of("type", mapping).alias("_s"))
+        .where(F.col("_s").isNotNull() & F.col("attachment_id").isNotNull())
         .groupBy("attachment_id")
-        .agg(F.max_by("status", "seq").alias("status"), F.max("seq").alias("seq"))
+        .agg(*[F.max(F.when(F.col("_s") == s, F.col("seq"))).alias(f"_{i}") for i, s in enumerate(statuses)])
     )
+    last = F.array_max(F.array(*[
+        F.struct(F.col(f"_{i}").alias("seq"), F.lit(s).alias("status")) for i, s in enumerate(statuses)
+    ]))
+    return seen.select("attachment_id", last.alias("_l")).select("attachment_id", "_l.status", "_l.seq")
 
 
 def job_events(events: DataFrame, job_id) -> DataFrame:
@@ -38,7 +47,13 @@ def up_to_terminal(events: DataFrame, terminal: list[str] = TERMINAL_EVENTS) ->
 
 
 def job_states(events: DataFrame, terminal: list[str] = TERMINAL_EVENTS) -> DataFrame:
-    """Whether each job has ended, and its last event."""
+    """Whether each job has ended, and its last event.
+
+    A batch first keeps the last event of each type, so that little is left to compare; a stream
+    compares as events come, since it takes one aggregate only.
+    """
+    if not events.isStreaming:
+        events = events.groupBy("job_id", "type").agg(F.max("seq").alias("seq"))
     return events.groupBy("job_id").agg(
         F.bool_or(F.col("type").isin(terminal)).alias("finished"),
         F.max_by("type", "seq").alias("last_type"),

@@ -10,10 +10,9 @@ from pyspark.sql import functions as F
 from quayside.config_tables import FIRST_N_ATTACHMENTS
 from quayside.operators.joins import without_removed
 from quayside.operators.merge import merge_emails
-from quayside.operators.ranking import first_n_attachments
 from quayside.operators.select import from_sender, subject_contains
 from quayside.session import pin
-from quayside.sources.messages import explode_parts, message_attachments, message_emails, with_headers
+from quayside.sources.messages import message_attachments, message_emails, parse_messages, with_headers
 
 
 BROADCAST_PATHS = 100_000
@@ -61,8 +60,8 @@ def ingest(
     """
     heads = pin(_chosen(messages, sender, subject).drop("content"))
     bodies = messages if sender is None and subject is None else _chosen(messages, sender, subject).select("path", "content")
-    parts = explode_parts(without_paths(bodies, superseded_paths(heads)))
-    return Ingested(message_emails(heads), first_n_attachments(message_attachments(parts), first_n))
+    parsed = parse_messages(without_paths(bodies, superseded_paths(heads)))
+    return Ingested(message_emails(heads), message_attachments(parsed, first_n))
 
 
 class Snapshot(NamedTuple):

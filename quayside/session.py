@@ -33,8 +33,10 @@ def build_session(app: str = "quayside", master: str | None = None, conf: dict[s
 
 
 def prepare(spark: SparkSession) -> SparkSession:
-    """Runtime settings results depend on, for sessions created elsewhere."""
+    """Settings for sessions created elsewhere: the time zone results depend on, and the
+    splitting of hot join keys."""
     spark.conf.set("spark.sql.session.timeZone", "UTC")
+    spark.conf.set("spark.sql.adaptive.forceOptimizeSkewedJoin", "true")
     return spark
 
 

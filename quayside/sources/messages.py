@@ -2,7 +2,7 @@
 
 Parsing a MIME tree is the one step Spark has no expression for. It runs as ``mapInPandas``
 over one message per row; everything after it, HTML cleaning included, is native again.
-Nothing is shuffled: a part's leaves travel in its own row.
+Nothing is shuffled: a message's parts and their text leaves travel in its own row.
 """
 
 from __future__ import annotations
@@ -20,17 +20,16 @@ from pyspark.sql import types as T
 
 from quayside.functions.dates import received_at
 from quayside.functions.ids import stable_id
-from quayside.functions.text import html_to_text, is_message_name, join_non_empty, part_filename
-from quayside.operators.select import drop_blank_text
+from quayside.functions.text import html_to_text, is_blank, is_message_name, join_non_empty, part_filename
 
 # --- Fixed values: part types treated as attached messages --------------------------------
 MESSAGE_TYPES = ["message/rfc822", "message/delivery-status"]
 
 FILE_SCHEMA = "path string, modificationTime timestamp, length long, content binary"
 HEADERS = ["message_id", "subject", "sender", "date_header"]
-PART_SCHEMA = (
-    "path string, message_id string, part_index int, content_type string, filename string, "
-    "leaves array<struct<content_type:string,text:string>>"
+PARSED_SCHEMA = (
+    "path string, message_id string, parts array<struct<part_index:int, content_type:string, filename:string, "
+    "leaves:array<struct<content_type:string, text:string>>>>"
 )
 
 
@@ -93,21 +92,22 @@ def _message_id(message: Message, path: str) -> str:
     return _clean(str(message.get("Message-ID", path)))
 
 
-def _parts(path: str, content: bytes) -> Iterator[tuple]:
-    message = message_from_bytes(content)
-    message_id = _message_id(message, path)
+def _parts(message: Message) -> Iterator[dict]:
     for index, part in enumerate(message.walk()):
         filename = _header(part.get_filename())
         inner = _attached(part, filename)
         leaves = list(_leaves(inner)) if inner is not None else []
-        yield path, message_id, index, part.get_content_type(), filename, leaves
+        yield {"part_index": index, "content_type": part.get_content_type(), "filename": filename, "leaves": leaves}
 
 
 def _parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    names = [field.split()[0] for field in PART_SCHEMA.split(", ")]
     for batch in batches:
-        rows = [row for path, content in zip(batch["path"], batch["content"]) for row in _parts(path, content)]
-        yield pd.DataFrame(rows, columns=names)
+        messages = [message_from_bytes(content) for content in batch["content"]]
+        yield pd.DataFrame({
+            "path": batch["path"],
+            "message_id": [_message_id(message, path) for message, path in zip(messages, batch["path"])],
+            "parts": [list(_parts(message)) for message in messages],
+        })
 
 
 def _header_block(content: Column) -> Column:
@@ -138,22 +138,36 @@ def with_headers(messages: DataFrame) -> DataFrame:
     return messages.withColumn("_h", decode("path", _header_block(F.col("content")))).select(*messages.columns, "_h.*")
 
 
+def parse_messages(messages: DataFrame) -> DataFrame:
+    """One row per message of (path, content) rows, with its MIME parts in walk order."""
+    return messages.select("path", "content").mapInPandas(_parse, PARSED_SCHEMA)
+
+
 def explode_parts(messages: DataFrame) -> DataFrame:
-    """One row per MIME part of (path, content) rows, in walk order."""
-    return messages.select("path", "content").mapInPandas(_parse, PART_SCHEMA)
+    """One row per MIME part."""
+    return parse_messages(messages).select("path", "message_id", F.inline("parts"))
 
 
-def attachment_parts(parts: DataFrame) -> DataFrame:
-    """Parts that are attached messages, by type or by file name."""
-    return parts.where(F.col("content_type").isin(MESSAGE_TYPES) | is_message_name("filename"))
+def is_attachment(content_type: Column, filename: Column) -> Column:
+    """Attached messages, by type or by file name."""
+    return content_type.isin(MESSAGE_TYPES) | is_message_name(filename)
 
 
-def part_text(parts: DataFrame) -> DataFrame:
-    """Replace the leaves by one text: non-empty leaves joined by a blank line, HTML cleaned."""
-    texts = F.transform("leaves", lambda leaf: F.when(
+def leaf_text(leaves: Column) -> Column:
+    """Non-empty text leaves joined by a blank line, HTML cleaned."""
+    texts = F.transform(leaves, lambda leaf: F.when(
         leaf["content_type"] == "text/html", html_to_text(leaf["text"])
     ).otherwise(leaf["text"]))
-    return parts.withColumn("raw_text", join_non_empty("\n\n", texts)).drop("leaves")
+    return join_non_empty("\n\n", texts)
+
+
+def attachment_parts(parts: DataFrame) -> DataFrame:
+    return parts.where(is_attachment(F.col("content_type"), F.col("filename")))
+
+
+def part_text(parts: DataFrame) -> DataFrame:
+    """Replace the leaves of part rows by their text."""
+    return parts.withColumn("raw_text", leaf_text(F.col("leaves"))).drop("leaves")
 
 
 def message_emails(heads: DataFrame) -> DataFrame:
@@ -167,10 +181,19 @@ def message_emails(heads: DataFrame) -> DataFrame:
     )
 
 
-def message_attachments(parts: DataFrame) -> DataFrame:
-    """Attachment rows with text; parts without text are dropped."""
-    texts = drop_blank_text(part_text(attachment_parts(parts)))
-    return texts.select(
+def message_attachments(parsed: DataFrame, first_n: int = 0) -> DataFrame:
+    """Attachment rows of ``parse_messages`` rows; parts without text are dropped.
+
+    A message is one row here, so its first ``first_n`` attachments (all when not positive) are
+    a slice of an array, and no text is shuffled or sorted for it.
+    """
+    attached = F.filter("parts", lambda p: is_attachment(p["content_type"], p["filename"]))
+    texts = F.transform(attached, lambda p: F.struct(
+        p["part_index"].alias("part_index"), p["filename"].alias("filename"), leaf_text(p["leaves"]).alias("raw_text")
+    ))
+    usable = F.filter(texts, lambda t: ~is_blank(t["raw_text"]))
+    kept = F.slice(usable, 1, first_n) if first_n > 0 else usable
+    return parsed.select("message_id", F.inline(kept)).select(
         stable_id("message_id", "part_index").alias("attachment_id"),
         stable_id("message_id").alias("email_id"), "part_index",
         part_filename("filename", "part_index").alias("filename"), "raw_text",

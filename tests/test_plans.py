@@ -6,10 +6,11 @@ from pyspark.sql import functions as F
 
 from quayside.catalogue import registry as r
 from quayside.config_tables import zone_rules
-from quayside.operators import joins, ranking, replies, select, superset, zones
+from quayside.operators import joins, ranking, replies, select, status, superset, zones
 from quayside.operators.counts import error_details
 from quayside.catalogue.messages import document_messages
 from quayside.plans.ingest import _chosen
+from quayside.sources.messages import message_attachments, parse_messages
 from tests.conftest import plan_of
 
 SF = "/root/testdata/sf0.01"
@@ -52,6 +53,17 @@ def test_superset_counts_before_the_shuffle(spark):
     assert "HashAggregate" in below and "Generate" in below
 
 
+def test_attachment_text_is_not_shuffled(spark):
+    plan = plan_of(message_attachments(parse_messages(document_messages(spark, SF)), 5))
+    assert "Exchange" not in plan and "Sort" not in plan and "MapInPandas" in plan
+
+
+def test_status_feed_is_hashed(spark):
+    feed = r.status_feed(r.table(spark, SF, "events"))
+    tree = plan_of(status.latest_status(feed, r.FEED_STATUS)).split("\n\n")[0]
+    assert "SortAggregate" not in tree and tree.count("HashAggregate") == 2
+
+
 def test_headers_are_decoded_once(spark):
     plan = plan_of(_chosen(document_messages(spark, SF), "src1", "liste"))
     assert plan.split("\n\n")[0].count("ArrowEvalPython") == 1
