@@ -8,15 +8,21 @@ from quayside.catalogue.registry import (
 )
 from quayside.functions.text import escape_html, or_dash, plural
 from quayside.operators import counts, joins, select
+from quayside.session import shared_path
+from quayside.sources.tables import append_rows as append
+from quayside.sources.tables import create_views, read_table
 from quayside.operators.superset import key_superset
 from quayside.catalogue.registry import EVENT_PRIORITY, conversation_attachments
 
 
-@query("""
+_FULL_SQL = """
     SELECT l.record_id, l.attachment_id, a.email_id, l.record_pos, 'flag=' || flag || ';part=' || part AS cells, region,
            is_validated, a.filename, e.subject, strftime(e.date_received, '%Y-%m-%d %H:%M:%S') AS date_received
     FROM ({lines}) l JOIN ({orders}) a USING (attachment_id) JOIN ({emails}) e USING (email_id)
-""".format(lines=LINE_RECORDS_SQL, orders=ORDER_ATTACHMENTS_SQL, emails=CUSTOMER_EMAILS_SQL))
+""".format(lines=LINE_RECORDS_SQL, orders=ORDER_ATTACHMENTS_SQL, emails=CUSTOMER_EMAILS_SQL)
+
+
+@query(_FULL_SQL)
 def records_full_view(spark, sf):
     full = joins.records_full(line_records(spark, sf), order_attachments(spark, sf), customer_emails(spark, sf))
     return full.select(
@@ -25,6 +31,28 @@ def records_full_view(spark, sf):
     )
 
 
+@query(_FULL_SQL)
+def records_full_registered(spark, sf):
+    """The same through registered tables and views."""
+    create_views(
+        spark, records=line_records(spark, sf), attachments=order_attachments(spark, sf), emails=customer_emails(spark, sf)
+    )
+    full = read_table(spark, "records_full", "record_id, attachment_id, email_id, record_pos, dynamic_data, region, is_validated, filename, subject, date_received")
+    return full.withColumn("cells", map_text("dynamic_data")).withColumn("date_received", text_time("date_received")).drop("dynamic_data")
+
+
+@query("""
+    SELECT o_orderkey, sha256('=' || o_orderkey) AS id, '{"priority":"' || o_orderpriority || '"}' AS data FROM orders""")
+def append_rows(spark, sf):
+    """Append with derived ids and nested values as JSON text, then scan."""
+    rows = table(spark, sf, "orders").select(
+        "o_orderkey", F.create_map(F.lit("priority"), F.col("o_orderpriority")).alias("data")
+    )
+    path = shared_path(spark, "appended")
+    append(rows, path, "id", ["o_orderkey"], json_nested=True)
+    return read_table(spark, path, "o_orderkey, id, data")
+
+
 @query(f"""
     SELECT a.attachment_id, a.filename, a.status, COUNT(l.record_id) AS record_count
     FROM ({ORDER_ATTACHMENTS_SQL}) a LEFT JOIN ({LINE_RECORDS_SQL}) l USING (attachment_id)

@@ -2,7 +2,8 @@
 
 from pyspark.sql import functions as F
 
-from quayside.catalogue.registry import SUPPLIER_PLACES_SQL, query, supplier_places, table, zone_map_sql
+from quayside.catalogue.registry import SUPPLIER_PLACES_SQL, ZONES_SQL, query, supplier_places, table, zone_map_sql
+from quayside.config_tables import DEFAULT_INTRO
 from quayside.operators import report
 from quayside.operators.zones import with_zone
 from quayside.plans.report import report as report_plan
@@ -88,9 +89,18 @@ def zone_html(spark, sf):
     return made.select("email_id", "zone", "fragment", "n_records", F.md5("html").alias("html_md5"), F.length("html").alias("n_chars"))
 
 
-@query()
+@query(f"""
+    WITH {_FRAGMENTS_SQL},
+    placed AS (
+        SELECT f.*, z.zone_pos, max(fragment) OVER (PARTITION BY email_id) = 0 AS is_whole, count(*) OVER (PARTITION BY email_id) AS n,
+               row_number() OVER (PARTITION BY email_id ORDER BY zone_pos, fragment) AS k
+        FROM fragments f JOIN {ZONES_SQL.replace('AS zones', 'AS z')} ON z.zone = f.zone)
+    SELECT email_id, arg_min(zone_pos, k) AS zone_pos, CAST(arg_min(fragment, k) AS BIGINT) AS fragment,
+           md5(CASE WHEN min(k) = 1 THEN '<!DOCTYPE html><html><body><p>{DEFAULT_INTRO}</p>' ELSE '' END
+               || string_agg(html, chr(10) ORDER BY k) || CASE WHEN max(k) = any_value(n) THEN '</body></html>' ELSE '' END) AS html_md5
+    FROM placed GROUP BY email_id, CASE WHEN is_whole THEN 0 ELSE k END""")
 def report_documents(spark, sf):
-    """The whole flow: one document per nation."""
+    """The whole flow: one document per nation, in parts where a zone is large."""
     nations = table(spark, sf, "nation").select(F.col("n_nationkey").alias("email_id"), F.lit("ready_for_validation").alias("status"))
     done = report_plan(line_report_records(spark, sf), nations)
-    return done.documents.select("email_id", "zone_pos", "fragment", F.length("html").alias("n_chars"))
+    return done.documents.select("email_id", "zone_pos", "fragment", F.md5("html").alias("html_md5"))

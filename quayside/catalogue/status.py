@@ -1,7 +1,5 @@
 """Status events, as batch and as stream."""
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from quayside.catalogue.registry import (
@@ -9,8 +7,8 @@ from quayside.catalogue.registry import (
     status_feed, table,
 )
 from quayside.operators import joins, ranking, select, status
-from quayside.session import ensure_checkpoint_dir
-from quayside.streaming.status import current_rows, dedup_messages, upsert_writer
+from quayside.session import shared_path
+from quayside.streaming.status import current_rows, dedup_messages, recent_log_writer, recent_rows, upsert_writer
 
 
 def _feed(spark, sf):
@@ -25,9 +23,12 @@ def latest_status(spark, sf):
     return status.latest_status(_feed(spark, sf), FEED_STATUS)
 
 
-@query("""
+_JOBS_SQL = f"""
     SELECT job_id, bool_or(type IN ('purchase', 'error')) AS finished, arg_max(type, seq) AS last_type, max(seq) AS last_seq
-    FROM ({feed}) GROUP BY job_id""".format(feed=FEED_SQL))
+    FROM ({FEED_SQL}) GROUP BY job_id"""
+
+
+@query(_JOBS_SQL)
 def terminal_jobs(spark, sf):
     return status.job_states(_feed(spark, sf), FEED_TERMINAL)
 
@@ -45,9 +46,12 @@ def job_route(spark, sf):
     return status.job_events(_feed(spark, sf), 3).select("seq", "type")
 
 
-@query(f"""
+_TOTALS_SQL = f"""
     SELECT job_id, CAST(SUM(CASE WHEN type = 'purchase' THEN record_count ELSE 0 END) AS BIGINT) AS total_records
-    FROM ({FEED_SQL}) GROUP BY job_id""")
+    FROM ({FEED_SQL}) GROUP BY job_id"""
+
+
+@query(_TOTALS_SQL)
 def running_totals(spark, sf):
     return status.running_totals(_feed(spark, sf), "purchase")
 
@@ -57,9 +61,12 @@ def recent_log(spark, sf):
     return select.recent_events(_feed(spark, sf)).select("seq", "job_id", "type")
 
 
-@query(f"""
+_RECENT_SQL = f"""
     SELECT job_id, seq, type FROM (SELECT *, row_number() OVER (PARTITION BY job_id ORDER BY seq DESC) AS rn FROM ({FEED_SQL}))
-    WHERE rn <= 50""")
+    WHERE rn <= 50"""
+
+
+@query(_RECENT_SQL)
 def recent_log_per_job(spark, sf):
     return ranking.recent_per_job(_feed(spark, sf)).select("job_id", "seq", "type")
 
@@ -83,19 +90,13 @@ def event_payload(spark, sf):
 
 # --- streaming ------------------------------------------------------------------------------------
 
-def stream_folder(spark, name):
-    """A fresh folder for one streaming run, in the shared checkpoint folder."""
-    ensure_checkpoint_dir(spark)
-    return f"{spark.sparkContext.getCheckpointDir()}/streams/{name}-{uuid.uuid4().hex}"
-
-
 def event_stream(spark, sf):
     schema = table(spark, sf, "events").schema
     return status_feed(spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf))
 
 
 def run_upserts(spark, aggregated, name, key):
-    folder = stream_folder(spark, name)
+    folder = shared_path(spark, name)
     upsert_writer(aggregated, f"{folder}/rows", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
     return current_rows(spark, f"{folder}/rows", key)
 
@@ -105,11 +106,29 @@ def stream_latest_status(spark, sf):
     return run_upserts(spark, status.latest_status(event_stream(spark, sf), FEED_STATUS), "latest", "attachment_id")
 
 
+@query(_JOBS_SQL)
+def stream_terminal_jobs(spark, sf):
+    return run_upserts(spark, status.job_states(event_stream(spark, sf), FEED_TERMINAL), "jobs", "job_id")
+
+
+@query(_TOTALS_SQL)
+def stream_running_totals(spark, sf):
+    return run_upserts(spark, status.running_totals(event_stream(spark, sf), "purchase"), "totals", "job_id")
+
+
+@query(_RECENT_SQL)
+def stream_recent_log(spark, sf):
+    folder = shared_path(spark, "recent")
+    writer = recent_log_writer(event_stream(spark, sf), f"{folder}/log", f"{folder}/state")
+    writer.trigger(availableNow=True).start().awaitTermination()
+    return recent_rows(spark, f"{folder}/log").select("job_id", "seq", "type")
+
+
 @query("SELECT DISTINCT attachment_id || '-' || type AS message_id FROM ({feed})".format(feed=FEED_SQL))
 def stream_dedup(spark, sf):
     """The delay spans the whole feed, so every repeat is dropped."""
     named = event_stream(spark, sf).withColumn("message_id", F.concat_ws("-", "attachment_id", "type"))
-    folder = stream_folder(spark, "dedup")
+    folder = shared_path(spark, "dedup")
     unique = dedup_messages(named, delay="4000 days").select("message_id")
     writer = unique.writeStream.format("parquet").option("path", f"{folder}/rows").option("checkpointLocation", f"{folder}/state")
     writer.trigger(availableNow=True).start().awaitTermination()

@@ -108,17 +108,15 @@ def newest_first(emails: DataFrame) -> DataFrame:
     return emails.orderBy(F.col("date_received").desc_nulls_first(), "email_id")
 
 
-def source_key() -> Column:
-    """Sort key of a record's source: file name, or the attachment id where there is none."""
-    return or_else("filename", F.col("attachment_id").cast("string"), F.lit(""))
+def source_key(collation: str | None = None) -> Column:
+    """Sort key of a record's source: file name, or the attachment id where there is none.
+    Binary order by default; a collation such as ``UNICODE`` gives a reader's order."""
+    key = or_else("filename", F.col("attachment_id").cast("string"), F.lit(""))
+    return F.collate(key, collation) if collation else key
 
 
-def grid_order() -> list[Column]:
-    return [source_key(), F.col("attachment_id"), F.col("record_pos"), F.col("record_id")]
-
-
-def by_source(records: DataFrame) -> DataFrame:
-    return records.orderBy(*grid_order())
+def by_source(records: DataFrame, collation: str | None = None) -> DataFrame:
+    return records.orderBy(source_key(collation), "attachment_id", "record_pos", "record_id")
 
 
 def by_filename(attachments: DataFrame) -> DataFrame:

@@ -70,16 +70,14 @@ def _header(value) -> str:
 def _leaves(message: Message) -> Iterator[dict]:
     """Text leaves, depth first. ``walk`` enters attached messages too."""
     for part in message.walk():
-        if part.is_multipart() or part.get_content_type() not in ("text/plain", "text/html"):
-            continue
-        data = part.get_payload(decode=True)
+        kind = None if part.is_multipart() else part.get_content_type()
+        data = part.get_payload(decode=True) if kind in ("text/plain", "text/html") else None
         if data is not None:
-            yield {"content_type": part.get_content_type(), "text": _clean(_decode(data, part.get_content_charset()))}
+            yield {"content_type": kind, "text": _clean(_decode(data, part.get_content_charset()))}
 
 
-def _attached(part: Message, filename: str) -> Message | None:
+def _attached(part: Message, kind: str, filename: str) -> Message | None:
     """The message inside an attachment-like part."""
-    kind = part.get_content_type()
     if kind not in MESSAGE_TYPES and not filename.lower().endswith(".eml"):
         return None
     if kind == "message/rfc822" and part.is_multipart():
@@ -94,10 +92,10 @@ def _message_id(message: Message, path: str) -> str:
 
 def _parts(message: Message) -> Iterator[dict]:
     for index, part in enumerate(message.walk()):
-        filename = _header(part.get_filename())
-        inner = _attached(part, filename)
+        kind, filename = part.get_content_type(), _header(part.get_filename())
+        inner = _attached(part, kind, filename)
         leaves = list(_leaves(inner)) if inner is not None else []
-        yield {"part_index": index, "content_type": part.get_content_type(), "filename": filename, "leaves": leaves}
+        yield {"part_index": index, "content_type": kind, "filename": filename, "leaves": leaves}
 
 
 def _parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

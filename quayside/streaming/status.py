@@ -53,3 +53,10 @@ def recent_log_writer(events: DataFrame, path: str, checkpoint: str, n: int = RE
         recent_per_job(merged, n).write.mode("overwrite").parquet(f"{path}/version={batch_id}")
 
     return events.writeStream.option("checkpointLocation", checkpoint).foreachBatch(merge)
+
+
+def recent_rows(spark: SparkSession, path: str) -> DataFrame:
+    """Last version of what ``recent_log_writer`` wrote; only its folder is read."""
+    log = spark.read.option("basePath", path).parquet(path)
+    last = log.agg(F.max("version")).first()[0]
+    return log.where(F.col("version") == last).drop("version")

@@ -252,6 +252,9 @@ def test_order_and_limit(spark):
     assert [r.x for r in select.order(df, "x").collect()] == [1, 3, None]
     assert [r.x for r in select.order(df, "x", desc=True).collect()] == [None, 3, 1]
     assert select.limit(df, 0).count() == 3 and select.limit(df, 2).count() == 2 and select.single(df).count() == 1
+    names = spark.createDataFrame([("b", "1", 0, "r1"), ("C", "2", 0, "r2"), ("", "a", 0, "r3")], "filename string, attachment_id string, record_pos int, record_id string")
+    assert [r.record_id for r in select.by_source(names).collect()] == ["r2", "r3", "r1"]
+    assert [r.record_id for r in select.by_source(names, "UNICODE").collect()] == ["r3", "r1", "r2"]
     assert select.where_all(df, []).count() == 3 and df.where(select.eq("x", None)).count() == 0
 
 

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from quayside.catalogue.registry import FEED_STATUS, FEED_TERMINAL, status_feed
 from quayside.operators import ranking, status
 from quayside.sources.events import append_status_events, read_status_events, stream_status_events
-from quayside.streaming.status import current_rows, dedup_messages, event_time, recent_log_writer, upsert_writer
+from quayside.streaming.status import current_rows, dedup_messages, event_time, recent_log_writer, recent_rows, upsert_writer
 
 SCHEMA = "job_id long, seq long, ts timestamp, type string, attachment_id long, record_count int"
 
@@ -47,8 +47,7 @@ def test_recent_log_survives_new_files(spark, tmp_path):
 
     def go():
         run(recent_log_writer(stream_status_events(spark, path, SCHEMA, files_per_batch=2), out, state, n=20))
-        last = max(int(p.name.split("=")[1]) for p in (tmp_path / "log").glob("version=*"))
-        return rows(spark.read.parquet(f"{out}/version={last}"))
+        return rows(recent_rows(spark, out))
 
     assert go() == rows(ranking.recent_per_job(read_status_events(spark, path, SCHEMA), 20))
     feed_files(spark, path, 2)
