@@ -16,6 +16,9 @@ ColumnLike = Column | str
 
 _SPACE = r"[\s\x1C-\x1F]"
 
+# --- Fixed values: characters that end a word in the report's word count ------------------
+_WORD = r"[^\t\n\x0B\f\r \u00A0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000\uFEFF]+"
+
 # --- Fixed values: code points that count as whitespace -----------------------------------
 WHITESPACE = "".join(map(chr, [
     *range(0x09, 0x0E), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B),
@@ -58,7 +61,7 @@ def html_to_text(c: ColumnLike) -> Column:
 
 
 def word_count(html: ColumnLike) -> Column:
-    words = F.regexp_count(remove_tags(html, allow_empty=True), F.lit(r"(?U)[^\s\x1C-\x1F]+"))
+    words = F.regexp_count(remove_tags(html, allow_empty=True), F.lit(_WORD))
     return F.coalesce(words, F.lit(0))
 
 

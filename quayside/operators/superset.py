@@ -9,19 +9,11 @@ from quayside.config_tables import PRIORITY_KEYS
 from quayside.functions.maps import backfill
 from quayside.functions.text import ColumnLike, col
 
-_AFTER_PRIORITY = 1 << 20
-
 
 def distinct_keys(records: DataFrame, by: list[str], data: str = "dynamic_data") -> DataFrame:
-    """(group, key), each once. Map tasks already drop repeats, so a hot group ships only its keys."""
-    return records.select(*by, F.explode(F.map_keys(data)).alias("key")).distinct()
-
-
-def _rank(key: Column, priority: list[str]) -> Column:
-    if not priority:
-        return F.lit(_AFTER_PRIORITY)
-    found = F.array_position(F.array(*[F.lit(k) for k in priority]), key).cast("int")
-    return F.when(found > 0, found).otherwise(F.lit(_AFTER_PRIORITY))
+    """(group, key), each once. Map tasks already drop repeats, so a hot group ships only its keys.
+    A row without keys counts as one null key, which keeps its group."""
+    return records.select(*by, F.explode_outer(F.map_keys(data)).alias("key")).distinct()
 
 
 def order_keys(keys: ColumnLike, priority: list[str] = PRIORITY_KEYS) -> Column:
@@ -34,7 +26,8 @@ def order_keys(keys: ColumnLike, priority: list[str] = PRIORITY_KEYS) -> Column:
 def key_superset(
     records: DataFrame, by: list[str], data: str = "dynamic_data", priority: list[str] = PRIORITY_KEYS
 ) -> DataFrame:
-    """One ordered array of all keys per group. Its size is the number of different keys, not of rows."""
+    """One ordered array of all keys per group. Its size is the number of different keys, not of
+    rows; a group whose maps are all empty has an empty one."""
     return (
         distinct_keys(records, by, data)
         .groupBy(*by)

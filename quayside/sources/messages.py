@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from email import message_from_bytes
+from email.errors import HeaderParseError
 from email.header import decode_header
 from email.message import Message
 from email.parser import BytesHeaderParser
@@ -61,10 +62,14 @@ def _decode(data: bytes, charset: str | None) -> str:
 
 
 def _header(value) -> str:
+    """Decoded header text; one with broken encoding is kept as it stands."""
     if not value:
         return ""
-    chunks = [_decode(c, charset) if isinstance(c, bytes) else c for c, charset in decode_header(value)]
-    return _clean(" ".join(chunks))
+    try:
+        chunks = decode_header(value)
+    except (HeaderParseError, ValueError):
+        return _clean(str(value))
+    return _clean(" ".join(_decode(c, charset) if isinstance(c, bytes) else c for c, charset in chunks))
 
 
 def _leaves(message: Message) -> Iterator[dict]:

@@ -2,6 +2,7 @@
 
 import base64
 import os
+import random
 from email.message import EmailMessage
 from email.mime.message import MIMEMessage
 from email.mime.multipart import MIMEMultipart
@@ -110,6 +111,30 @@ def test_filters_choose_before_parsing(spark, folder):
     assert texts(spark, folder, sender="nobody") == {}
 
 
+BROKEN = [
+    b"Subject: =?utf-8?B?a?=\r\nFrom: =?utf-8?Q?=ZZ?=\r\n\r\nx", b"Content-Type: message/rfc822\r\nContent-Transfer-Encoding: base64\r\n\r\n!!!!",
+    b"Content-Type: multipart/mixed\r\n\r\nno boundary", b"Content-Type: text/plain; charset*=x''%zz\r\n\r\n\xff",
+    b"Content-Disposition: attachment; filename*0*=bad'x'%E9; filename*1=.eml\r\nContent-Transfer-Encoding: uuencode\r\n\r\nbegin\r\n$$$",
+    b"Message-ID: \xe9\xff\r\nDate: \xff\r\n\r\n", b"\x00\x01\x02", b"a" * 10_000, b"\n\n", b"Content-Type: \xff/\xfe; name=\"a.eml\"\r\n\r\nz",
+]
+
+
+def test_broken_messages_do_not_stop_the_job(spark):
+    rng = random.Random(5)
+    seeds = BROKEN + [outer("<x>", MIMEMessage(inner("t")), eml_file("a.eml", b"Subject: =?x?\r\n\r\nq")).as_bytes()]
+    cases = list(seeds)
+    for i in range(400):
+        data = bytearray(rng.choice(seeds))
+        for _ in range(rng.randrange(1, 8)):
+            at = rng.randrange(len(data))
+            data[at:at + rng.randrange(3)] = bytes([rng.choice(b"=?;\"'\r\n\x00\xff*:/ ")])
+        cases.append(bytes(data))
+    df = spark.createDataFrame([(f"p{i}", c) for i, c in enumerate(cases)], "path string, content binary")
+    found = ingest(df, first_n=0)
+    assert found.emails.count() > 0 and found.attachments.count() > 0
+    assert m.explode_parts(df).select("path").distinct().count() == len(cases)
+
+
 def test_packed_input_gives_the_same(spark, folder, tmp_path):
     m.read_message_files(spark, str(folder)).write.parquet(str(tmp_path / "packed"))
     packed = m.explode_parts(spark.read.parquet(str(tmp_path / "packed")))

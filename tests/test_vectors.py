@@ -74,7 +74,7 @@ def test_superset_order(spark):
     rows = [(1, {"dwt": "1", "zeta": "2", "Alpha": "3"}), (1, {"vessel_name": "4", "beta": "5"}), (2, {}), (3, {"é": "1", "z": "1", "Z": "1"})]
     df = spark.createDataFrame(rows, "email_id int, dynamic_data map<string,string>")
     got = {r.email_id: r.superset for r in superset.key_superset(df, ["email_id"]).collect()}
-    assert got == {1: ["vessel_name", "dwt", "Alpha", "beta", "zeta"], 3: ["Z", "z", "é"]}
+    assert got == {1: ["vessel_name", "dwt", "Alpha", "beta", "zeta"], 2: [], 3: ["Z", "z", "é"]}
 
 
 def test_backfill(spark):
@@ -122,6 +122,7 @@ def test_scalars(spark):
     s = "string"
     assert one(spark, text.word_count("h"), h=(s, "<p>a b</p><p>c</p>")) == 3
     assert one(spark, text.word_count("h"), h=(s, None)) == 0
+    assert one(spark, text.word_count("h"), h=(s, "a\ufeffb\x1cc \u3000 d<>e")) == 4
     assert one(spark, text.file_stem("f"), f=(s, "X.EML")) == "X"
     assert one(spark, text.part_filename("f", F.lit(3)), f=(s, "")) == "attachment_003.eml"
     assert one(spark, text.strip("f"), f=(s, "\x1c  a b \n")) == "a b" == "\x1c  a b \n".strip()
