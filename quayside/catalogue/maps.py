@@ -20,6 +20,11 @@ def key_superset(spark, sf):
     return keys.select("email_id", F.array_join("superset", ",").alias("superset"))
 
 
+@query(f"SELECT user_id AS email_id, key, row_number() OVER (PARTITION BY user_id ORDER BY {_RANK_SQL}, key) AS key_pos FROM ({_KEYS_SQL})")
+def superset_rows(spark, sf):
+    return superset.superset_rows(event_records(spark, sf), ["email_id"], priority=EVENT_PRIORITY)
+
+
 @query(f"""
     SELECT user_id AS email_id, string_agg(key || ':' || upper(key), ',' ORDER BY {_RANK_SQL}, key) AS columns
     FROM ({_KEYS_SQL}) WHERE key <> 'region' GROUP BY user_id""")
@@ -51,7 +56,7 @@ def backfill_long(spark, sf):
     records = event_records(spark, sf)
     supersets = superset.key_superset(records, ["email_id"], priority=EVENT_PRIORITY)
     filled = superset.backfill_records(records, supersets, ["email_id"])
-    return filled.select("record_id", F.explode("dynamic_data").alias("key", "value"))
+    return filled.select("record_id", F.explode_outer("dynamic_data").alias("key", "value"))
 
 
 @query(_BACKFILL_SQL)
@@ -61,7 +66,7 @@ def normalise_flow(spark, sf):
     attachments = records.select("attachment_id", "email_id").distinct()
     emails = records.select("email_id").distinct().withColumn("status", F.lit("extracting"))
     done = normalise(records.drop("email_id"), attachments, emails, EVENT_PRIORITY)
-    return done.records.select("record_id", F.explode("dynamic_data").alias("key", "value"))
+    return done.records.select("record_id", F.explode_outer("dynamic_data").alias("key", "value"))
 
 
 @query("""

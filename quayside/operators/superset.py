@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from quayside.config_tables import PRIORITY_KEYS
 from quayside.functions.maps import backfill
 from quayside.functions.text import ColumnLike, col
+from quayside.operators.ranking import number_rows
 
 
 def distinct_keys(records: DataFrame, by: list[str], data: str = "dynamic_data") -> DataFrame:
@@ -35,8 +36,16 @@ def key_superset(
     )
 
 
-def key_positions(supersets: DataFrame, by: list[str]) -> DataFrame:
-    return supersets.select(*by, F.posexplode("superset").alias("key_pos", "key"))
+def superset_rows(
+    records: DataFrame, by: list[str], data: str = "dynamic_data", priority: list[str] = PRIORITY_KEYS
+) -> DataFrame:
+    """The same as rows (group, key, 1-based position), for groups with more keys than fit a value."""
+    known = F.array(*[F.lit(k) for k in priority]).cast("array<string>")
+    place = F.array_position(known, F.col("key"))
+    keys = distinct_keys(records, by, data).where(F.col("key").isNotNull()).withColumn(
+        "_place", F.when(place > 0, place).otherwise(F.lit(len(priority) + 1))
+    )
+    return number_rows(keys, by, [F.col("_place"), F.col("key")], "key_pos").drop("_place")
 
 
 def preview_keys(records: DataFrame, by: list[str], order: ColumnLike, data: str = "dynamic_data") -> DataFrame:

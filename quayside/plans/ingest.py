@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from typing import NamedTuple
 
 from pyspark.sql import DataFrame
@@ -16,6 +17,7 @@ from quayside.sources.messages import message_attachments, message_emails, parse
 
 
 BROADCAST_PATHS = 100_000
+Hold = Callable[[DataFrame], DataFrame]
 
 
 class Ingested(NamedTuple):
@@ -39,10 +41,10 @@ def superseded_paths(heads: DataFrame) -> DataFrame:
     return ids.join(repeated, "message_id").where(F.col("path") < F.col("_last")).select("path")
 
 
-def without_paths(messages: DataFrame, paths: DataFrame, limit: int = BROADCAST_PATHS) -> DataFrame:
+def without_paths(messages: DataFrame, paths: DataFrame, limit: int = BROADCAST_PATHS, hold: Hold = pin) -> DataFrame:
     """Leave out messages by path. Few paths (counted first) go to the messages; only more than
     that make the message bodies travel."""
-    paths = pin(paths)
+    paths = hold(paths)
     n = paths.limit(limit + 1).count()
     if n == 0:
         return messages
@@ -50,17 +52,18 @@ def without_paths(messages: DataFrame, paths: DataFrame, limit: int = BROADCAST_
 
 
 def ingest(
-    messages: DataFrame, sender: str | None = None, subject: str | None = None, first_n: int = FIRST_N_ATTACHMENTS
+    messages: DataFrame, sender: str | None = None, subject: str | None = None, first_n: int = FIRST_N_ATTACHMENTS,
+    hold: Hold = pin,
 ) -> Ingested:
     """E-mails and their first attachments from (path, content) rows.
 
-    The headers are read first and pinned, as they are small and used three times: for the
-    e-mail rows, for the choice of messages and for repeats of a message id, where the first
-    message gives the e-mail and the last its attachments.
+    The headers are read first and held (pinned, unless told otherwise), as they are small and
+    used three times: for the e-mail rows, for the choice of messages and for repeats of a
+    message id, where the first message gives the e-mail and the last its attachments.
     """
-    heads = pin(_chosen(messages, sender, subject).drop("content"))
+    heads = hold(_chosen(messages, sender, subject).drop("content"))
     bodies = messages if sender is None and subject is None else _chosen(messages, sender, subject).select("path", "content")
-    parsed = parse_messages(without_paths(bodies, superseded_paths(heads)))
+    parsed = parse_messages(without_paths(bodies, superseded_paths(heads), hold=hold))
     return Ingested(message_emails(heads), message_attachments(parsed, first_n))
 
 

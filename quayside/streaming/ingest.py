@@ -21,11 +21,19 @@ def ingest_writer(
     pattern: str = "*.eml", files_per_batch: int = 10_000,
 ) -> DataStreamWriter:
     def write(batch: DataFrame, batch_id: int) -> None:
-        new = ingest(batch, first_n=first_n)
+        held: list[DataFrame] = []
+
+        def hold(df: DataFrame) -> DataFrame:
+            held.append(df.persist())
+            return held[-1]
+
+        new = ingest(batch, first_n=first_n, hold=hold)
         new.emails.withColumn("status", F.lit("extracting")).write.mode("overwrite").parquet(
             f"{target}/emails/batch_id={batch_id}"
         )
         new.attachments.write.mode("overwrite").parquet(f"{target}/attachments/batch_id={batch_id}")
+        for df in held:
+            df.unpersist()
 
     files = stream_message_files(spark, source, pattern, files_per_batch)
     return files.writeStream.option("checkpointLocation", checkpoint).foreachBatch(write)
