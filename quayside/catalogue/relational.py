@@ -3,16 +3,16 @@
 from pyspark.sql import functions as F
 
 from quayside.catalogue.registry import (
-    CUSTOMER_EMAILS_SQL, DOCUMENT_ATTACHMENTS_SQL, LINE_RECORDS_SQL, ORDER_ATTACHMENTS_SQL, customer_emails,
-    document_attachments, event_records, line_records, map_text, order_attachments, query, table, text_time,
+    CUSTOMER_EMAILS_SQL, DOCUMENT_ATTACHMENTS_SQL, EVENT_PRIORITY, LINE_RECORDS_SQL, ORDER_ATTACHMENTS_SQL,
+    conversation_attachments, customer_emails, document_attachments, event_records, line_records, map_text,
+    order_attachments, query, table, text_time,
 )
-from quayside.functions.text import escape_html, or_dash, plural
+from quayside.functions.text import escape_html, or_dash, plural, status_label
 from quayside.operators import counts, joins, select
 from quayside.session import shared_path
 from quayside.sources.tables import append_rows as append
 from quayside.sources.tables import create_views, read_table
 from quayside.operators.superset import key_superset
-from quayside.catalogue.registry import EVENT_PRIORITY, conversation_attachments
 
 
 _FULL_SQL = """
@@ -210,13 +210,12 @@ def error_preview(spark, sf):
 
 
 @query("""
-    SELECT (SELECT COUNT(*) FROM lineitem) AS records,
-           (SELECT COALESCE(SUM(quality), 0) FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id) AS extracted""")
+    SELECT 'stored' AS kind, COUNT(*) AS total_records FROM lineitem
+    UNION ALL SELECT 'extracted', CAST(COALESCE(SUM(quality), 0) AS BIGINT) FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id""")
 def totals(spark, sf):
-    all_records = counts.total_records(line_records(spark, sf)).select(F.col("total_records").alias("records"))
+    stored = counts.total_records(line_records(spark, sf)).withColumn("kind", F.lit("stored"))
     tried = table(spark, sf, "documents").join(table(spark, sf, "labels"), "doc_id", "left")
-    extracted = counts.extraction_total(tried, "quality").select(F.col("total_records").alias("extracted"))
-    return all_records.withColumn("_j", F.lit(1)).join(extracted.withColumn("_j", F.lit(1)), "_j").drop("_j")
+    return stored.unionByName(counts.extraction_total(tried, "quality").withColumn("kind", F.lit("extracted")))
 
 
 @query("""
@@ -274,8 +273,6 @@ def first_ready_email(spark, sf):
            filename || CASE WHEN length(filename) - 4 <> 1 THEN 's' ELSE '' END AS counted
     FROM ({ORDER_ATTACHMENTS_SQL})""")
 def previewable(spark, sf):
-    from quayside.functions.text import status_label
-
     return order_attachments(spark, sf).select(
         "attachment_id", select.is_previewable().alias("can_preview"), status_label("status").alias("label"),
         F.concat("filename", plural(F.length("filename") - 4)).alias("counted"),

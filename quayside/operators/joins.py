@@ -10,10 +10,22 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quayside.operators.select import newest_first
+from quayside.session import pin
 
 CHILDREN_PER_ROW = 1_000
 
 
+def attach(rows: DataFrame, per_key: DataFrame, on: list[str], how: str = "left") -> DataFrame:
+    """Join a table of one row per key to rows whose keys may be hot.
+
+    The per-key side is pinned first, for two reasons. Its size is then known, so a small one is
+    broadcast and the rows stay where they are. And a large one is read from a table: adaptive
+    execution splits a hot key only between two plain shuffles, not against an aggregate that is
+    already placed by that key.
+    """
+    return rows.join(pin(per_key), on, how)
+
+
 def records_full(records: DataFrame, attachments: DataFrame, emails: DataFrame) -> DataFrame:
     """Records with their source file and e-mail."""
     return (

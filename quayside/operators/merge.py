@@ -143,7 +143,7 @@ def replace_children(
     An attachment without new records keeps its rows, status and error.
     """
     done = new_records.select("attachment_id").distinct()
-    new_snapshot = without_removed(records, done, "attachment_id").unionByName(
+    new_snapshot = without_removed(records, new_records, "attachment_id").unionByName(
         new_records, allowMissingColumns=True
     ).select(*records.columns)
     marked = attachments.join(done.withColumn("_done", F.lit(True)), "attachment_id", "left")

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from quayside.config_tables import FIRST_N_ATTACHMENTS, RECENT_EVENTS
 from quayside.functions.text import ColumnLike, col
+from quayside.operators.joins import attach
 from quayside.operators.select import contains_ignoring_case, is_ready, source_key
 from quayside.session import pin
 
@@ -74,13 +75,13 @@ def with_group_break(df: DataFrame, by: list[str], group: str, position: str) ->
     """True on the first row of each source. Sources are contiguous in grid order, so the row
     that differs from its predecessor is the source's lowest one; no look-back is needed."""
     first = df.groupBy(*by, group).agg(F.min(position).alias("_first"))
-    return df.join(first, [*by, group]).withColumn("is_break", F.col(position) == F.col("_first")).drop("_first")
+    return attach(df, first, [*by, group]).withColumn("is_break", F.col(position) == F.col("_first")).drop("_first")
 
 
 def with_first_row_flag(rows: DataFrame, by: str, position: str, status: ColumnLike = "email_status") -> DataFrame:
     """True on the first row, in list order, of each e-mail that is ready."""
     ready = rows.where(is_ready(status)).groupBy(by).agg(F.min(position).alias("_first"))
-    return rows.join(ready, by, "left").withColumn(
+    return attach(rows, ready, [by]).withColumn(
         "show_action", F.coalesce(F.col(position) == F.col("_first"), F.lit(False))
     ).drop("_first")
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quayside.config_tables import DEFAULT_INTRO, REPORT_COLUMNS
 from quayside.functions.maps import filled_mask, mask_has, report_cells
-from quayside.functions.text import escape_html, let, or_dash
+from quayside.functions.text import escape_html, or_dash
 from quayside.functions.zones import zone_position
 from quayside.operators.ranking import number_rows, stripe
 from quayside.operators.select import source_key

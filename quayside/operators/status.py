@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quayside.config_tables import EVENT_STATUS, TERMINAL_EVENTS
 from quayside.functions.text import ColumnLike, col
+from quayside.operators.joins import attach
 
 
 def status_of(event_type: ColumnLike, mapping: dict[str, str] = EVENT_STATUS) -> Column:
@@ -41,7 +42,7 @@ def job_events(events: DataFrame, job_id) -> DataFrame:
 def up_to_terminal(events: DataFrame, terminal: list[str] = TERMINAL_EVENTS) -> DataFrame:
     """A job's events up to and including its first terminal one."""
     ends = events.where(F.col("type").isin(terminal)).groupBy("job_id").agg(F.min("seq").alias("_end"))
-    return events.join(ends, "job_id", "left").where(
+    return attach(events, ends, ["job_id"]).where(
         F.col("_end").isNull() | (F.col("seq") <= F.col("_end"))
     ).drop("_end")
 

@@ -2,11 +2,12 @@
 
 import re
 
+import pytest
 from pyspark.sql import functions as F
 
 from quayside.catalogue import registry as r
 from quayside.config_tables import zone_rules
-from quayside.operators import joins, ranking, replies, select, status, superset, zones
+from quayside.operators import joins, merge, ranking, replies, select, status, superset, zones
 from quayside.operators.counts import error_details
 from quayside.catalogue.messages import document_messages
 from quayside.plans.ingest import _chosen
@@ -74,3 +75,40 @@ def test_reply_is_parsed_once(spark):
     plan = plan_of(replies.records_from_replies(replies.parsed_attempts(resolved), ["strategy"]))
     assert plan.split("\n\n")[0].count("ArrowEvalPython") == 1
     assert len(set(re.findall(r"parse\([^)]*\)#\d+", plan))) == 1
+
+
+@pytest.fixture
+def small_skew_limits(spark):
+    """Adaptive limits low enough for the hot key of a test table to count as skewed."""
+    conf = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "2000",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "2000",
+    }
+    for key, value in conf.items():
+        spark.conf.set(key, value)
+    yield
+    for key in conf:
+        spark.conf.unset(key)
+
+
+def test_hot_keys_of_joins_are_split(spark, small_skew_limits):
+    """A third of the line items sits under one e-mail; its share of the join is spread out."""
+    lines = r.table(spark, SF, "lineitem").select(
+        F.when(F.col("l_linenumber") % 3 == 0, 0).otherwise(F.col("l_suppkey")).alias("email_id"),
+        F.create_map(F.col("l_returnflag"), F.col("l_linestatus")).alias("dynamic_data"), F.col("l_orderkey").alias("record_id"),
+        F.col("l_orderkey").alias("attachment_id"), F.lit("f").alias("filename"), F.lit("r").alias("region"), F.lit(0).alias("record_pos"),
+    ).repartition(8).cache()
+    emails = r.table(spark, SF, "supplier").select(F.col("s_suppkey").alias("email_id"), "s_name")
+    feed = lines.select(F.col("email_id").alias("job_id"), F.col("record_id").alias("seq"), F.lit("x").alias("type"))
+    hot_files = lines.withColumn("attachment_id", F.col("email_id"))
+    for df in (
+        superset.backfill_records(lines, superset.key_superset(lines, ["email_id"]), ["email_id"]),
+        status.up_to_terminal(feed, ["x"]),
+        ranking.with_group_break(hot_files, ["email_id"], "attachment_id", "record_id"),
+        merge.delete_rows(lines, emails.where("email_id > 5"), "email_id"),
+        lines.join(emails, "email_id"),
+    ):
+        df.collect()
+        assert "skew=true" in df._jdf.queryExecution().executedPlan().toString()
