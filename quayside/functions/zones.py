@@ -69,3 +69,9 @@ def zone_position(zone: ColumnLike) -> Column:
     """0-based display position; unknown zones come after all known ones."""
     found = F.array_position(F.array(*[F.lit(name) for name, _, _ in ZONES]), col(zone)).cast("int")
     return F.when(found > 0, found - 1).otherwise(F.lit(len(ZONES)))
+
+
+def zone_coordinate(zone: ColumnLike, axis: str) -> Column:
+    """``lat`` or ``lng`` of a zone from the fixed list, 0 for an unknown one. Eight constants need no join."""
+    pairs = [F.lit(x) for name, lat, lng in ZONES for x in (name, lat if axis == "lat" else lng)]
+    return F.coalesce(F.create_map(*pairs)[col(zone)], F.lit(0.0))

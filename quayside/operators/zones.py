@@ -5,9 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quayside import config_tables
 from quayside.config_tables import UNSPECIFIED, ZONE_RULES
-from quayside.functions.zones import Rules, place_of, zone_of_place, zone_or_default, zone_position
+from quayside.functions.zones import Rules, place_of, zone_coordinate, zone_of_place, zone_or_default, zone_position
 from quayside.session import pin
 
 BROADCAST_RULES = 20_000
@@ -83,12 +82,8 @@ def _hits_by_equality(places: DataFrame, rules: DataFrame) -> DataFrame:
 
 
 def with_coordinates(df: DataFrame) -> DataFrame:
-    """Add latitude and longitude of ``zone``; (0, 0) for an unknown one. The lookup is 8 fixed rows."""
-    places = config_tables.zones(df.sparkSession).select("zone", "lat", "lng")
-    return df.join(F.broadcast(places), "zone", "left").withColumns({
-        "lat": F.coalesce("lat", F.lit(0.0)),
-        "lng": F.coalesce("lng", F.lit(0.0)),
-    })
+    """Add latitude and longitude of ``zone``; (0, 0) for an unknown one."""
+    return df.withColumns({"lat": zone_coordinate("zone", "lat"), "lng": zone_coordinate("zone", "lng")})
 
 
 def zone_counts(zoned: DataFrame, by: list[str] | None = None) -> DataFrame:
