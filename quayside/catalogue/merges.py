@@ -95,10 +95,11 @@ def add_blank_rows(spark, sf):
     )
 
 
-@query("SELECT c_custkey AS email_id FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+@query("SELECT c_custkey AS email_id FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'P')")
 def unmatched_requests(spark, sf):
     asked = table(spark, sf, "customer").select(F.col("c_custkey").alias("email_id"))
-    return merge.unmatched_requests(asked, order_attachments(spark, sf)).select("email_id")
+    pending = order_attachments(spark, sf).where(F.col("status") == "pending")
+    return merge.unmatched_requests(asked, pending).select("email_id")
 
 
 @query(f"""
