@@ -23,4 +23,4 @@ def test_driver_contract(spark):
     rows = driver.entry(spark).collect()
     assert rows and [r.zone_pos for r in rows] == sorted(r.zone_pos for r in rows)
     assert set(driver.oracle_sql()) <= set(driver.queries())
-    assert set(ORACLES) == set(driver.oracle_sql())
+    assert set(ORACLES) <= set(driver.oracle_sql())
