@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from quayside.session import pin, prepare
 
@@ -28,6 +33,29 @@ def bytes_of(column: str) -> Column:
     return F.coalesce(F.col(column), F.lit("")).cast("binary")
 
 
+def append_columns(docs: DataFrame, column: str, added: str, start: Callable[[], Callable[[list], list[list]]]) -> DataFrame:
+    """``docs`` with columns computed from the values of one column, batch by batch and map-only.
+
+    ``added`` is the new columns' schema as DDL; ``start`` makes, once per task, the function from a
+    batch's values to one list per new column. Columns of the input pass through as they
+    are; those named like a new one are replaced.
+    """
+    new = StructType.fromDDL(added)
+    kept = [f for f in docs.schema if f.name not in new.names]
+    arrow = to_arrow_schema(new)
+    names = [f.name for f in kept] + new.names
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        compute = start()
+        for batch in batches:
+            made = compute(batch.column(len(kept)).to_pylist())
+            arrays = [pa.array(values, f.type) for values, f in zip(made, arrow)]
+            yield pa.RecordBatch.from_arrays(batch.columns[:len(kept)] + arrays, names)
+
+    source = docs.select(*[F.col(f"`{f.name}`") for f in kept], F.col(f"`{column}`").alias("__value"))
+    return source.mapInArrow(run, StructType(kept + new.fields))
+
+
 def _signature(links: DataFrame) -> tuple:
     return tuple(links.agg(F.count("*"), F.sum(F.xxhash64("a", "b") % 1_000_003)).first())
 

@@ -1,0 +1,33 @@
+"""SQL that must agree with the mixing query."""
+
+MIX_SQL = r"""
+WITH RECURSIVE sized AS (
+    SELECT doc_id, source, CAST(COALESCE(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size, length(text) AS n
+    FROM documents),
+keyed AS (
+    SELECT *, -ln((CAST('0x' || substr(md5('mix:' || COALESCE(CAST(doc_id AS VARCHAR), '')), 1, 13) AS BIGINT) + 1) / 4503599627370496.0)
+              / CASE WHEN n BETWEEN 3 * size AND 9 * size THEN 1.0 ELSE 0.5 END AS key
+    FROM sized),
+ranked AS (
+    SELECT source, CAST(SUM(size) AS BIGINT) AS source_size, row_number() OVER (ORDER BY source NULLS LAST) AS rank FROM sized GROUP BY source),
+weighed AS (SELECT *, CASE (rank - 1) % 3 WHEN 0 THEN 5 WHEN 1 THEN 2 ELSE 1 END AS weight FROM ranked),
+total AS (SELECT CAST(SUM(source_size) AS DOUBLE) AS total FROM weighed),
+levels AS (
+    SELECT 0 AS step, CAST(0 AS DOUBLE) AS level, CAST(-1 AS DOUBLE) AS before
+    UNION ALL
+    SELECT step + 1,
+           (SELECT (total - SUM(CASE WHEN w.weight * l.level > 3 * w.source_size THEN 3 * w.source_size ELSE 0 END))
+                   / SUM(CASE WHEN w.weight * l.level > 3 * w.source_size THEN 0 ELSE w.weight END) FROM weighed w, total GROUP BY total),
+           level
+    FROM levels l WHERE level <> before),
+targets AS (
+    SELECT source, source_size, LEAST(weight * (SELECT arg_max(level, step) FROM levels), CAST(3 * source_size AS DOUBLE)) AS target FROM weighed),
+budgets AS (
+    SELECT *, LEAST(CAST(round(target) AS BIGINT), 3 * source_size) AS budget FROM targets),
+ordered AS (
+    SELECT k.doc_id, k.source, k.size, b.source_size, b.target, b.budget // NULLIF(b.source_size, 0) AS epochs, b.budget % NULLIF(b.source_size, 0) AS rest,
+           SUM(k.size) OVER (PARTITION BY k.source ORDER BY k.key, k.size) AS done
+    FROM keyed k JOIN budgets b ON k.source IS NOT DISTINCT FROM b.source)
+SELECT doc_id, source, size, source_size, target,
+       CAST(CASE WHEN size = 0 THEN 0 ELSE epochs * size + GREATEST(0, LEAST(size, rest - (done - size))) END AS BIGINT) AS taken
+FROM ordered"""

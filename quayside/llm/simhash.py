@@ -118,5 +118,19 @@ def near_duplicates(docs: DataFrame, distance: int = 2, words: int = 3, blocks:
     return prints.join(named, "fingerprint").select("doc_id", "fingerprint", "component_id")
 
 
+def distinct_documents(docs: DataFrame, distance: int = 2, words: int = 3) -> DataFrame:
+    """``docs`` with one row of every component: that with the smallest doc_id.
+
+    Of repeated rows with one id and text one stays; documents without an id stay, as no id can name
+    them. Only ids and fingerprints meet the links; the texts are joined once to the ids that go.
+    """
+    found = pin(near_duplicates(docs, distance, words))
+    copies = found.where("doc_id <> component_id").select("doc_id")
+    stay = docs.join(pin(copies.distinct()), "doc_id", "left_anti")
+    again = pin(found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id"))
+    once = stay.join(again, "doc_id", "left_anti")
+    return once.select(*docs.columns).unionByName(stay.join(again, "doc_id", "left_semi").select(*docs.columns).dropDuplicates(["doc_id", "text"]))
+
+
 def hex_digits(fingerprint: str) -> Column:
     return F.lower(F.lpad(F.hex(fingerprint), 16, "0"))
