@@ -17,7 +17,7 @@ from quayside.session import pin
 
 GRAM = 4
 RARE = 8.0
-SCORE = 0.5
+SCORE = 0.45
 MATCH, MISMATCH, GAP = 1.0, -0.5, -0.6
 _LETTERS = str.maketrans({c: " " for c in "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"})
 

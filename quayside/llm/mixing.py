@@ -57,10 +57,10 @@ def running_total(rows: DataFrame, group: list[str], order: list[str], value: st
 
 
 def measured(docs: DataFrame, quality: Column | None = None, keep: Sequence[str] = ("doc_id", "source")) -> DataFrame:
-    """``keep`` of ``docs`` with size (words) and key (place in the source's order). One pass over the texts."""
+    """``keep`` of ``docs`` with size (words) and __key (place in the source's order). One pass over the texts."""
     sized = docs.withColumn("size", word_count())
     key = exponential_key("doc_id", prose_quality() if quality is None else quality)
-    return sized.select(*[F.col(f"`{c}`") for c in keep if c not in ("size", "key")], "size", key.alias("key"))
+    return sized.select(*[F.col(f"`{c}`") for c in keep if c != "size"], "size", key.alias("__key"))
 
 
 def source_targets(sized: DataFrame, weights: Sequence[int] = WEIGHTS, most: int = MOST) -> DataFrame:
@@ -100,21 +100,25 @@ def mix_plan(sized: DataFrame, weights: Sequence[int] = WEIGHTS, most: int = MOS
     shares = targets.withColumn("epochs", F.coalesce(F.floor(budget / F.nullif("source_size", F.lit(0))), F.lit(0)).cast("long"))
     shares = pin(shares.withColumn("rest", budget - F.col("epochs") * F.col("source_size")))
     rows = sized.where("size > 0").join(shares.select("rank", F.col("source").alias("__source")), F.col("source").eqNullSafe(F.col("__source")))
-    rows = rows.groupBy("rank", "key", "size").agg(F.sum("size").alias("words"), F.count("*").alias("copies"))
+    rows = rows.groupBy("rank", F.col("__key").alias("key"), "size").agg(F.sum("size").alias("words"), F.count("*").alias("copies"))
     summed = running_total(rows, ["rank"], ["key", "size"], "words", "sum")
     cut = summed.join(shares.select("rank", "rest"), "rank").where("sum - words <= rest and rest < sum").select(
         "rank", F.col("key").alias("cut_key"), F.col("size").alias("cut_size"), F.expr("(rest - sum + words) div copies").alias("cut_part"))
     return pin(shares.join(cut, "rank", "left").select("source", "source_size", "target", "epochs", "cut_key", "cut_size", "cut_part"))
 
 
+RESULTS = ("size", "source_size", "target", "taken")
+
+
 def take(rows: DataFrame, plan: DataFrame) -> DataFrame:
-    """``rows`` (source, size, key, ...) with source_size, target and taken (words, repeats counted), without key."""
-    plan = plan.withColumnRenamed("source", "__source")
-    order, cut = F.struct("key", "size"), F.struct(F.col("cut_key").alias("key"), F.col("cut_size").alias("size"))
-    part = F.when(F.col("cut_key").isNull(), 0).when(order < cut, F.col("size")).when(order == cut, F.least("cut_part", "size")).otherwise(0)
-    return rows.join(plan, F.col("source").eqNullSafe(F.col("__source"))).withColumn(
-        "taken", (F.col("epochs") * F.col("size") + F.when(F.col("size") > 0, part).otherwise(0)).cast("long")
-    ).drop("__source", "epochs", "cut_key", "cut_size", "cut_part", "key")
+    """``rows`` (source, size, __key, ...) with source_size, target and taken (words, repeats counted), without __key."""
+    plan = plan.select(*[F.col(c).alias(f"__{c}") for c in plan.columns])
+    order, cut = F.struct(F.col("__key").alias("key"), "size"), F.struct(F.col("__cut_key").alias("key"), F.col("__cut_size").alias("size"))
+    part = F.when(F.col("__cut_key").isNull(), 0).when(order < cut, F.col("size")).when(order == cut, F.least("__cut_part", "size")).otherwise(0)
+    taken = F.col("__epochs") * F.col("size") + F.when(F.col("size") > 0, part).otherwise(0)
+    return rows.join(plan, F.col("source").eqNullSafe(F.col("__source"))).select(
+        *[F.col(f"`{c}`") for c in rows.columns if c != "__key"], F.col("__source_size").alias("source_size"),
+        F.col("__target").alias("target"), taken.cast("long").alias("taken"))
 
 
 def mix(docs: DataFrame, weights: Sequence[int] = WEIGHTS, most: int = MOST, quality: Column | None = None) -> DataFrame:
@@ -131,11 +135,10 @@ def mix(docs: DataFrame, weights: Sequence[int] = WEIGHTS, most: int = MOST, qua
 
 
 def mixed_documents(docs: DataFrame, weights: Sequence[int] = WEIGHTS, most: int = MOST, quality: Column | None = None) -> DataFrame:
-    """The documents of which words are taken, all their columns, with size, source_size, target and taken.
+    """The documents of which words are taken, all their columns, with size, source_size, target and taken (replaced if there).
 
     Texts are read twice, once to plan and once to emit, and never shuffled.
     """
     prepare(docs.sparkSession)
-    added = ("size", "key", "source_size", "target", "taken", "epochs", "cut_key", "cut_size", "cut_part")
     plan = mix_plan(pin(measured(docs, quality)), weights, most)
-    return take(measured(docs, quality, [c for c in docs.columns if c not in added]), plan).where("taken > 0")
+    return take(measured(docs, quality, [c for c in docs.columns if c not in RESULTS]), plan).where("taken > 0")
