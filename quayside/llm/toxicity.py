@@ -28,7 +28,7 @@ def features(word: str) -> list[int]:
     return [zlib.crc32(f.encode()) % BUCKETS for f in found]
 
 
-def sample(docs: DataFrame, labels: DataFrame, per_class: int = 4000, characters: int = 40_000_000) -> DataFrame:
+def sample(docs: DataFrame, labels: DataFrame, per_class: int = 4000, characters: int = 10_000_000) -> DataFrame:
     """A bounded training sample (pick, text, toxic, weight), pinned.
 
     At most ``per_class`` labelled rows of each class, those of smallest hash of doc_id, and of
@@ -60,7 +60,7 @@ def sample(docs: DataFrame, labels: DataFrame, per_class: int = 4000, characters
 
 
 def _featurised(rows: DataFrame) -> DataFrame:
-    """(pick, toxic, weight, lengths, buckets): per sentence how many buckets, and all buckets in order."""
+    """(pick, toxic, weight, lengths, buckets): per sentence how many buckets, and all buckets in order, as 32-bit numbers in bytes."""
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known: dict[str, list[int]] = {}
         for frame in frames:
@@ -76,12 +76,12 @@ def _featurised(rows: DataFrame) -> DataFrame:
                             known[w] = features(w)
                         b += known[w]
                     n.append(len(b) - before)
-                lengths.append(np.array(n, np.int32))
-                buckets.append(np.array(b, np.int32))
+                lengths.append(np.array(n, np.int32).tobytes())
+                buckets.append(np.array(b, np.int32).tobytes())
             yield pd.DataFrame({"pick": frame["pick"], "toxic": frame["toxic"], "weight": frame["weight"], "lengths": lengths, "buckets": buckets})
 
     return rows.select("pick", "text", "toxic", "weight").mapInPandas(
-        run, "pick long, toxic int, weight double, lengths array<int>, buckets array<int>")
+        run, "pick long, toxic int, weight double, lengths binary, buckets binary")
 
 
 def _softplus(z: np.ndarray) -> np.ndarray:
@@ -97,29 +97,34 @@ def fit(rows: DataFrame, rounds: int = 300, least: int = 3, deviation: float = 3
     toxic with P = 1 - prod(1 - p_s) over their sentences; Adam climbs the labels' log
     likelihood. Without both classes the model has no weights and scores all as clean.
     """
-    data = sorted(_featurised(rows).collect(), key=lambda r: (r.pick, len(r.buckets), r.toxic, r.buckets[:50]))
+    data = sorted(_featurised(rows).collect(), key=lambda r: (r.pick, r.toxic, bytes(r.buckets)))
     y = np.array([r.toxic for r in data], float)
     if not 0 < y.sum() < len(y):
         return {"bias": -20.0, "weights": {}}
     weight = np.array([r.weight for r in data])
-    lengths = [np.array(r.lengths, np.int64) for r in data]
-    doc_of_sentence = np.repeat(np.arange(len(data)), [len(n) for n in lengths])
-    sentence_of = np.repeat(np.arange(len(doc_of_sentence)), np.concatenate(lengths))
-    bucket = np.concatenate([np.array(r.buckets, np.int64) for r in data])
+    lengths = [np.frombuffer(r.lengths, np.int32) for r in data]
+    buckets = [np.frombuffer(r.buckets, np.int32) for r in data]
 
     toxic_in, all_in = np.zeros(BUCKETS), np.zeros(BUCKETS)
-    for r, c in zip(data, y):
-        own = np.unique(np.array(r.buckets, np.int64))
-        all_in[own] += r.weight
-        toxic_in[own] += c * r.weight
+    for own, w, c in zip(map(np.unique, buckets), weight, y):
+        all_in[own] += w
+        toxic_in[own] += c * w
     share = (y * weight).sum() / weight.sum()
     expected = all_in * share
     rise = float(weight[y == 1].min())
     chosen = np.flatnonzero((toxic_in >= least * rise) & (toxic_in - expected > deviation * np.sqrt(np.maximum(expected, 1e-9))))
-    place = np.full(BUCKETS, -1, np.int64)
+    place = np.full(BUCKETS, -1, np.int32)
     place[chosen] = np.arange(len(chosen))
-    use = place[bucket] >= 0
-    column, sentence = place[bucket[use]], sentence_of[use]
+    # Only the occurrences of chosen buckets are kept, a small part of all.
+    doc_of_sentence = np.repeat(np.arange(len(data), dtype=np.int32), [len(n) for n in lengths])
+    column, sentence, at = [], [], 0
+    for own, n in zip(buckets, lengths):
+        use = np.flatnonzero(place[own] >= 0)
+        column.append(place[own[use]])
+        sentence.append(at + np.searchsorted(np.cumsum(n), use, side="right"))
+        at += len(n)
+    column, sentence = np.concatenate(column), np.concatenate(sentence)
+    del data, buckets
 
     theta = np.zeros(len(chosen) + 1)
     theta[-1] = start
@@ -127,7 +132,7 @@ def fit(rows: DataFrame, rounds: int = 300, least: int = 3, deviation: float = 3
     for t in range(1, rounds + 1):
         z = theta[-1] + np.bincount(sentence, theta[column], len(doc_of_sentence))
         p = 1 / (1 + np.exp(-np.clip(z, -60, 60)))
-        clean = np.bincount(doc_of_sentence, _softplus(z), len(data))
+        clean = np.bincount(doc_of_sentence, _softplus(z), len(y))
         whole = np.maximum(-np.expm1(-clean), 1e-12)
         slope = (weight * (y / whole - 1))[doc_of_sentence] * p
         grad = np.append(np.bincount(column, slope[sentence], len(chosen)) - l2 * theta[:-1], slope.sum()) / weight.sum()
