@@ -21,6 +21,7 @@ HEADLINE = [
     "attempt_resolution", "retry_failed", "request_text", "html_to_text", "html_word_count", "rfc_date_parse",
     "first_n_children", "numbered_lineitems", "inbox", "merge_by_key", "apply_edits", "integrity_report",
     "latest_status", "terminal_jobs", "running_totals", "recent_log_per_job", "message_parts", "stream_latest_status",
+    "report_documents", "normalise_flow", "grid_stats_columns", "zone_match_equality", "superset_rows", "stream_recent_log",
 ]
 
 

@@ -6,7 +6,7 @@ from importlib import import_module
 
 from quayside.catalogue.registry import ORACLES, QUERIES
 
-for _name in ("relational", "zones", "maps", "replies", "text", "merges", "ranking", "status", "messages", "report"):
+for _name in ("relational", "zones", "maps", "replies", "text", "merges", "ranking", "status", "messages", "report", "flows"):
     import_module(f"quayside.catalogue.{_name}")
 
 __all__ = ["ORACLES", "QUERIES"]

@@ -148,21 +148,32 @@ def selection_state(spark, sf):
 @query(f"""
     WITH e AS ({CUSTOMER_EMAILS_SQL}), a AS ({ORDER_ATTACHMENTS_SQL}), r AS ({LINE_RECORDS_SQL})
     SELECT 'emails.message_id repeated' AS check_name, (SELECT COUNT(*) FROM (SELECT sender FROM e GROUP BY 1 HAVING COUNT(*) > 1)) AS violations
-    UNION ALL SELECT 'attachments without email', (SELECT COUNT(*) FROM a WHERE email_id NOT IN (SELECT email_id FROM e))
-    UNION ALL SELECT 'records without attachment', (SELECT COUNT(*) FROM r WHERE attachment_id NOT IN (SELECT attachment_id FROM a WHERE status <> 'error'))
-    UNION ALL SELECT 'emails.status unknown', 0
-    UNION ALL SELECT 'attachments.status unknown', 0
-    UNION ALL SELECT 'emails.subject missing', 0 UNION ALL SELECT 'emails.sender missing', 0
-    UNION ALL SELECT 'emails.date_received missing', 0 UNION ALL SELECT 'emails.status missing', 0
-    UNION ALL SELECT 'attachments.email_id missing', 0 UNION ALL SELECT 'attachments.filename missing', 0
-    UNION ALL SELECT 'attachments.status missing', 0 UNION ALL SELECT 'records.attachment_id missing', 0
-    UNION ALL SELECT 'records.dynamic_data missing', 0""")
+    UNION ALL SELECT 'attachments without email', (SELECT COUNT(*) FROM a WHERE status <> 'error' AND (attachment_id % 6 = 0 OR email_id NOT IN (SELECT email_id FROM e)))
+    UNION ALL SELECT 'records without attachment', (SELECT COUNT(*) FROM r WHERE record_pos = 2 OR attachment_id NOT IN (SELECT attachment_id FROM a WHERE status <> 'error'))
+    UNION ALL SELECT 'emails.status unknown', (SELECT COUNT(*) FROM e WHERE email_id % 5 = 1)
+    UNION ALL SELECT 'attachments.status unknown', (SELECT COUNT(*) FROM a WHERE status = 'pending' AND attachment_id % 4 <> 1)
+    UNION ALL SELECT 'emails.subject missing', (SELECT COUNT(*) FROM e WHERE email_id % 7 = 0)
+    UNION ALL SELECT 'emails.sender missing', (SELECT COUNT(*) FROM e WHERE sender = 'BUILDING')
+    UNION ALL SELECT 'emails.date_received missing', (SELECT COUNT(*) FROM e WHERE email_id % 11 = 3)
+    UNION ALL SELECT 'emails.status missing', (SELECT COUNT(*) FROM e WHERE email_id % 5 = 2)
+    UNION ALL SELECT 'attachments.email_id missing', (SELECT COUNT(*) FROM a WHERE status <> 'error' AND attachment_id % 6 = 0)
+    UNION ALL SELECT 'attachments.filename missing', (SELECT COUNT(*) FROM a WHERE status <> 'error' AND filename = '5-LOW')
+    UNION ALL SELECT 'attachments.status missing', (SELECT COUNT(*) FROM a WHERE status <> 'error' AND attachment_id % 4 = 1)
+    UNION ALL SELECT 'records.attachment_id missing', (SELECT COUNT(*) FROM r WHERE record_pos = 2)
+    UNION ALL SELECT 'records.dynamic_data missing', (SELECT COUNT(*) FROM r WHERE region = 'R')""")
 def integrity_report(spark, sf):
-    """Segments stand for message ids (all repeat); failed attachments are left out (orphans)."""
-    emails = customer_emails(spark, sf).withColumn("message_id", F.col("sender"))
-    attachments = order_attachments(spark, sf)
-    report = merge.integrity_report(emails, attachments.where(F.col("status") != "error"), line_records(spark, sf))
-    return report
+    """Segments stand for message ids (all repeat); failed attachments are left out (orphans), and every check is violated."""
+    def without(df, **gone):
+        return df.withColumns({c: F.when(~F.coalesce(F.expr(when), F.lit(False)), F.col(c)) for c, when in gone.items()})
+
+    odd = F.when(F.col("email_id") % 5 == 1, "lost").otherwise(F.col("status"))
+    emails = without(customer_emails(spark, sf).withColumn("message_id", F.col("sender")).withColumn("status", odd),
+                     subject="email_id % 7 = 0", sender="sender = 'BUILDING'", date_received="email_id % 11 = 3", status="email_id % 5 = 2")
+    kept = order_attachments(spark, sf).where(F.col("status") != "error")
+    attachments = without(kept, email_id="attachment_id % 6 = 0", filename="filename = '5-LOW'", status="attachment_id % 4 = 1").withColumn(
+        "status", F.when(F.col("status") == "pending", "odd").otherwise(F.col("status")))
+    records = without(line_records(spark, sf), attachment_id="record_pos = 2", dynamic_data="region = 'R'")
+    return merge.integrity_report(emails, attachments, records)
 
 
 @query("""

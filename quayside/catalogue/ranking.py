@@ -15,7 +15,7 @@ from quayside.plans import views
     SELECT conv_id AS email_id, turn AS part_index, printf('attachment_%03d.eml', turn) AS filename FROM (
         SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS rn FROM conversations) WHERE rn <= 5""")
 def first_n_children(spark, sf):
-    kept = ranking.first_n_attachments(conversation_attachments(spark, sf))
+    kept = ranking.first_n_attachments(conversation_attachments(spark, sf), 5)
     return kept.select("email_id", "part_index", part_filename(F.lit(""), "part_index").alias("filename"))
 
 

@@ -75,8 +75,9 @@ def counts_report(spark, sf):
 
 _NESTED_SQL = """
     SELECT d.doc_id AS email_id, {chunk} AS chunk, COUNT(c.conv_id) AS n_children,
-           COALESCE(string_agg(c.turn || ':' || c.role || ':' || length(c.text), '|' ORDER BY c.turn), '') AS children
-    FROM documents d LEFT JOIN conversations c ON c.conv_id = d.doc_id
+           COALESCE(string_agg(c.turn || ':' || c.role || ':' || length(c.text), '|' ORDER BY c.k), '') AS children
+    FROM documents d LEFT JOIN (
+        SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, length(text)) - 1 AS k FROM conversations) c ON c.conv_id = d.doc_id
     GROUP BY ALL"""
 
 
@@ -95,7 +96,7 @@ def nested_children(spark, sf):
     return _nested(spark, sf, joins.CHILDREN_PER_ROW)
 
 
-@query(_NESTED_SQL.format(chunk="CAST(COALESCE(c.turn // 4, 0) AS BIGINT)"))
+@query(_NESTED_SQL.format(chunk="CAST(COALESCE(c.k // 4, 0) AS BIGINT)"))
 def nested_children_split(spark, sf):
     return _nested(spark, sf, 4)
 
@@ -174,10 +175,12 @@ def filter_conjunction(spark, sf):
     return select.project(select.is_in(picked, "o_custkey", buyers), "o_orderkey, o_custkey, o_totalprice")
 
 
-@query("SELECT doc_id FROM labels WHERE FALSE")
+@query("SELECT doc_id FROM labels WHERE quality = 0")
 def filter_empty_list(spark, sf):
+    """An empty list and a comparison with null keep nothing; what is left comes from a list of one."""
     labels = table(spark, sf, "labels")
-    return select.is_in(labels, "quality", []).unionByName(labels.where(select.eq("quality", None))).select("doc_id")
+    nothing = select.is_in(labels, "quality", []).unionByName(labels.where(select.eq("quality", None)))
+    return nothing.unionByName(select.is_in(labels, "quality", [0])).select("doc_id")
 
 
 @query("""

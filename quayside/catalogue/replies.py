@@ -72,7 +72,7 @@ def reply_repair(spark, sf):
 
 def event_attempts(spark, sf):
     """Attempts by event type: view ok at once; click fails, then gives nothing; purchase fails,
-    then works; error fails three times and a fourth attempt does not count; signup gives nothing."""
+    then works; error fails three times and works at the fourth; signup gives nothing."""
     events = event_replies(spark, sf)
     plans = {
         "view": [("c", None)], "click": [(None, "boom"), ("[]", None)],
@@ -94,9 +94,9 @@ def event_attempts(spark, sf):
 
 @query("""
     SELECT CAST(event_id AS VARCHAR) AS attachment_id,
-           CASE event_type WHEN 'click' THEN 'error' WHEN 'error' THEN 'error' ELSE 'done' END AS status,
-           CASE event_type WHEN 'click' THEN 'boom' WHEN 'error' THEN 'e3' END AS error_message,
-           CASE WHEN event_type IN ('view', 'purchase') THEN 2 ELSE 0 END AS record_count
+           CASE event_type WHEN 'click' THEN 'error' ELSE 'done' END AS status,
+           CASE event_type WHEN 'click' THEN 'boom' END AS error_message,
+           CASE WHEN event_type IN ('view', 'purchase') THEN 2 WHEN event_type = 'error' THEN 2 ELSE 0 END AS record_count
     FROM events""")
 def attempt_resolution(spark, sf):
     parsed = replies.parsed_attempts(replies.resolve_attempts(event_attempts(spark, sf)))
@@ -104,8 +104,8 @@ def attempt_resolution(spark, sf):
 
 
 @query("""
-    SELECT CASE event_type WHEN 'click' THEN 'error' WHEN 'error' THEN 'error' ELSE 'done' END AS status, COUNT(*) AS n,
-           CASE event_type WHEN 'click' THEN 'boom' WHEN 'error' THEN 'e3' END AS error_message
+    SELECT CASE event_type WHEN 'click' THEN 'error' ELSE 'done' END AS status, COUNT(*) AS n,
+           CASE event_type WHEN 'click' THEN 'boom' END AS error_message
     FROM events GROUP BY ALL
     UNION ALL SELECT 'pending', COUNT(*), NULL FROM orders""")
 def extract_flow(spark, sf):
@@ -120,12 +120,14 @@ def extract_flow(spark, sf):
 
 
 @query("""
-    SELECT CAST(doc_id AS VARCHAR) AS attachment_id, md5('HEAD|' || substring(text, 1, 12000) || '|TAIL') AS prompt_md5,
-           least(length(text), 12000) + 10 AS prompt_length
-    FROM documents""")
+    SELECT CAST(doc_id AS VARCHAR) AS attachment_id, CAST(chunk AS INT) AS chunk,
+           md5('HEAD|' || substring(text, chunk * 12000 + 1, 12000) || '|TAIL') AS prompt_md5,
+           length(substring(text, chunk * 12000 + 1, 12000)) + 10 AS prompt_length
+    FROM (SELECT doc_id, text, unnest(range(0, greatest(1, (length(text) + 11999) // 12000))) AS chunk FROM documents)""")
 def request_text(spark, sf):
-    asked = replies.build_requests(document_attachments(spark, sf), "HEAD|", "|TAIL")
-    return asked.select("attachment_id", F.md5("prompt").alias("prompt_md5"), F.length("prompt").alias("prompt_length"))
+    """Whole texts in chunks."""
+    asked = replies.build_requests(document_attachments(spark, sf), "HEAD|", "|TAIL", 12_000)
+    return asked.select("attachment_id", "chunk", F.md5("prompt").alias("prompt_md5"), F.length("prompt").alias("prompt_length"))
 
 
 @query(f"""

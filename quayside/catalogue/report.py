@@ -7,6 +7,8 @@ from quayside.config_tables import DEFAULT_INTRO
 from quayside.operators import report
 from quayside.operators.zones import with_zone
 from quayside.plans.report import report as report_plan
+from quayside.session import shared_path
+from quayside.sources.tables import write_report
 
 
 def line_report_records(spark, sf):
@@ -92,15 +94,53 @@ def zone_html(spark, sf):
 @query(f"""
     WITH {_FRAGMENTS_SQL},
     placed AS (
-        SELECT f.*, z.zone_pos, max(fragment) OVER (PARTITION BY email_id) = 0 AS is_whole, count(*) OVER (PARTITION BY email_id) AS n,
-               row_number() OVER (PARTITION BY email_id ORDER BY zone_pos, fragment) AS k
+        SELECT f.*, z.zone_pos, count(*) OVER (PARTITION BY email_id) AS n, row_number() OVER (PARTITION BY email_id ORDER BY zone_pos, fragment) AS k
         FROM fragments f JOIN {ZONES_SQL.replace('AS zones', 'AS z')} ON z.zone = f.zone)
-    SELECT email_id, arg_min(zone_pos, k) AS zone_pos, CAST(arg_min(fragment, k) AS BIGINT) AS fragment,
-           md5(CASE WHEN min(k) = 1 THEN '<!DOCTYPE html><html><body><p>{DEFAULT_INTRO}</p>' ELSE '' END
-               || string_agg(html, chr(10) ORDER BY k) || CASE WHEN max(k) = any_value(n) THEN '</body></html>' ELSE '' END) AS html_md5
-    FROM placed GROUP BY email_id, CASE WHEN is_whole THEN 0 ELSE k END""")
+    SELECT email_id, zone_pos, CAST(fragment AS BIGINT) AS fragment,
+           md5(CASE WHEN k = 1 THEN '<!DOCTYPE html><html><body><p>{DEFAULT_INTRO}</p>' ELSE chr(10) END || html
+               || CASE WHEN k = n THEN '</body></html>' ELSE '' END) AS html_md5
+    FROM placed""")
 def report_documents(spark, sf):
-    """The whole flow: one document per nation, in parts where a zone is large."""
+    """The whole flow: one document per nation, in pieces."""
     nations = table(spark, sf, "nation").select(F.col("n_nationkey").alias("email_id"), F.lit("ready_for_validation").alias("status"))
     done = report_plan(line_report_records(spark, sf), nations)
     return done.documents.select("email_id", "zone_pos", "fragment", F.md5("html").alias("html_md5"))
+
+
+@query(f"""
+    WITH {_CELLS_SQL}
+    SELECT c.email_id, z.zone, z.zone_pos, z.lat, z.lng, COUNT(*) AS n_records
+    FROM cells c JOIN {ZONES_SQL.replace('AS zones', 'AS z')} ON z.zone = c.zone GROUP BY ALL""")
+def zone_markers(spark, sf):
+    return report.zone_markers(line_report_records(spark, sf)).select("email_id", "zone", "zone_pos", "lat", "lng", "n_records")
+
+
+@query("""
+    SELECT n_nationkey AS email_id, CASE WHEN n_nationkey IN (SELECT s_nationkey FROM lineitem JOIN supplier ON l_suppkey = s_suppkey)
+           THEN 'drafted' ELSE 'ready_for_validation' END AS status FROM nation""")
+def report_status(spark, sf):
+    """E-mails with a report become drafted."""
+    nations = table(spark, sf, "nation").select(F.col("n_nationkey").alias("email_id"), F.lit("ready_for_validation").alias("status"))
+    return report_plan(line_report_records(spark, sf), nations).emails
+
+
+@query(f"""
+    WITH {_FRAGMENTS_SQL}
+    SELECT email_id, COUNT(*) AS n_pieces, CAST(SUM(length(html)) + COUNT(*) - 1 + {len('<!DOCTYPE html><html><body><p></p></body></html>') + len(DEFAULT_INTRO)} AS BIGINT) AS n_chars
+    FROM fragments GROUP BY email_id""")
+def report_written(spark, sf):
+    """Documents written as Parquet and read back."""
+    path = shared_path(spark, "report")
+    write_report(report.report_documents(report.report_fragments(line_report_records(spark, sf))), path)
+    return spark.read.parquet(path).groupBy("email_id").agg(F.count(F.lit(1)).alias("n_pieces"), F.sum(F.length("html")).alias("n_chars"))
+
+
+@query(f"""
+    WITH {_CELLS_SQL}
+    SELECT NULLIF(email_id, 7) AS email_id, zone, COUNT(*) AS n_rows FROM cells GROUP BY ALL""")
+def report_null_group(spark, sf):
+    """Records without an e-mail keep their tables: no row of a report is lost."""
+    records = line_report_records(spark, sf).withColumn("email_id", F.nullif(F.col("email_id"), F.lit(7)))
+    made = report.report_fragments(records)
+    rows = (F.length("html") - F.length(F.replace("html", F.lit("<tr>"), F.lit("")))) / 4 - (F.col("fragment") == 0).cast("int")
+    return made.groupBy("email_id", "zone").agg(F.sum(rows).cast("long").alias("n_rows"))

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from quayside import config_tables
 from quayside.catalogue.registry import (
+    RULES_SQL,
     SUPPLIER_PLACES_SQL, ZONES_SQL, place_text, place_text_sql, query, supplier_places, table, zone_map_sql,
 )
 from quayside.operators import zones
@@ -63,8 +64,18 @@ def zone_match_rules(spark, sf):
 
 @query(_PART_ZONES_SQL)
 def zone_match_equality(spark, sf):
-    """The path for rule tables too large to ship to every task."""
-    return zones.match_rules(_part_places(spark, sf), "region", config_tables.zone_rules(spark), broadcast_rules=0)
+    """Rules that come as rows of any type of table, here joined to themselves under other priorities."""
+    rules = config_tables.zone_rules(spark)
+    later = rules.select((F.col("priority") + 1000).alias("priority"), "keyword", F.lit("LATER").alias("zone"))
+    return zones.match_rules(_part_places(spark, sf), "region", rules.unionByName(later))
+
+
+@query(f"""
+    WITH z AS ({zone_map_sql('documents')})
+    SELECT d.doc_id, d.lang, z.zone FROM documents d JOIN z ON d.text = z.text""")
+def zone_match_texts(spark, sf):
+    """Whole document texts against the rule table."""
+    return zones.match_rules(table(spark, sf, "documents"), "text", config_tables.zone_rules(spark)).select("doc_id", "lang", "zone")
 
 
 @query(f"""
@@ -75,11 +86,12 @@ def zone_match_documents(spark, sf):
     return zones.with_zone(table(spark, sf, "documents"), "text").select("doc_id", "lang", "zone")
 
 
-@query("""
-    SELECT p_partkey, CASE WHEN p_partkey % 19 IN (2) THEN 'STRAITS/SEA' WHEN p_partkey % 19 = 3 THEN 'STRAITS/SEA'
-        WHEN p_partkey % 19 = 5 THEN 'AG/MIDDLE EAST' WHEN p_partkey % 19 = 14 THEN 'INDIA'
-        WHEN p_partkey % 19 = 15 THEN 'OCEANIA' WHEN p_partkey % 19 = 16 THEN 'AFRICA' ELSE 'UNSPECIFIED' END AS zone
-    FROM part""")
+@query(f"""
+    WITH s AS ({_PART_PLACES_SQL}),
+    best AS (SELECT s.p_partkey, arg_max(r.zone, length(r.keyword) * 10000 - r.priority) AS zone
+             FROM s JOIN {RULES_SQL.replace('AS rules', 'AS r')}
+               ON regexp_matches(lower(trim(s.region)), '(^|[^a-z0-9_])' || regexp_escape(r.keyword) || '($|[^a-z0-9_])') GROUP BY 1)
+    SELECT s.p_partkey, COALESCE(best.zone, 'UNSPECIFIED') AS zone FROM s LEFT JOIN best USING (p_partkey)""")
 def zone_match_words(spark, sf):
     """Opt-in mode: whole words, longest keyword first."""
     return zones.with_zone(_part_places(spark, sf), mode="word").select("p_partkey", "zone")

@@ -82,16 +82,11 @@ EVENT_STATUS: dict[str, str] = {
 TERMINAL_EVENTS = ["phase1_complete", "phase1_failed", "drafting_done", "phase2_failed"]
 
 # --- Fixed values: limits ----------------------------------------------------------------
-FIRST_N_ATTACHMENTS = 5
-PROMPT_CHARS = 12_000
 PREVIEW_CHARS = 1_000
-MAX_ATTEMPTS = 3
 RECENT_EVENTS = 50
 
-# --- Fixed values: the sentence used when no introduction is given ------------------------
-DEFAULT_INTRO = (
-    "Please find below the latest vessel open positions consolidated from our network, grouped by trade zone."
-)
+# The sentence used when no introduction is given.
+DEFAULT_INTRO = "All open positions on record, one table for each trade zone."
 
 ZONE_RULES: list[tuple[int, str, str]] = [
     (priority, keyword, zone)

@@ -9,30 +9,36 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quayside.operators.select import newest_first
+from quayside.operators.numbering import number_rows
 from quayside.session import pin
 
 CHILDREN_PER_ROW = 1_000
 
 
-def attach(rows: DataFrame, per_key: DataFrame, on: list[str], how: str = "left") -> DataFrame:
+def attach(rows: DataFrame, per_key: DataFrame, on: list[str], how: str = "left", nulls: bool = False) -> DataFrame:
     """Join a table of one row per key to rows whose keys may be hot.
 
     The per-key side is pinned first, for two reasons. Its size is then known, so a small one is
     broadcast and the rows stay where they are. And a large one is read from a table: adaptive
     execution splits a hot key only between two plain shuffles, not against an aggregate that is
-    already placed by that key.
+    already placed by that key. With ``nulls`` null keys meet null keys, as they do when rows are
+    grouped: the join is then on a text that tells null from all values.
     """
-    return rows.join(pin(per_key), on, how)
+    other = pin(per_key)
+    if not nulls:
+        return rows.join(other, on, how)
+    keys = {f"_key_{c}": F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("!")) for c in on}
+    return rows.withColumns(keys).join(other.withColumns(keys).drop(*on), list(keys), how).drop(*keys)
 
 
 def records_full(records: DataFrame, attachments: DataFrame, emails: DataFrame) -> DataFrame:
-    """Records with their source file and e-mail."""
-    return (
-        records.select("record_id", "attachment_id", "record_pos", "dynamic_data", "region", "is_validated", "created_at")
-        .join(attachments.select("attachment_id", "email_id", "filename"), "attachment_id")
-        .join(emails.select("email_id", "subject", "date_received"), "email_id")
+    """Records with their source file and e-mail. The small tables meet first: records cross the network once."""
+    sources = attachments.select("attachment_id", "email_id", "filename").join(
+        emails.select("email_id", "subject", "date_received"), "email_id"
     )
+    return records.select(
+        "record_id", "attachment_id", "record_pos", "dynamic_data", "region", "is_validated", "created_at"
+    ).join(sources, "attachment_id")
 
 
 def record_counts(attachments: DataFrame, records: DataFrame) -> DataFrame:
@@ -49,15 +55,18 @@ def nest_children(
 ) -> DataFrame:
     """Parents with their children as an ordered array; ``[]`` where there are none.
 
-    A parent with positions beyond ``per_row`` continues on further rows (``chunk`` 1, 2, ...),
-    so no array grows with the data. ``position`` is unique within a parent.
+    A parent with more than ``per_row`` children continues on further rows (``chunk`` 1, 2, ...),
+    so no array grows with the data. Chunks follow the children's rank, whatever their
+    positions; children without a position come last.
     """
-    chunk = F.floor(F.col(position) / F.lit(per_row)).alias("chunk")
-    item = F.struct(F.col(position), *[F.col(f) for f in fields if f != position])
-    nested = (
-        children.select(key, position, *[f for f in fields if f != position])
-        .groupBy(key, chunk)
-        .agg(F.array_sort(F.collect_list(item)).alias(name))
+    others = [f for f in fields if f != position]
+    ranked = number_rows(
+        children.select(key, position, *others), [key], [F.col(position).asc_nulls_last(), *[F.col(f) for f in others]], "_rank"
+    )
+    chunk = F.floor((F.col("_rank") - 1) / F.lit(per_row)).alias("chunk")
+    item = F.struct(F.col("_rank"), F.struct(F.col(position), *[F.col(f) for f in others]).alias("_item"))
+    nested = ranked.groupBy(key, chunk).agg(
+        F.transform(F.array_sort(F.collect_list(item)), lambda i: i["_item"]).alias(name)
     )
     empty = F.array().cast(nested.schema[name].dataType)
     return parents.join(nested, key, "left").withColumns({
@@ -81,16 +90,19 @@ def flatten_emails(nested: DataFrame, name: str = "attachments") -> DataFrame:
 
 
 def selected(records: DataFrame, ids: DataFrame, key: str = "record_id") -> DataFrame:
-    return records.join(ids.select(key), key, "left_semi")
+    """Ids may repeat; they are made distinct and pinned, so that a hot key of the records can still be split."""
+    return records.join(pin(ids.select(key).distinct()), key, "left_semi").select(*records.columns)
 
 
 def selected_or_all(records: DataFrame, ids: DataFrame, key: str = "record_id") -> DataFrame:
-    """The selected records, or all of them when nothing is selected."""
-    return records if ids.isEmpty() else selected(records, ids, key)
+    """The selected records, or all of them when nothing is selected. The ids are pinned, as both questions need them."""
+    ids = pin(ids.select(key).distinct())
+    return records if ids.isEmpty() else records.join(ids, key, "left_semi").select(*records.columns)
 
 
 def without_removed(children: DataFrame, removed: DataFrame, key: str) -> DataFrame:
-    return children.join(removed.select(key), key, "left_anti")
+    """As ``selected``, the other way round."""
+    return children.join(pin(removed.select(key).distinct()), key, "left_anti").select(*children.columns)
 
 
 def cascade_delete(
@@ -130,4 +142,6 @@ def attachment_with_records(attachments: DataFrame, records: DataFrame) -> DataF
 
 
 def list_emails(emails: DataFrame, attachments: DataFrame) -> DataFrame:
-    return newest_first(emails_with_attachments(emails, attachments))
+    """E-mails newest first, an e-mail's chunks in order."""
+    nested = emails_with_attachments(emails, attachments)
+    return nested.orderBy(F.col("date_received").desc_nulls_first(), "email_id", "chunk")

@@ -41,11 +41,13 @@ def advance_status(emails: DataFrame, done: DataFrame, status: str) -> DataFrame
     ).drop("_hit")
 
 
-def merge_emails(emails: DataFrame, incoming: DataFrame, order: str) -> DataFrame:
+def merge_emails(emails: DataFrame, incoming: DataFrame, order: str, nameless_key: list[str] | None = None) -> DataFrame:
     """Upsert by message id.
 
     A known message keeps its row and only goes back to ``extracting``; a new one is inserted.
-    Repeats within the batch count as the first of them. A message without id is always new.
+    Repeats within the batch count as the first of them. A message without id is always new; it is
+    identified by ``nameless_key`` (a path, a content hash), by default by all its columns, so only rows
+    alike in all of them share an id.
     Returns the e-mail snapshot with ``is_incoming`` marking the rows this batch touched.
     """
     fields = [c for c in emails.columns if c not in ("email_id", "message_id", "status")]
@@ -64,7 +66,7 @@ def merge_emails(emails: DataFrame, incoming: DataFrame, order: str) -> DataFram
         *kept, touched.alias("is_incoming"),
     )
     nameless = incoming.where(F.col("message_id").isNull()).select(
-        stable_id(F.lit("nameless"), order).alias("email_id"), "message_id", F.lit("extracting").alias("status"),
+        stable_id(F.lit("nameless"), *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in nameless_key or incoming.columns]).alias("email_id"), "message_id", F.lit("extracting").alias("status"),
         *fields, F.lit(True).alias("is_incoming"),
     )
     untouched = emails.where(F.col("message_id").isNull()).withColumn("is_incoming", F.lit(False))
@@ -188,23 +190,22 @@ def integrity_report(emails: DataFrame, attachments: DataFrame, records: DataFra
     def row(check: str, df: DataFrame) -> DataFrame:
         return df.agg(F.count(F.lit(1)).alias("violations")).select(F.lit(check).alias("check_name"), "violations")
 
-    def nulls(name: str, df: DataFrame, columns: list[str]) -> DataFrame:
-        """All not-null checks of a table in one pass."""
-        missing = df.agg(*[F.count_if(F.col(c).isNull()).alias(c) for c in columns])
-        pairs = F.array(*[
-            F.struct(F.lit(f"{name}.{c} missing").alias("check_name"), F.col(c).alias("violations")) for c in columns
-        ])
-        return missing.select(F.inline(pairs))
+    def rows_of(name: str, df: DataFrame, columns: list[str], statuses: list[str] | None = None) -> DataFrame:
+        """All checks of a table that a row decides by itself, in one pass."""
+        counts = {f"{name}.{c} missing": F.count_if(F.col(c).isNull()) for c in columns}
+        if statuses:
+            counts[f"{name}.status unknown"] = F.count_if(~F.col("status").isin(statuses))
+        found = df.agg(*[n.alias(f"_{i}") for i, n in enumerate(counts.values())])
+        pairs = [F.struct(F.lit(check).alias("check_name"), F.col(f"_{i}").alias("violations")) for i, check in enumerate(counts)]
+        return found.select(F.inline(F.array(*pairs)))
 
     checks = [
         row("emails.message_id repeated", duplicates(emails, "message_id")),
         row("attachments without email", orphans(attachments, emails, "email_id")),
         row("records without attachment", orphans(records, attachments, "attachment_id")),
-        row("emails.status unknown", emails.where(~F.col("status").isin(EMAIL_STATUSES))),
-        row("attachments.status unknown", attachments.where(~F.col("status").isin(ATTACHMENT_STATUSES))),
-        nulls("emails", emails, ["subject", "sender", "date_received", "status"]),
-        nulls("attachments", attachments, ["email_id", "filename", "status"]),
-        nulls("records", records, ["attachment_id", "dynamic_data"]),
+        rows_of("emails", emails, ["subject", "sender", "date_received", "status"], EMAIL_STATUSES),
+        rows_of("attachments", attachments, ["email_id", "filename", "status"], ATTACHMENT_STATUSES),
+        rows_of("records", records, ["attachment_id", "dynamic_data"]),
     ]
     report = checks[0]
     for check in checks[1:]:

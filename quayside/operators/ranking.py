@@ -7,17 +7,15 @@ many tasks by sorting the whole table instead of one window partition per group.
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quayside.config_tables import FIRST_N_ATTACHMENTS, RECENT_EVENTS
+from quayside.config_tables import RECENT_EVENTS
 from quayside.functions.text import ColumnLike, col
 from quayside.operators.joins import attach
+from quayside.operators.numbering import number_rows
 from quayside.operators.select import contains_ignoring_case, is_ready, source_key
-from quayside.session import pin
 
 
 def top_n(df: DataFrame, by: list[str], order: list[Column], n: int) -> DataFrame:
@@ -25,8 +23,7 @@ def top_n(df: DataFrame, by: list[str], order: list[Column], n: int) -> DataFram
     return ranked.where(F.col("_rank") <= n).drop("_rank")
 
 
-def first_n_attachments(attachments: DataFrame, n: int = FIRST_N_ATTACHMENTS, by: str = "email_id",
-                        order: str = "part_index") -> DataFrame:
+def first_n_attachments(attachments: DataFrame, n: int = 0, by: str = "email_id", order: str = "part_index") -> DataFrame:
     """First ``n`` attachments of each e-mail; all of them when ``n`` is not positive."""
     return top_n(attachments, [by], [F.col(order)], n) if n > 0 else attachments
 
@@ -35,37 +32,6 @@ def recent_per_job(events: DataFrame, n: int = RECENT_EVENTS) -> DataFrame:
     return top_n(events, ["job_id"], [F.col("seq").desc()], n)
 
 
-def number_rows(
-    df: DataFrame, by: list[str], order: list[Column], name: str = "row_index",
-    then: Callable[[DataFrame], DataFrame] | None = None,
-) -> DataFrame:
-    """Exact 1-based row number within each group, whatever the group sizes.
-
-    Rows are range-partitioned by group and order, so a group holding a third of the table
-    covers a third of the partitions. A row's number is its place in its partition plus the
-    group's rows in earlier partitions; those counts are one row per group and partition.
-    The sorted rows are pinned, because both passes must see the same placement.
-    ``order`` should end in a unique column. ``then`` adds row-wise columns after the sort:
-    sorting samples its input first, so costly columns made before it are computed twice.
-    """
-    ordered = df.orderBy(*by, *order)
-    placed = pin((then(ordered) if then else ordered).withColumn("_at", F.monotonically_increasing_id())).withColumn(
-        "_slice", F.shiftright("_at", 33)
-    )
-    runs = placed.groupBy(*by, "_slice").agg(F.min("_at").alias("_first"), F.count(F.lit(1)).alias("_n"))
-    earlier = W.partitionBy(*by).orderBy("_slice").rowsBetween(W.unboundedPreceding, -1)
-    starts = runs.select(
-        *[F.col(c).alias(f"_by_{c}") for c in by],
-        F.col("_slice").alias("_by_slice"), "_first", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"),
-    )
-    same_run = F.col("_slice") == F.col("_by_slice")
-    for c in by:
-        same_run = same_run & F.col(c).eqNullSafe(F.col(f"_by_{c}"))
-    return placed.join(starts, same_run).select(
-        *[c for c in placed.columns if c not in ("_at", "_slice")], (F.col("_at") - F.col("_first") + F.col("_before") + 1).alias(name)
-    )
-
-
 def stripe(row_index: ColumnLike) -> Column:
     """0 for the first, third, ... row of a group, 1 for the others."""
     return ((col(row_index) - 1) % 2).cast("int")

@@ -9,22 +9,30 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quayside.config_tables import MAX_ATTEMPTS, PROMPT_CHARS
 from quayside.functions.ids import stable_id
 from quayside.functions.maps import normalise_keys, split_region
-from quayside.functions.text import ColumnLike, col, let, prefix
+from quayside.functions.text import ColumnLike, col, let
+from quayside.session import pin
 
 PARSED = "strategy string, elements array<string>"
 
 
-def build_requests(attachments: DataFrame, head: str, tail: str, limit: int = PROMPT_CHARS) -> DataFrame:
-    """Prompt text per attachment; the text is cut to the first ``limit`` characters."""
-    text = prefix(F.coalesce("raw_text", F.lit("")), limit)
-    return attachments.select("attachment_id", F.concat(F.lit(head), text, F.lit(tail)).alias("prompt"))
+def build_requests(attachments: DataFrame, head: str, tail: str, chars: int) -> DataFrame:
+    """Prompts (attachment_id, chunk, prompt) over the whole text, ``chars`` characters each.
+
+    Every attachment has a chunk 0, also without text; the chunks' texts joined in order are the
+    text.
+    """
+    text = F.coalesce("raw_text", F.lit(""))
+    count = F.greatest(F.ceil(F.length(text) / F.lit(chars)), F.lit(1)).cast("int")
+    cut = attachments.select("attachment_id", text.alias("_text"), F.explode(F.sequence(F.lit(0), count - 1)).alias("chunk"))
+    part = F.substring("_text", F.col("chunk") * chars + 1, F.lit(chars))
+    return cut.select("attachment_id", "chunk", F.concat(F.lit(head), part, F.lit(tail)).alias("prompt"))
 
 
 # --- array recovery: strict JSON in Python, because Spark's reader accepts trailing text ----
 
+# Fixed value: what opens or closes a fenced block in a reply.
 _FENCE = re.compile(r"```(?:json)?\s*")
 
 
@@ -110,33 +118,25 @@ def is_object(element: Column) -> Column:
 
 # --- attempts -------------------------------------------------------------------------------
 
-def resolve_attempts(replies: DataFrame, max_attempts: int = MAX_ATTEMPTS, compat: bool = True) -> DataFrame:
+def resolve_attempts(replies: DataFrame, compat: bool = True) -> DataFrame:
     """First attempt that did not fail, and the error still standing at that point.
 
-    With ``compat`` an error raised before the successful attempt stays recorded, as it decides
-    the status of an empty result; otherwise success clears it.
+    All attempts count, whatever their numbers. Of several rows with one attempt number the one that did
+    not fail counts, and of those the one with the smallest content. With ``compat`` an error
+    raised before the successful attempt stays recorded, as it decides the status of an empty
+    result; otherwise success clears it.
     """
-    def attempt(i: int) -> Column:
-        state = F.struct(F.col("error").isNull().alias("ok"), "content", "error")
-        return F.max(F.when(F.col("attempt") == i, state)).alias(f"_{i}")
-
-    tried = (
-        replies.where(F.col("attempt").between(1, max_attempts))
-        .groupBy("attachment_id").agg(*[attempt(i) for i in range(1, max_attempts + 1)])
-    )
-    states = [F.col(f"_{i}") for i in range(1, max_attempts + 1)]
-    ok = [s["ok"] for s in states]
-    content = F.coalesce(*[F.when(s["ok"], F.coalesce(s["content"], F.lit(""))) for s in states])
-    standing = []
-    for i in range(max_attempts - 1, -1, -1):
-        earlier_ok = F.lit(False)
-        for o in ok[:i]:
-            earlier_ok = earlier_ok | F.coalesce(o, F.lit(False))
-        standing.append(F.when(~earlier_ok, states[i]["error"]))
-    last_error = F.coalesce(*standing)
-    if not compat:
-        last_error = F.when(content.isNull(), last_error)
-    return tried.select("attachment_id", content.alias("content"), last_error.alias("last_error"))
+    tries = replies.where(F.col("attempt").isNotNull()).select("attachment_id", "attempt", "content", "error")
+    ok = F.col("error").isNull()
+    numbers = tries.groupBy("attachment_id").agg(F.min(F.when(ok, F.col("attempt"))).alias("won"))
+    won = F.col("won").isNotNull()
+    best = tries.where(ok).join(pin(numbers.where(won)), "attachment_id").where("attempt = won").groupBy("attachment_id").agg(
+        F.min(F.coalesce("content", F.lit(""))).alias("content"))
+    failed = tries.where(~ok).join(pin(numbers), "attachment_id").where("won is null or attempt < won")
+    standing = failed.groupBy("attachment_id").agg(F.max(F.struct("attempt", "error"))["error"].alias("last_error"))
+    out = numbers.join(best, "attachment_id", "left").join(standing, "attachment_id", "left")
+    last_error = F.col("last_error") if compat else F.when(~won, F.col("last_error"))
+    return out.select("attachment_id", "content", last_error.alias("last_error"))
 
 
 # --- records --------------------------------------------------------------------------------
@@ -188,10 +188,19 @@ def records_from_replies(parsed: DataFrame, keep: list[str] | None = None) -> Da
     )
 
 
-def retry_results(replies: DataFrame, max_attempts: int = MAX_ATTEMPTS) -> DataFrame:
-    """First attempt with a non-empty array (retry rules), per attachment that has one."""
-    tried = replies.where(F.col("error").isNull() & F.col("attempt").between(1, max_attempts))
-    parsed = tried.withColumn("_p", parse_reply("content", "first")).where(F.size("_p.elements") > 0)
-    return parsed.groupBy("attachment_id").agg(F.min_by("_p", "attempt").alias("_p")).select(
+def retry_results(replies: DataFrame) -> DataFrame:
+    """First attempt with an object in its array (retry rules), per attachment that has one.
+
+    The parsed tries are pinned; the winning numbers are found on them without their texts, and
+    the elements of the winners are fetched once. Of several winners with one attempt number the one
+    with the smallest elements counts.
+    """
+    tried = replies.where(F.col("error").isNull() & F.col("attempt").isNotNull())
+    parsed = pin(tried.select("attachment_id", "attempt", parse_reply("content", "first").alias("_p")).select(
+        "attachment_id", "attempt", F.col("_p.strategy").alias("strategy"), F.col("_p.elements").alias("elements")
+    ).where(F.exists("elements", is_object)))
+    first = pin(parsed.groupBy("attachment_id").agg(F.min("attempt").alias("attempt")))
+    found = parsed.join(first, ["attachment_id", "attempt"])
+    return found.groupBy("attachment_id").agg(F.min(F.struct("elements", "strategy")).alias("_p")).select(
         "attachment_id", F.col("_p.strategy").alias("strategy"), F.col("_p.elements").alias("elements")
     )

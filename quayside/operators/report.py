@@ -9,9 +9,12 @@ from quayside.config_tables import DEFAULT_INTRO, REPORT_COLUMNS
 from quayside.functions.maps import filled_mask, mask_has, report_cells
 from quayside.functions.text import escape_html, or_dash
 from quayside.functions.zones import zone_position
-from quayside.operators.ranking import number_rows, stripe
+from quayside.operators.joins import attach
+from quayside.operators.numbering import number_rows
+from quayside.operators.ranking import stripe
 from quayside.operators.select import source_key
 from quayside.operators.zones import in_zone_order, with_zone, zone_counts
+from quayside.session import pin
 
 ROWS_PER_FRAGMENT = 1_000
 
@@ -86,14 +89,14 @@ def report_fragments(
     zone of any size is written without ever being one value.
     """
     by = ["email_id", "zone"]
-    numbered = numbered_cells(records, columns).withColumn(
+    numbered = pin(numbered_cells(records, columns).withColumn(
         "fragment", F.floor((F.col("row_index") - 1) / F.lit(rows_per_fragment))
-    )
+    ))
     parts = zone_summary(numbered, [*by, "fragment"])
     whole = parts.groupBy(*by).agg(F.sum("n_records").alias("n_records"), F.bit_or("active").alias("active"))
-    heads = parts.select(*by, "fragment").join(whole, by)
+    heads = attach(parts.select(*by, "fragment"), whole, by, nulls=True)
     # Rows meet their zone's totals by fragment, so a zone with most of the rows is spread out.
-    rows = numbered.join(heads, [*by, "fragment"]).select(
+    rows = attach(numbered, heads, [*by, "fragment"], nulls=True).select(
         *by, "fragment", "active", "n_records", "row_index",
         row_html(F.col("cells"), F.col("active"), raw).alias("html"),
     )
@@ -113,30 +116,18 @@ def report_fragments(
 
 
 def report_documents(fragments: DataFrame, intro: str = DEFAULT_INTRO) -> DataFrame:
-    """One document per e-mail, or several parts where a zone has more than one fragment.
+    """(email_id, zone_pos, fragment, html): an e-mail's document in pieces, one shape at every size.
 
-    An e-mail whose zones are single fragments has at most one per zone, so its document is a
-    bounded value. Others keep one part per fragment, numbered by (zone_pos, fragment).
+    The pieces in order of (zone_pos, fragment) are the document: the first opens it, the last closes it.
     """
     at = F.struct("zone_pos", "fragment")
-    sizes = fragments.groupBy("email_id").agg(
-        F.max("fragment").alias("_last"), F.min(at).alias("_first"), F.max(at).alias("_end")
-    )
-    whole = F.col("_last") == 0
-    placed = fragments.join(sizes, "email_id").select(
-        "email_id", "_first", F.when(whole, F.col("_first")).otherwise(F.col("_end")).alias("_end"),
-        F.when(whole, F.col("_first")).otherwise(at).alias("part"), at.alias("_at"), "html",
-    )
-    joined = placed.groupBy("email_id", "_first", "_end", "part").agg(
-        F.array_sort(F.collect_list(F.struct("_at", "html"))).alias("_pieces")
-    )
-    html = F.array_join(F.transform("_pieces", lambda p: p["html"]), "\n")
+    ends = fragments.groupBy("email_id").agg(F.min(at).alias("_first"), F.max(at).alias("_end"))
     opening = F.lit(f"<!DOCTYPE html><html><body><p>{intro}</p>")
-    return joined.select(
-        "email_id", F.col("part.zone_pos").alias("zone_pos"), F.col("part.fragment").alias("fragment"),
+    return attach(fragments, ends, ["email_id"], nulls=True).select(
+        "email_id", "zone_pos", "fragment",
         F.concat(
-            F.when(F.col("part") == F.col("_first"), opening).otherwise(F.lit("")), html,
-            F.when(F.col("part") == F.col("_end"), F.lit("</body></html>")).otherwise(F.lit("")),
+            F.when(at == F.col("_first"), opening).otherwise(F.lit("\n")), "html",
+            F.when(at == F.col("_end"), F.lit("</body></html>")).otherwise(F.lit("")),
         ).alias("html"),
     )
 

@@ -14,8 +14,6 @@ from quayside.functions.text import (
     ColumnLike, col, contains_ignoring_case, header_label, is_blank, or_else,
 )
 
-IN_LIST_LIMIT = 1_000
-
 
 # --- predicates -----------------------------------------------------------------------
 
@@ -25,13 +23,16 @@ def eq(column: str, value) -> Column:
 
 
 def is_in(df: DataFrame, column: str, values: Iterable | DataFrame) -> DataFrame:
-    """Membership. A DataFrame or a long list becomes a semi join; an empty list keeps nothing."""
+    """Membership, as a semi join at every length; an empty list keeps nothing, nulls match nothing.
+
+    Listed values are cast to the column's type, as a comparison with a literal would be.
+    """
+    kind = df.schema[column].dataType
     if not isinstance(values, DataFrame):
-        values = list(values)
-        if len(values) <= IN_LIST_LIMIT:
-            return df.where(F.col(column).isin(values))
-        values = df.sparkSession.createDataFrame([(v,) for v in values], df.select(column).schema)
-    return df.join(values.toDF(column), column, "left_semi")
+        texts = [(None if v is None else str(v),) for v in values]
+        values = df.sparkSession.createDataFrame(texts, "value string")
+    wanted = values.toDF(column).select(F.col(column).cast(kind)).distinct()
+    return df.join(wanted, column, "left_semi").select(*df.columns)
 
 
 def where_all(df: DataFrame, predicates: Iterable[Column]) -> DataFrame:

@@ -9,7 +9,7 @@ from quayside.config_tables import PRIORITY_KEYS
 from quayside.functions.maps import backfill
 from quayside.functions.text import ColumnLike, col
 from quayside.operators.joins import attach
-from quayside.operators.ranking import number_rows
+from quayside.operators.numbering import number_rows
 
 
 def distinct_keys(records: DataFrame, by: list[str], data: str = "dynamic_data") -> DataFrame:
@@ -60,7 +60,7 @@ def preview_keys(records: DataFrame, by: list[str], order: ColumnLike, data: str
 def backfill_records(records: DataFrame, supersets: DataFrame, by: list[str], data: str = "dynamic_data") -> DataFrame:
     """Give every record of a group the same keys. The superset side has one row per group."""
     return (
-        attach(records, supersets.select(*by, "superset"), by)
+        attach(records, supersets.select(*by, "superset"), by, nulls=True)
         .withColumn(data, F.when(F.col("superset").isNull(), F.col(data)).otherwise(backfill(data, "superset")))
         .drop("superset")
     )

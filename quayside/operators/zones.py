@@ -7,11 +7,11 @@ from pyspark.sql import functions as F
 
 from quayside.config_tables import UNSPECIFIED, ZONE_RULES
 from quayside.functions.zones import Rules, place_of, zone_coordinate, zone_of_place, zone_or_default, zone_position
+from quayside.operators.joins import attach
 from quayside.session import pin
 
-BROADCAST_RULES = 20_000
-BROADCAST_PLACES = 200_000
-BROADCAST_CHARS = 20_000_000
+KEY_CHARS = 8
+BLOCK_CHARS = 256
 
 
 def with_zone(df: DataFrame, region: str = "region", mode: str = "compat", rules: Rules = ZONE_RULES) -> DataFrame:
@@ -23,62 +23,50 @@ def with_zone(df: DataFrame, region: str = "region", mode: str = "compat", rules
     return placed.withColumn("zone", zone_or_default(region, zone_of_place("_place", mode, rules))).drop("_place")
 
 
-def match_rules(
-    df: DataFrame, region: str, rules: DataFrame, broadcast_rules: int = BROADCAST_RULES
-) -> DataFrame:
+def match_rules(df: DataFrame, region: str, rules: DataFrame) -> DataFrame:
     """Add ``zone`` by a rule table (priority, keyword, zone) of any size; same result as ``with_zone``.
 
-    Each distinct text is matched once. Up to ``broadcast_rules`` rules (counted first) are
-    shipped to every task. A larger table is matched by equality instead: a keyword inside the
-    text equals one of the text's substrings, a text inside a keyword one of the keyword's.
-    The matched texts are measured too: a small set goes to the rows by broadcast, a large one
-    meets them in a shuffled join.
+    Each distinct text is matched once, by a join on keys: a keyword inside a text begins at one of
+    its positions with the keyword's first characters, and a text inside a keyword likewise. What
+    meets on the key is verified, so no text is compared with all rules.
     """
     text = place_of(region)
-    places = df.where(F.col(region) != "").select(text.alias("_text")).distinct()
-    rules = rules.select("priority", "keyword", "zone")
-    if rules.limit(broadcast_rules + 1).count() <= broadcast_rules:
-        two_way = F.contains("_text", F.col("keyword")) | F.contains("keyword", F.col("_text"))
-        hits = places.join(F.broadcast(rules), two_way).select("_text", "priority", "zone")
-    else:
-        hits = _hits_by_equality(places, rules)
-    best = pin(hits.groupBy("_text").agg(F.min_by("zone", "priority").alias("_zone")))
-    n, chars = best.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.length("_text")), F.lit(0))).first()
-    if n <= BROADCAST_PLACES and chars <= BROADCAST_CHARS:
-        best = F.broadcast(best)
-    return (
-        df.withColumn("_text", F.when(F.col(region) != "", text))
-        .join(best, "_text", "left")
-        .withColumn("zone", F.coalesce("_zone", F.lit(UNSPECIFIED)))
-        .drop("_text", "_zone")
-    )
-
-
-def _substrings(text: Column, max_length: Column) -> Column:
-    """All substrings up to ``max_length``, the empty one included."""
-    starts = F.sequence(F.lit(1), F.greatest(F.length(text), F.lit(1)))
-    return F.array_distinct(F.flatten(F.transform(
-        starts,
-        lambda i: F.transform(
-            F.sequence(F.lit(0), F.greatest(F.least(max_length, F.length(text) - i + 1), F.lit(0))),
-            lambda n: F.substring(text, i, n),
-        ),
-    )))
-
-
-def _hits_by_equality(places: DataFrame, rules: DataFrame) -> DataFrame:
-    longest = rules.agg(F.max(F.length("keyword"))).first()[0] or 0
-    best = F.min_by(F.struct("priority", "zone"), "priority").alias("_rule")
-    by_keyword = rules.groupBy(F.col("keyword").alias("_piece")).agg(best)
-    by_fragment = (
-        rules.select("priority", "zone", F.explode(_substrings(F.col("keyword"), F.length("keyword"))).alias("_piece"))
-        .groupBy("_piece").agg(best)
-    )
-    inside_text = places.select("_text", F.explode(_substrings(F.col("_text"), F.lit(longest))).alias("_piece")).join(
-        by_keyword, "_piece"
-    )
-    inside_keyword = places.withColumn("_piece", F.col("_text")).join(by_fragment, "_piece")
-    return inside_text.unionByName(inside_keyword).select("_text", "_rule.*")
+    places = pin(df.where(F.col(region) != "").select(text.alias("_text")).distinct().withColumn("_id", F.monotonically_increasing_id()))
+    rules = pin(rules.where(F.col("keyword").isNotNull()).select("priority", "keyword", "zone").withColumn("_rule", F.monotonically_increasing_id()))
+    texts, words = places.select(F.col("_id").alias("a"), F.col("_text").alias("s")), rules.select(F.col("_rule").alias("a"), F.col("keyword").alias("s"))
+    inside_text = _holding(texts, words).toDF("_id", "_rule")
+    inside_word = _holding(words, texts).toDF("_rule", "_id").select("_id", "_rule")
+    hits = inside_text.unionByName(inside_word).join(rules.select("_rule", "priority", "zone"), "_rule")
+    best = hits.groupBy("_id").agg(F.min_by("zone", "priority").alias("_zone")).join(places, "_id").select("_text", "_zone")
+    keyed = df.withColumn("_text", F.when(F.col(region) != "", text))
+    return attach(keyed, best, ["_text"]).withColumn("zone", F.coalesce("_zone", F.lit(UNSPECIFIED))).drop("_text", "_zone")
+
+
+def _holding(wholes: DataFrame, pieces: DataFrame) -> DataFrame:
+    """Pairs (whole, piece) of ids where the text of one contains that of the other. Both have columns (a, s).
+
+    Pieces are keyed by their first KEY_CHARS characters, or all of a shorter one. Wholes are cut into
+    blocks that overlap by the longest piece, blocks are read at every position, once per length of key
+    that occurs, and what meets on the key is verified. Positions are rows that carry no more
+    than a block.
+    """
+    # Three numbers of each side.
+    most = wholes.agg(F.max(F.length("s"))).first()[0] or 0
+    keys = pieces.where(F.length("s") <= most).select(
+        F.col("a").alias("b"), F.col("s").alias("piece"), F.least(F.length("s"), F.lit(KEY_CHARS)).alias("size"))
+    keys = keys.withColumn("key", F.substring("piece", F.lit(1), F.col("size")))
+    sizes = sorted(r["size"] for r in keys.select("size").distinct().collect())
+    longest = keys.agg(F.max(F.length("piece"))).first()[0] or 0
+    blocks = wholes.select("a", "s", F.explode(F.sequence(
+        F.lit(0), F.greatest(F.length("s") - 1, F.lit(0)), F.lit(BLOCK_CHARS))).alias("start")).select(
+        "a", F.substring("s", F.col("start") + 1, F.lit(BLOCK_CHARS + longest)).alias("block"))
+    read = blocks.select("a", "block", F.explode(F.sequence(
+        F.lit(1), F.greatest(F.least(F.length("block"), F.lit(BLOCK_CHARS)), F.lit(1)))).alias("at")).select(
+        "a", "at", F.substring("block", F.col("at"), F.lit(max(longest, 1))).alias("rest"))
+    read = read.select("a", "rest", F.explode(F.array(*[F.lit(n) for n in sizes]).cast("array<int>")).alias("size"), "at").where(
+        (F.length("rest") >= F.col("size")) & ((F.col("size") > 0) | (F.col("at") == 1)))
+    read = read.select("a", "rest", "size", F.substring("rest", F.lit(1), F.col("size")).alias("key"))
+    return read.join(keys, ["size", "key"]).where(F.startswith("rest", "piece")).select("a", "b")
 
 
 def with_coordinates(df: DataFrame) -> DataFrame:

@@ -8,7 +8,6 @@ from typing import NamedTuple
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quayside.config_tables import FIRST_N_ATTACHMENTS
 from quayside.operators.joins import without_removed
 from quayside.operators.merge import merge_emails
 from quayside.operators.select import from_sender, subject_contains
@@ -16,7 +15,6 @@ from quayside.session import pin
 from quayside.sources.messages import message_attachments, message_emails, parse_messages, with_headers
 
 
-BROADCAST_PATHS = 100_000
 Hold = Callable[[DataFrame], DataFrame]
 
 
@@ -41,21 +39,20 @@ def superseded_paths(heads: DataFrame) -> DataFrame:
     return ids.join(repeated, "message_id").where(F.col("path") < F.col("_last")).select("path")
 
 
-def without_paths(messages: DataFrame, paths: DataFrame, limit: int = BROADCAST_PATHS, hold: Hold = pin) -> DataFrame:
-    """Leave out messages by path. Few paths (counted first) go to the messages; only more than
-    that make the message bodies travel."""
+def without_paths(messages: DataFrame, paths: DataFrame, hold: Hold = pin) -> DataFrame:
+    """Leave out messages by path. The paths are held first, so the planner knows their bytes: up to
+    spark.sql.autoBroadcastJoinThreshold they go to the messages, and bodies stay where they are."""
     paths = hold(paths)
-    n = paths.limit(limit + 1).count()
-    if n == 0:
+    if paths.isEmpty():
         return messages
-    return messages.join(F.broadcast(paths) if n <= limit else paths, "path", "left_anti")
+    return messages.join(paths, "path", "left_anti").select(*messages.columns)
 
 
 def ingest(
-    messages: DataFrame, sender: str | None = None, subject: str | None = None, first_n: int = FIRST_N_ATTACHMENTS,
+    messages: DataFrame, sender: str | None = None, subject: str | None = None, first_n: int = 0,
     hold: Hold = pin,
 ) -> Ingested:
-    """E-mails and their first attachments from (path, content) rows.
+    """E-mails and their attachments, or each one's ``first_n``, from (path, content) rows.
 
     The headers are read first and held (pinned, unless told otherwise), as they are small and
     used three times: for the e-mail rows, for the choice of messages and for repeats of a

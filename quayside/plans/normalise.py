@@ -5,11 +5,10 @@ from __future__ import annotations
 from typing import NamedTuple
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from quayside.config_tables import PRIORITY_KEYS
-from quayside.operators.merge import advance_status
 from quayside.operators.superset import backfill_records, key_superset
-from quayside.session import pin
 
 
 class Normalised(NamedTuple):
@@ -23,8 +22,8 @@ def normalise(
 ) -> Normalised:
     """Back-filled records, one superset per e-mail, and e-mails marked ready (with records or not)."""
     placed = records.join(attachments.select("attachment_id", "email_id"), "attachment_id")
-    supersets = pin(key_superset(placed, ["email_id"], priority=priority))
+    supersets = key_superset(placed, ["email_id"], priority=priority)
     filled = backfill_records(placed, supersets, ["email_id"])
     return Normalised(
-        filled.select(*records.columns), supersets, advance_status(emails, emails, "ready_for_validation")
+        filled.select(*records.columns), supersets, emails.withColumn("status", F.lit("ready_for_validation"))
     )

@@ -11,13 +11,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
-from quayside.config_tables import FIRST_N_ATTACHMENTS
 from quayside.plans.ingest import Ingested, ingest
 from quayside.sources.messages import stream_message_files
 
 
 def ingest_writer(
-    spark: SparkSession, source: str, target: str, checkpoint: str, first_n: int = FIRST_N_ATTACHMENTS,
+    spark: SparkSession, source: str, target: str, checkpoint: str, first_n: int = 0,
     pattern: str = "*.eml", files_per_batch: int = 10_000,
 ) -> DataStreamWriter:
     def write(batch: DataFrame, batch_id: int) -> None:

@@ -95,7 +95,7 @@ def test_zone_counts_sum_to_rows(spark, skewed):
     assert sorted(map(str, by_row.collect())) == sorted(map(str, by_rule.collect()))
 
 
-def test_report_is_whole_and_split_only_when_large(skewed):
+def test_report_has_one_shape_at_every_size(skewed):
     fragments = report.report_fragments(skewed, rows_per_fragment=100)
     text = {}
     for f in sorted(fragments.collect(), key=lambda f: (f.email_id, f.zone_pos, f.fragment)):
@@ -109,7 +109,8 @@ def test_report_is_whole_and_split_only_when_large(skewed):
     parts = {}
     for d in docs:
         parts.setdefault(d.email_id, []).append(d)
-    assert len(parts[0]) > 1 and any(len(p) == 1 for p in parts.values())
+    pieces = {(f.email_id, f.zone_pos, f.fragment) for f in fragments.collect()}
+    assert {(d.email_id, d.zone_pos, d.fragment) for d in docs} == pieces and len(parts[0]) > 1
     for mail, found in parts.items():
         html = "".join(d.html for d in sorted(found, key=lambda d: (d.zone_pos, d.fragment)))
         assert html.count("<!DOCTYPE html>") == html.count("</html>") == 1
@@ -156,7 +157,7 @@ def test_nesting_round_trip(spark):
 def test_first_n_and_first_attachment(spark):
     rows = [(1, i, f"a{i}", None) for i in range(7)] + [(2, 3, "b3", None), (2, 1, "b1", None)]
     df = spark.createDataFrame(rows, "email_id int, part_index int, attachment_id string, created_at timestamp")
-    assert ranking.first_n_attachments(df).count() == 7 and ranking.first_n_attachments(df, 0).count() == 9
+    assert ranking.first_n_attachments(df, 5).count() == 7 and ranking.first_n_attachments(df).count() == 9
     assert {r.email_id: r.attachment_id for r in ranking.first_attachment(df).collect()} == {1: "a0", 2: "b1"}
 
 

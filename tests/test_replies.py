@@ -68,12 +68,14 @@ def test_attempts(spark):
         ("f", 1, None, ""), ("f", 2, "[]", None),
         ("g", 1, "[]", None), ("g", 2, None, "later"),
         ("h", 2, '[{"a":1}]', None),
+        ("i", 0, '[{"a":1},{"a":2}]', None), ("j", 3, None, "bad"), ("j", 3, '[{"b":1}]', None), ("j", 3, '[{"a":1}]', None),
     ]
     parsed = replies.parsed_attempts(replies.resolve_attempts(attempts(spark, rows)))
     got = {r.attachment_id: (r.status, r.error_message, r.record_count) for r in parsed.collect()}
     assert got == {
-        "a": ("error", "boom", 0), "b": ("done", None, 0), "c": ("done", None, 1), "d": ("error", "z", 0),
+        "a": ("error", "boom", 0), "b": ("done", None, 0), "c": ("done", None, 1), "d": ("done", None, 1),
         "e": ("done", None, 0), "f": ("done", None, 0), "g": ("done", None, 0), "h": ("done", None, 1),
+        "i": ("done", None, 2), "j": ("done", None, 1),
     }
     strict = replies.parsed_attempts(replies.resolve_attempts(attempts(spark, rows), compat=False))
     assert {r.attachment_id: r.status for r in strict.collect()}["a"] == "done"
@@ -93,8 +95,19 @@ def test_bad_elements(spark):
 
 def test_requests_and_hook(spark):
     mail = spark.createDataFrame([("a", "t" * 13_000), ("b", None)], "attachment_id string, raw_text string")
-    made = answered(mail, lambda r: r.select("attachment_id", F.lit(1).alias("attempt"), F.length("prompt").alias("n")), "H", "T")
-    assert {r.attachment_id: r.n for r in made.collect()} == {"a": 12_002, "b": 2}
+    made = answered(mail, lambda r: r.select("attachment_id", "chunk", F.lit(1).alias("attempt"), F.length("prompt").alias("n")), 12_000, "H", "T")
+    assert {(r.attachment_id, r.chunk): r.n for r in made.collect()} == {("a", 0): 12_002, ("a", 1): 1_002, ("b", 0): 2}
+
+
+def test_replies_by_chunk(spark):
+    rows = [("a", 0, 1, '[{"k":"1"}]', None), ("a", 1, 1, None, "late"), ("a", 1, 2, '[{"k":"2"},{"k":"3"}]', None), ("b", 0, 1, '[{"k":"4"}]', None), ("b", 1, 1, None, "boom")]
+    tries = spark.createDataFrame(rows, "attachment_id string, chunk int, attempt int, content string, error string")
+    pending = spark.createDataFrame([("a", "pending", None), ("b", "pending", None)], "attachment_id string, status string, error_message string")
+    done = extract(pending, tries)
+    assert sorted((r.attachment_id, r.chunk, r.record_pos, r.dynamic_data["k"]) for r in done.records.collect()) == [
+        ("a", 0, 0, "1"), ("a", 1, 0, "2"), ("a", 1, 1, "3"), ("b", 0, 0, "4")]
+    assert len({r.record_id for r in done.records.collect()}) == 4
+    assert {r.attachment_id: (r.status, r.error_message) for r in done.attachments.collect()} == {"a": ("done", None), "b": ("error", "boom")}
 
 
 def test_retry(spark):

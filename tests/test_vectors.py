@@ -41,8 +41,8 @@ def test_config_tables(spark):
     assert config_tables.report_columns(spark).count() == 13 and config_tables.priority_keys(spark).count() == 22
 
 
-@pytest.mark.parametrize("path", ["expression", "operator", "rules", "equality"])
-def test_zone_vectors(spark, path):
+@pytest.mark.parametrize("path", ["expression", "operator", "rules", "short blocks"])
+def test_zone_vectors(spark, path, monkeypatch):
     keywords = [k for _, k, _ in config_tables.ZONE_RULES]
     texts = list(ZONE_VECTORS) + [k[1:] for k in keywords] + [f"at {k.upper()} / x" for k in keywords] + ["zz", "x" * 60]
     df = spark.createDataFrame([(t,) for t in texts], "region string")
@@ -51,7 +51,8 @@ def test_zone_vectors(spark, path):
     elif path == "operator":
         df = zones.with_zone(df)
     else:
-        df = zones.match_rules(df, "region", config_tables.zone_rules(spark), 100 if path == "rules" else 10)
+        monkeypatch.setattr(zones, "BLOCK_CHARS", 256 if path == "rules" else 3)
+        df = zones.match_rules(df, "region", config_tables.zone_rules(spark))
     got = {r.region: r.zone for r in df.collect()}
     assert got == {t: plain_zone(t) for t in texts}
     assert {t: got[t] for t in ZONE_VECTORS} == ZONE_VECTORS
