@@ -60,7 +60,7 @@ def sample(docs: DataFrame, labels: DataFrame, per_class: int = 4000, characters
 
 
 def _featurised(rows: DataFrame) -> DataFrame:
-    """(pick, toxic, weight, lengths, buckets): per sentence how many buckets, and all buckets in order, as 32-bit numbers in bytes."""
+    """(pick, toxic, weight, lengths, buckets): per sentence how many different buckets, and these, as 32-bit numbers in bytes."""
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known: dict[str, list[int]] = {}
         for frame in frames:
@@ -68,14 +68,15 @@ def _featurised(rows: DataFrame) -> DataFrame:
             for text in frame["text"]:
                 n, b = [], []
                 for sentence in _SENTENCE.findall(text.lower()):
-                    before = len(b)
-                    for w in _WORD.findall(sentence):
+                    own: set[int] = set()
+                    for w in set(_WORD.findall(sentence)):
                         if w not in known:
                             if len(known) > _CACHE:
                                 known.clear()
                             known[w] = features(w)
-                        b += known[w]
-                    n.append(len(b) - before)
+                        own.update(known[w])
+                    b += sorted(own)
+                    n.append(len(own))
                 lengths.append(np.array(n, np.int32).tobytes())
                 buckets.append(np.array(b, np.int32).tobytes())
             yield pd.DataFrame({"pick": frame["pick"], "toxic": frame["toxic"], "weight": frame["weight"], "lengths": lengths, "buckets": buckets})
@@ -95,7 +96,9 @@ def fit(rows: DataFrame, rounds: int = 300, least: int = 3, deviation: float = 3
     Buckets count that stand in at least ``least`` toxic documents and in more of them, by
     ``deviation`` standard deviations, than their overall share lets expect. Documents are
     toxic with P = 1 - prod(1 - p_s) over their sentences; Adam climbs the labels' log
-    likelihood. Without both classes the model has no weights and scores all as clean.
+    likelihood. A sentence without a chosen bucket has p_s = 0, so length alone makes no text
+    toxic, and a word counts once a sentence. Without both classes the model has no weights
+    and scores all as clean.
     """
     data = sorted(_featurised(rows).collect(), key=lambda r: (r.pick, r.toxic, bytes(r.buckets)))
     y = np.array([r.toxic for r in data], float)
@@ -115,15 +118,16 @@ def fit(rows: DataFrame, rounds: int = 300, least: int = 3, deviation: float = 3
     chosen = np.flatnonzero((toxic_in >= least * rise) & (toxic_in - expected > deviation * np.sqrt(np.maximum(expected, 1e-9))))
     place = np.full(BUCKETS, -1, np.int32)
     place[chosen] = np.arange(len(chosen))
-    # Only the occurrences of chosen buckets are kept, a small part of all.
-    doc_of_sentence = np.repeat(np.arange(len(data), dtype=np.int32), [len(n) for n in lengths])
-    column, sentence, at = [], [], 0
-    for own, n in zip(buckets, lengths):
+    # Only chosen buckets are kept, a small part of all, and only the sentences that have any.
+    column, sentence, doc_of_sentence, at = [], [], [], 0
+    for i, (own, n) in enumerate(zip(buckets, lengths)):
         use = np.flatnonzero(place[own] >= 0)
+        marked, number = np.unique(np.searchsorted(np.cumsum(n), use, side="right"), return_inverse=True)
         column.append(place[own[use]])
-        sentence.append(at + np.searchsorted(np.cumsum(n), use, side="right"))
-        at += len(n)
-    column, sentence = np.concatenate(column), np.concatenate(sentence)
+        sentence.append(at + number)
+        doc_of_sentence.append(np.full(len(marked), i))
+        at += len(marked)
+    column, sentence, doc_of_sentence = np.concatenate(column), np.concatenate(sentence), np.concatenate(doc_of_sentence)
     del data, buckets
 
     theta = np.zeros(len(chosen) + 1)
@@ -141,19 +145,18 @@ def fit(rows: DataFrame, rounds: int = 300, least: int = 3, deviation: float = 3
     return {"bias": float(theta[-1]), "weights": {int(b): float(w) for b, w in zip(chosen, theta)}}
 
 
-class _WordScores(dict):
-    """Word to the sum of its buckets' weights; forgets all when full."""
+class _WordBuckets(dict):
+    """Word to its buckets that have a weight; forgets all when full."""
 
     def __init__(self, weights: dict[int, float]):
         super().__init__()
         self.weights = weights
 
-    def __missing__(self, word: str) -> float:
+    def __missing__(self, word: str) -> tuple[int, ...]:
         if len(self) > _CACHE:
             self.clear()
-        get = self.weights.get
-        value = self[word] = sum(get(b, 0.0) for b in features(word))
-        return value
+        found = self[word] = tuple(b for b in features(word) if b in self.weights)
+        return found
 
 
 def score(docs: DataFrame, model: dict, threshold: float = 0.3) -> DataFrame:
@@ -166,24 +169,19 @@ def score(docs: DataFrame, model: dict, threshold: float = 0.3) -> DataFrame:
     """
     bounded_batches(docs.sparkSession)
     bias, weights = model["bias"], model["weights"]
-    quiet = float(_softplus(np.float64(bias)))
 
     def start():
-        look = _WordScores(weights).__getitem__
+        look = _WordBuckets(weights).__getitem__
 
         def run(texts: list) -> list[list]:
             scores, spans = [], []
             for text in texts:
                 clean, found = 0.0, []
                 for m in _SENTENCE.finditer(text or ""):
-                    words = _WORD.findall(m.group().lower())
-                    if not words:
+                    own = {b for w in set(_WORD.findall(m.group().lower())) for b in look(w)}
+                    if not own:
                         continue
-                    z = sum(map(look, words))
-                    if z == 0.0:
-                        clean += quiet
-                        continue
-                    z += bias
+                    z = bias + sum(weights[b] for b in own)
                     clean += math.log1p(math.exp(z)) if z < 30 else z
                     p = 1 / (1 + math.exp(-z)) if z > -700 else 0.0
                     if p >= threshold:
