@@ -8,7 +8,10 @@ from quayside.catalogue.registry import (
 )
 from quayside.operators import joins, ranking, select, status
 from quayside.session import shared_path
-from quayside.streaming.status import current_rows, dedup_messages, recent_log_writer, recent_rows, upsert_writer
+from quayside.sources.events import append_status_events, stream_status_events
+from quayside.streaming.status import (
+    current_rows, dedup_writer, deduplicated_rows, recent_log_writer, recent_rows, upsert_writer,
+)
 
 
 def _feed(spark, sf):
@@ -91,13 +94,17 @@ def event_payload(spark, sf):
 # --- streaming ------------------------------------------------------------------------------------
 
 def event_stream(spark, sf):
-    schema = table(spark, sf, "events").schema
-    return status_feed(spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf))
+    """The events as a feed of four files, read one a micro-batch."""
+    path = shared_path(spark, "events")
+    append_status_events(table(spark, sf, "events").repartition(4), path)
+    columns = ", ".join(f"{c} {t}" for c, t in table(spark, sf, "events").dtypes)
+    return status_feed(stream_status_events(spark, path, columns, files_per_batch=1))
 
 
 def run_upserts(spark, aggregated, name, key):
     folder = shared_path(spark, name)
-    upsert_writer(aggregated, f"{folder}/rows", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
+    writer = upsert_writer(aggregated, f"{folder}/rows", f"{folder}/state", key, compact_every=2)
+    writer.trigger(availableNow=True).start().awaitTermination()
     return current_rows(spark, f"{folder}/rows", key)
 
 
@@ -126,10 +133,8 @@ def stream_recent_log(spark, sf):
 
 @query("SELECT DISTINCT attachment_id || '-' || type AS message_id FROM ({feed})".format(feed=FEED_SQL))
 def stream_dedup(spark, sf):
-    """The delay spans the whole feed, so every repeat is dropped."""
-    named = event_stream(spark, sf).withColumn("message_id", F.concat_ws("-", "attachment_id", "type"))
+    """Repeats are dropped however late they come."""
+    named = event_stream(spark, sf).withColumn("message_id", F.concat_ws("-", "attachment_id", "type")).select("message_id")
     folder = shared_path(spark, "dedup")
-    unique = dedup_messages(named, delay="4000 days").select("message_id")
-    writer = unique.writeStream.format("parquet").option("path", f"{folder}/rows").option("checkpointLocation", f"{folder}/state")
-    writer.trigger(availableNow=True).start().awaitTermination()
-    return spark.read.schema("message_id string").parquet(f"{folder}/rows")
+    dedup_writer(named, f"{folder}/rows", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
+    return deduplicated_rows(spark, f"{folder}/rows")

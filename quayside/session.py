@@ -72,3 +72,20 @@ def pin(df: DataFrame) -> DataFrame:
     path = shared_path(df.sparkSession, "pinned")
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def _hadoop(spark: SparkSession, path: str):
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place, place.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def folders(spark: SparkSession, path: str) -> list[str]:
+    """Names below a path of any file system that Spark reads; none where the path is not there."""
+    place, store = _hadoop(spark, path)
+    return sorted(s.getPath().getName() for s in store.listStatus(place)) if store.exists(place) else []
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a table that this library wrote and no longer needs."""
+    place, store = _hadoop(spark, path)
+    store.delete(place, True)

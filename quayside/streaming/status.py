@@ -1,17 +1,23 @@
 """Streaming forms of the status operators.
 
 The aggregates themselves are in ``operators.status`` and serve both modes. Their state is
-one small row per attachment or job; the session keeps it in RocksDB.
+one small row per attachment or job; the session keeps it in RocksDB. Results live in folders
+of Parquet that every micro-batch adds to, bounded by compaction: a replayed batch overwrites
+only its own folder, and old folders go when a later one holds their rows.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
 from quayside.config_tables import RECENT_EVENTS
 from quayside.operators.ranking import recent_per_job
+from quayside.session import folders, remove
+
+PARTS = 64
+COMPACT_EVERY = 16
 
 
 def event_time(events: DataFrame, column: str = "ts", delay: str = "1 hour") -> DataFrame:
@@ -19,44 +25,108 @@ def event_time(events: DataFrame, column: str = "ts", delay: str = "1 hour") ->
     return events.withColumn(column, F.col(column).cast("timestamp")).withWatermark(column, delay)
 
 
-def dedup_messages(messages: DataFrame, key: str = "message_id", column: str = "ts", delay: str = "1 day") -> DataFrame:
-    """Drop repeats of a message that arrive within the delay."""
-    return event_time(messages, column, delay).dropDuplicatesWithinWatermark([key])
+def _part(key: str, parts: int) -> Column:
+    return F.pmod(F.xxhash64(key), F.lit(parts)).cast("int")
+
+
+def _numbers(spark: SparkSession, path: str, prefix: str) -> list[int]:
+    """Numbers of the complete folders ``prefix``N below a path, ascending."""
+    return sorted(int(n.removeprefix(prefix)) for n in folders(spark, path) if n.startswith(prefix) and "_SUCCESS" in folders(spark, f"{path}/{n}"))
+
 
+def dedup_writer(messages: DataFrame, path: str, checkpoint: str, key: str = "message_id", parts: int = PARTS) -> DataStreamWriter:
+    """First rows of every key, however late the repeats: keys seen before are looked up in what is written.
 
-def upsert_writer(aggregated: DataFrame, path: str, checkpoint: str) -> DataStreamWriter:
-    """Changed rows of an aggregate, one folder per micro-batch. A replayed batch overwrites its own."""
+    The rows are partitioned by a hash of the key, and a batch reads only the keys of its own parts.
+    Rows without a key are all kept.
+    """
     def write(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        new = batch.where(F.col(key).isNotNull()).dropDuplicates([key]).withColumn("part", _part(key, parts)).persist()
+        earlier = [f"{path}/batch_id={n}" for n in _numbers(spark, path, "batch_id=") if n < batch_id]
+        fresh = new
+        if earlier:
+            touched = [r.part for r in new.select("part").distinct().collect()]
+            seen = spark.read.option("basePath", path).parquet(*earlier).where(F.col("part").isin(touched)).select(key)
+            fresh = new.join(seen, key, "left_anti").select(*new.columns)
+        fresh.unionByName(batch.where(F.col(key).isNull()).withColumn("part", F.lit(0))).write.mode("overwrite").partitionBy("part").parquet(
+            f"{path}/batch_id={batch_id}")
+        new.unpersist()
+
+    return messages.writeStream.option("checkpointLocation", checkpoint).foreachBatch(write)
+
+
+def deduplicated_rows(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.option("basePath", path).parquet(path).drop("part", "batch_id")
+
+
+def upsert_writer(aggregated: DataFrame, path: str, checkpoint: str, key: str | None = None, compact_every: int = COMPACT_EVERY) -> DataStreamWriter:
+    """Changed rows of an aggregate, one folder per micro-batch. A replayed batch overwrites its own.
+
+    With a ``key`` every ``compact_every`` batches are merged into one table of current rows, and the
+    folders it replaces are removed, but for the one before it, so a reader or a replay finds
+    what it began with.
+    """
+    def write(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
         batch.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+        if key is None or (batch_id + 1) % compact_every or batch_id in _numbers(spark, path, "base="):
+            return
+        _log(spark, path, key).write.mode("overwrite").parquet(f"{path}/base={batch_id}")
+        for n in _numbers(spark, path, "batch_id="):
+            if n <= batch_id - compact_every:
+                remove(spark, f"{path}/batch_id={n}")
+        for n in _numbers(spark, path, "base=")[:-2]:
+            remove(spark, f"{path}/base={n}")
 
     return (
         aggregated.writeStream.outputMode("update").option("checkpointLocation", checkpoint).foreachBatch(write)
     )
 
 
+def _log(spark: SparkSession, path: str, key: str) -> DataFrame:
+    """Latest row per key with its ``_batch``: the last table of current rows and the batches after it."""
+    base = _numbers(spark, path, "base=")
+    after = [n for n in _numbers(spark, path, "batch_id=") if not base or n > base[-1]]
+    rows = [spark.read.parquet(f"{path}/base={base[-1]}")] if base else []
+    if after:
+        log = spark.read.option("basePath", path).parquet(*[f"{path}/batch_id={n}" for n in after])
+        rows.append(log.withColumn("_batch", F.col("batch_id").cast("long")).drop("batch_id"))
+    log = rows[0] if len(rows) == 1 else rows[0].unionByName(rows[1])
+    rest = [c for c in log.columns if c != key]
+    return log.groupBy(key).agg(F.max_by(F.struct(*rest), "_batch").alias("_r")).select(key, "_r.*")
+
+
 def current_rows(spark: SparkSession, path: str, key: str) -> DataFrame:
     """Latest row per key of what ``upsert_writer`` wrote."""
-    log = spark.read.option("basePath", path).parquet(path)
-    rest = [c for c in log.columns if c not in (key, "batch_id")]
-    return log.groupBy(key).agg(F.max_by(F.struct(*rest), "batch_id").alias("_r")).select(key, "_r.*")
+    return _log(spark, path, key).drop("_batch")
 
 
-def recent_log_writer(events: DataFrame, path: str, checkpoint: str, n: int = RECENT_EVENTS) -> DataStreamWriter:
-    """Keep the last ``n`` events of each job, as one version per micro-batch.
+def recent_log_writer(events: DataFrame, path: str, checkpoint: str, n: int = RECENT_EVENTS, parts: int = PARTS) -> DataStreamWriter:
+    """Keep the last ``n`` events of each job; a batch rewrites only the parts (hashes of job) it has events of.
 
-    Each version holds the result so far; only the previous one is read, at most n rows per job.
+    A part's versions hold its result so far; the last two are kept.
     """
     def merge(batch: DataFrame, batch_id: int) -> None:
-        merged = batch
-        if batch_id > 0:
-            merged = batch.sparkSession.read.parquet(f"{path}/version={batch_id - 1}").unionByName(batch)
-        recent_per_job(merged, n).write.mode("overwrite").parquet(f"{path}/version={batch_id}")
+        spark = batch.sparkSession
+        rows = batch.withColumn("part", _part("job_id", parts))
+        # At most ``parts`` numbers.
+        touched = sorted(r.part for r in rows.select("part").distinct().collect())
+        before = {p: [v for v in _numbers(spark, f"{path}/part={p}", "version=") if v < batch_id] for p in touched}
+        old = [f"{path}/part={p}/version={v[-1]}" for p, v in before.items() if v]
+        if old:
+            rows = rows.unionByName(spark.read.option("basePath", path).parquet(*old).drop("version"))
+        kept = recent_per_job(rows, n).persist()
+        for p in touched:
+            kept.where(F.col("part") == p).drop("part").write.mode("overwrite").parquet(f"{path}/part={p}/version={batch_id}")
+            for v in before[p][:-1]:
+                remove(spark, f"{path}/part={p}/version={v}")
+        kept.unpersist()
 
     return events.writeStream.option("checkpointLocation", checkpoint).foreachBatch(merge)
 
 
 def recent_rows(spark: SparkSession, path: str) -> DataFrame:
-    """Last version of what ``recent_log_writer`` wrote; only its folder is read."""
-    log = spark.read.option("basePath", path).parquet(path)
-    last = log.agg(F.max("version")).first()[0]
-    return log.where(F.col("version") == last).drop("version")
+    """Last versions of what ``recent_log_writer`` wrote; only their folders are read."""
+    last = [f"{path}/{p}/version={_numbers(spark, f'{path}/{p}', 'version=')[-1]}" for p in folders(spark, path) if p.startswith("part=")]
+    return spark.read.option("basePath", path).parquet(*last).drop("part", "version")

@@ -5,7 +5,10 @@ from pyspark.sql import functions as F
 from quayside.catalogue.registry import FEED_STATUS, FEED_TERMINAL, status_feed
 from quayside.operators import ranking, status
 from quayside.sources.events import append_status_events, read_status_events, stream_status_events
-from quayside.streaming.status import current_rows, dedup_messages, event_time, recent_log_writer, recent_rows, upsert_writer
+from quayside.session import folders
+from quayside.streaming.status import (
+    current_rows, dedup_writer, deduplicated_rows, event_time, recent_log_writer, recent_rows, upsert_writer,
+)
 
 SCHEMA = "job_id long, seq long, ts timestamp, type string, attachment_id long, record_count int"
 
@@ -35,9 +38,11 @@ def test_aggregates(spark, tmp_path):
         ("jobs", "job_id", lambda e: status.job_states(e, FEED_TERMINAL)),
         ("totals", "job_id", lambda e: status.running_totals(e, "purchase")),
     ]:
-        stream = stream_status_events(spark, path, SCHEMA, files_per_batch=2)
+        stream = stream_status_events(spark, path, SCHEMA, files_per_batch=1)
         out = str(tmp_path / name)
-        run(upsert_writer(f(stream), out, str(tmp_path / f"{name}-state")))
+        run(upsert_writer(f(stream), out, str(tmp_path / f"{name}-state"), key, compact_every=2))
+        kept = folders(spark, out)
+        assert len([k for k in kept if k.startswith("base=")]) == 2 and len([k for k in kept if k.startswith("batch_id=")]) <= 4
         assert rows(current_rows(spark, out, key)) == rows(f(batch).select(*current_rows(spark, out, key).columns))
 
 
@@ -52,16 +57,26 @@ def test_recent_log_survives_new_files(spark, tmp_path):
     assert go() == rows(ranking.recent_per_job(read_status_events(spark, path, SCHEMA), 20))
     feed_files(spark, path, 2)
     assert len(go()) == 200
+    parts = folders(spark, out)
+    assert len(parts) <= 10 and all(len(folders(spark, f"{out}/{p}")) <= 2 for p in parts)
 
 
 def test_dedup(spark, tmp_path):
-    path, out = str(tmp_path / "events"), str(tmp_path / "out")
+    path, out, state = (str(tmp_path / p) for p in ("events", "out", "state"))
     feed_files(spark, path)
-    named = stream_status_events(spark, path, SCHEMA).withColumn("message_id", F.concat_ws("-", "job_id", "type"))
-    unique = dedup_messages(named, delay="4000 days").select("message_id")
-    run(unique.writeStream.format("parquet").option("path", out).option("checkpointLocation", str(tmp_path / "state")))
-    got = [r.message_id for r in spark.read.parquet(out).collect()]
-    assert len(got) == len(set(got)) == 50
+
+    def go():
+        named = stream_status_events(spark, path, SCHEMA, files_per_batch=2).withColumn(
+            "message_id", F.when(F.col("seq") > 2, F.concat_ws("-", "job_id", "type"))).select("message_id", "seq")
+        run(dedup_writer(named, out, state, parts=8))
+        return [r.message_id for r in deduplicated_rows(spark, out).collect()]
+
+    got = go()
+    named = [g for g in got if g]
+    assert len(named) == len(set(named)) == 50
+    assert len(got) - len(named) == read_status_events(spark, path, SCHEMA).where("seq <= 2").count()
+    feed_files(spark, path, 2)  # all of it again, and late
+    assert len([g for g in go() if g]) == 50
 
 
 def test_event_time_takes_timestamps_without_zone(spark):
