@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quayside.llm import decontaminate, embeddings, licenses, mixing, secrets, simhash, token_counts, toxicity, url_lists, warc
 from quayside.llm.common import table
-from quayside.llm.mixing_sql import MIX_SQL
+from quayside.llm.oracles import EMBEDDINGS_SQL, LICENSES_SQL, MIX_SQL, WARC_SQL
 
 QUERIES = {}
 ORACLES: dict[str, str] = {}
@@ -66,7 +66,7 @@ def op3_token_counts(spark: SparkSession, sf_dir: str, vocabulary: str = "/opt/t
     return token_counts.count_tokens(table(spark, sf_dir, "documents").select("doc_id", "text"), token_counts.read_pieces(vocabulary)).drop("text")
 
 
-@query()
+@query(WARC_SQL)
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = warc.with_revisits(table(spark, sf_dir, "pages"))
     files = warc.write_archives(rows, warc.archive_folder(spark))
@@ -114,12 +114,12 @@ def op9_url_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("fetched_at", F.col("fetched_at").cast("string"))
 
 
-@query()
+@query(LICENSES_SQL)
 def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.license_summary(table(spark, sf_dir, "documents"))
 
 
-@query()
+@query(EMBEDDINGS_SQL)
 def op8_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embeddings.near_duplicates(table(spark, sf_dir, "embeddings"))
 
