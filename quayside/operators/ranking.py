@@ -54,16 +54,21 @@ def with_first_row_flag(rows: DataFrame, by: str, position: str, status: ColumnL
 
 def latest_message(messages: DataFrame, order: str, sender: str | None = None, subject: str | None = None,
                    by: list[str] | None = None) -> DataFrame:
-    """Newest message that passes the filters, over all or per group."""
+    """Newest message that passes the filters, over all or per group.
+
+    The newest ``order`` of each group is found without the texts; only the rows that have it meet again.
+    """
     matching = messages
     if sender is not None:
         matching = matching.where(contains_ignoring_case("sender", sender))
     if subject is not None:
         matching = matching.where(contains_ignoring_case("subject", subject))
-    by = by or []
+    if not by:
+        return matching.where(F.col(order).isNotNull()).orderBy(F.col(order).desc()).limit(1)
     rest = [c for c in messages.columns if c not in by]
-    newest = matching.groupBy(*by).agg(F.max_by(F.struct(*rest), order).alias("_m"))
-    return newest.where(F.col("_m").isNotNull()).select(*by, "_m.*")
+    tops = matching.groupBy(*by).agg(F.max(order).alias("_top"))
+    newest = attach(matching, tops, by, "inner", nulls=True).where(F.col(order) == F.col("_top"))
+    return newest.groupBy(*by).agg(F.max_by(F.struct(*rest), order).alias("_m")).select(*by, "_m.*")
 
 
 def first_attachment(attachments: DataFrame, by: str = "email_id") -> DataFrame:

@@ -1,4 +1,4 @@
-"""Status events. Each function takes a batch or a streaming DataFrame alike."""
+"""Status events. Each function takes a batch or a streaming DataFrame alike, unless it says otherwise."""
 
 from __future__ import annotations
 
@@ -40,7 +40,8 @@ def job_events(events: DataFrame, job_id) -> DataFrame:
 
 
 def up_to_terminal(events: DataFrame, terminal: list[str] = TERMINAL_EVENTS) -> DataFrame:
-    """A job's events up to and including its first terminal one."""
+    """A job's events up to and including its first terminal one. For a batch: the end is looked up among all events,
+    which a stream has not seen yet."""
     ends = events.where(F.col("type").isin(terminal)).groupBy("job_id").agg(F.min("seq").alias("_end"))
     return attach(events, ends, ["job_id"]).where(
         F.col("_end").isNull() | (F.col("seq") <= F.col("_end"))
