@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -154,19 +153,21 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, score: float = SCORE, gr
     # As many rows as items, as many numbers as the items have n-grams.
     paired = found.join(F.broadcast(seeds), "item").where(F.arrays_overlap("grams", "seeds"))
 
-    def align(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
+    arrow = to_arrow_schema(StructType.fromDDL(out))
+
+    def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
             rows = []
-            for doc_id, item, start, words in frame.itertuples(index=False):
+            for doc_id, item, start, words in zip(*(column.to_pylist() for column in batch.columns)):
                 b = np.array([numbers[item].get(w, -1) for w in words.split(" ")])
                 best, lo, hi = local_score(codes[item], b)
                 best /= MATCH * lengths[item]
                 if best >= score:
                     rows.append((doc_id, ids[item], best, start + lo, start + hi))
-            yield pd.DataFrame(rows, columns=["doc_id", "item_id", "score", "start_word", "end_word"])
+            yield pa.RecordBatch.from_pylist([dict(zip(arrow.names, r)) for r in rows], arrow)
 
     # Stretches are dealt anew, so that a hot file's passages are aligned by many tasks.
-    scored = paired.select("doc_id", "item", "start", "words").repartition("doc_id", "item", "start").mapInPandas(align, out)
+    scored = paired.select("doc_id", "item", "start", "words").repartition("doc_id", "item", "start").mapInArrow(align, out)
     best = F.max(F.struct("score", -F.col("start_word"), "end_word"))
     return scored.groupBy("doc_id", "item_id").agg(best.alias("b")).select(
         "doc_id", "item_id", F.col("b.score").alias("score"), (-F.col("b.col2")).alias("start_word"), F.col("b.end_word").alias("end_word"))

@@ -133,6 +133,7 @@ def trigrams_of(query: object) -> set[str]:
 
 # --- index -----------------------------------------------------------------------------------
 
+_PIECE = 1 << 19
 _FOLD = np.arange(256, dtype=np.uint32)
 _FOLD[65:91] += 32
 
@@ -147,18 +148,20 @@ class Segment:
 
     def __init__(self, texts: list[bytes], wanted: list[str]):
         self.rows = len(texts)
-        data = _FOLD[np.frombuffer(b"\n\n".join(texts), np.uint8)]
         self.postings = {t: np.zeros(0, np.int64) for t in wanted}
-        if len(data) < 3:
-            return
-        codes = data[:-2] << 16 | data[1:-1] << 8 | data[2:]
+        data = np.frombuffer(b"\n\n".join(texts), np.uint8)
+        ends = np.cumsum([len(t) + 2 for t in texts])
         listed = np.zeros(1 << 24, bool)
         listed[[_code(t) for t in wanted]] = True
-        at = np.flatnonzero(listed[codes])
-        ends = np.cumsum([len(t) + 2 for t in texts])
-        row = np.searchsorted(ends, at, side="right")
-        pairs = np.unique(codes[at].astype(np.int64) * self.rows + row)
-        codes, row = pairs // self.rows, pairs % self.rows
+        # Pieces overlap by two bytes, so that every trigram is in one: memory does not follow the texts' length.
+        pairs = [np.zeros(0, np.int64)]
+        for begin in range(0, len(data) - 2, _PIECE):
+            piece = _FOLD[data[begin:begin + _PIECE + 2]]
+            codes = piece[:-2] << 16 | piece[1:-1] << 8 | piece[2:]
+            at = np.flatnonzero(listed[codes])
+            pairs.append(np.unique(codes[at].astype(np.int64) * self.rows + np.searchsorted(ends, begin + at, side="right")))
+        pairs = np.unique(np.concatenate(pairs))
+        codes, row = (pairs // self.rows, pairs % self.rows) if self.rows else (pairs, pairs)
         for t in wanted:
             lo, hi = np.searchsorted(codes, [_code(t), _code(t) + 1])
             self.postings[t] = row[lo:hi]

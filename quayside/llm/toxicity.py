@@ -8,7 +8,7 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -19,7 +19,7 @@ BUCKETS = 1 << 20
 PREFIXES = (5, 7)
 _SENTENCE = re.compile(r"[^.!?\n\r]+")
 _WORD = re.compile(r"\w+")
-_CACHE = 200_000
+_CACHE = 50_000
 
 
 def features(word: str) -> list[int]:
@@ -61,11 +61,11 @@ def sample(docs: DataFrame, labels: DataFrame, per_class: int = 4000, characters
 
 def _featurised(rows: DataFrame) -> DataFrame:
     """(pick, toxic, weight, lengths, buckets): per sentence how many different buckets, and these, as 32-bit numbers in bytes."""
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[str, list[int]] = {}
-        for frame in frames:
+        for batch in batches:
             lengths, buckets = [], []
-            for text in frame["text"]:
+            for text in batch.column(3).to_pylist():
                 n, b = [], []
                 for sentence in _SENTENCE.findall(text.lower()):
                     own: set[int] = set()
@@ -79,9 +79,10 @@ def _featurised(rows: DataFrame) -> DataFrame:
                     n.append(len(own))
                 lengths.append(np.array(n, np.int32).tobytes())
                 buckets.append(np.array(b, np.int32).tobytes())
-            yield pd.DataFrame({"pick": frame["pick"], "toxic": frame["toxic"], "weight": frame["weight"], "lengths": lengths, "buckets": buckets})
+            yield pa.RecordBatch.from_arrays(
+                batch.columns[:3] + [pa.array(lengths, pa.binary()), pa.array(buckets, pa.binary())], ["pick", "toxic", "weight", "lengths", "buckets"])
 
-    return rows.select("pick", "text", "toxic", "weight").mapInPandas(
+    return rows.select("pick", F.col("toxic").cast("int").alias("toxic"), "weight", "text").mapInArrow(
         run, "pick long, toxic int, weight double, lengths binary, buckets binary")
 
 
