@@ -36,7 +36,7 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
+    found = simhash.close_fingerprints(table(spark, sf_dir, "documents"))
     return found.select("doc_id", simhash.hex_digits("fingerprint").alias("fingerprint"), "component_id")
 
 

@@ -94,3 +94,26 @@ def test_block_join_is_no_nested_loop(spark):
     frame = spark.range(1000).select(F.xxhash64("id").alias("fingerprint"))
     plan = simhash.close_pairs(frame)._jdf.queryExecution().toString()
     assert "NestedLoop" not in plan and "Cartesian" not in plan
+
+
+@pytest.mark.parametrize("limit", [2, 64])
+def test_near_copies_by_shingles_against_all_pairs(spark, monkeypatch, limit):
+    """Edited copies far over 2 bits apart; small limits send blocks through their smallest node."""
+    monkeypatch.setattr(simhash, "LARGE_BLOCK", limit)
+    r, texts = random.Random(8), []
+    for g in range(6):
+        base = x.prose(40 + g, 200).split()
+        for _ in range(12):
+            edited = list(base)
+            for at in r.sample(range(200), r.randrange(9)):
+                edited[at] = f"e{r.randrange(10_000)}"
+            texts.append(" ".join(edited))
+    sets = [{tuple(t.split()[i:i + 5]) for i in range(196)} for t in texts]
+    links = [(a, b) for a in range(72) for b in range(a) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    want = x.smallest_reachable(list(range(72)), links)
+    got = simhash.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert {q.doc_id: q.component_id for q in got} == want and len(set(want.values())) > 6
+    tight = {q.doc_id: q.component_id for q in simhash.close_fingerprints(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert any(tight[a] != tight[b] for a, b in links)
+    kept = simhash.distinct_documents(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    assert {q.doc_id for q in kept.collect()} == set(want.values())
