@@ -1,7 +1,8 @@
-"""Benchmark decontamination: rare n-gram seeds pair passages with test items, Smith-Waterman scores the pairs."""
+"""Benchmark decontamination: seeds and bounds that no counting alignment escapes, Smith-Waterman scores what they leave."""
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -14,8 +15,6 @@ from pyspark.sql.types import StructType
 from quayside.llm.common import bounded_batches
 from quayside.session import pin
 
-GRAM = 4
-RARE = 8.0
 SCORE = 0.45
 MATCH, MISMATCH, GAP = 1.0, -0.5, -0.6
 _LETTERS = str.maketrans({c: " " for c in "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"})
@@ -26,14 +25,30 @@ def words_of(text: str | None) -> list[str]:
     return (text or "").lower().translate(_LETTERS).split()
 
 
-def item_grams(items: list[tuple[int, list[str]]], gram: int = GRAM) -> dict[tuple[str, ...], list[tuple[int, int]]]:
-    """n-gram to the items (by place in the list) and positions that hold it; a shorter item is one gram."""
-    found: dict[tuple[str, ...], list[tuple[int, int]]] = {}
-    for i, (_, words) in enumerate(items):
-        size = min(gram, len(words))
-        for p in range(len(words) - size + 1 if size else 0):
-            found.setdefault(tuple(words[p:p + size]), []).append((i, p))
-    return found
+def seeding(length: int, score: float = SCORE) -> tuple[int, int, int]:
+    """(gram, least, span) of an item of ``length`` words: what every alignment of ``score`` or more holds.
+
+    Such an alignment has m matches, s mismatches and g gaps with m - s/2 - 0.6 g >= score * length and
+    m + s <= length. Its matches form at most s + g + 1 runs, so at least m - s - g - 1 pairs of
+    neighbouring words match; that is smallest where m is the length and only gaps cost. It spans at most ``span``
+    words of text and has at least ``least`` n-grams of ``gram`` words in common with the item: pairs, or
+    single words where an item is so short that no pair need be left.
+    """
+    gaps = (MATCH - score) * length / -GAP
+    pairs = math.ceil(length - gaps - 1 - 1e-9)
+    span = length + math.ceil(gaps)
+    return (2, pairs, span) if pairs > 0 else (1, max(1, math.ceil(score * length - 1e-9)), span)
+
+
+def common_words(places: dict[str, int], length: int, words: list[str]) -> int:
+    """Length of the longest common subsequence, a bound of the matches; ``places``: word to the bits of its positions in the item."""
+    whole = state = (1 << length) - 1
+    for word in words:
+        here = places.get(word)
+        if here is not None:
+            both = state & here
+            state = (state + both | state - both) & whole
+    return length - state.bit_count()
 
 
 def local_score(a: np.ndarray, b: np.ndarray) -> tuple[float, int, int]:
@@ -68,79 +83,71 @@ def local_score(a: np.ndarray, b: np.ndarray) -> tuple[float, int, int]:
     return best, *span
 
 
-def passages(docs: DataFrame, items: list[tuple[int, list[str]]], gram: int = GRAM) -> DataFrame:
-    """(doc_id, text_hash, item, start, words, grams): stretches of texts that share n-grams with an item.
+def passages(docs: DataFrame, items: list[tuple[int, list[str]]], score: float = SCORE) -> DataFrame:
+    """(doc_id, item, start, words): stretches of texts that an alignment of ``score`` or more with an item can lie in.
 
-    Map-only over whole texts. The places of an item's n-grams in a text that lie within an
-    item's length of each other form one stretch, widened by half that length on both sides; a
-    text with several copies of an item has several.
+    Map-only over whole texts. Where as many of an item's n-grams as ``seeding`` asks lie within its span,
+    the text is widened by that span on both sides; overlapping stretches are one. A stretch
+    stays if its longest common subsequence with the item has as many words as the score needs.
     """
     bounded_batches(docs.sparkSession)
-    wanted = item_grams(items, gram)
-    numbers = {g: n for n, g in enumerate(sorted(wanted))}
     lengths = [len(w) for _, w in items]
-    sizes = sorted({len(g) for g in wanted})
-    # A word opens a gram only if it opens a wanted one; most words of a text do not.
-    openers = {g[0] for g in wanted}
-
-    schema = "doc_id long, text_hash long, item int, start int, words string, grams array<int>"
+    seeds = [seeding(n, score) for n in lengths]
+    places: list[dict[str, int]] = []
+    wanted: dict[int, dict] = {}
+    for i, (_, words) in enumerate(items):
+        places.append({})
+        for p, word in enumerate(words):
+            places[i][word] = places[i].get(word, 0) | 1 << p
+        owners = wanted.setdefault(seeds[i][0], {})
+        for g in dict.fromkeys(zip(words, words[1:]) if seeds[i][0] == 2 else words):
+            owners.setdefault(g, []).append(i)
+
+    schema = "doc_id long, item int, start int, words string"
     arrow = to_arrow_schema(StructType.fromDDL(schema))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for doc_id, text_hash, text in zip(*(column.to_pylist() for column in batch.columns)):
+            for doc_id, text in zip(*(column.to_pylist() for column in batch.columns)):
                 words = words_of(text)
-                places: dict[int, list[tuple[int, int]]] = {}
-                for at, word in enumerate(words):
-                    if word in openers:
-                        for size in sizes:
-                            g = tuple(words[at:at + size])
-                            for item, _ in wanted.get(g, ()):
-                                places.setdefault(item, []).append((at, numbers[g]))
-                for item, hits in places.items():
-                    reach, begin = lengths[item] + gram, 0
-                    for i in range(1, len(hits) + 1):
-                        if i == len(hits) or hits[i][0] - hits[i - 1][0] > reach:
-                            wide = max(reach // 2, gram)
-                            lo, hi = max(0, hits[begin][0] - wide), hits[i - 1][0] + gram + wide
-                            rows.append((doc_id, text_hash, item, lo, " ".join(words[lo:hi]), sorted({g for _, g in hits[begin:i]})))
-                            begin = i
+                found: dict[int, list[int]] = {}
+                for size, owners in wanted.items():
+                    for at, g in enumerate(zip(words, words[1:]) if size == 2 else words):
+                        if g in owners:
+                            for item in owners[g]:
+                                found.setdefault(item, []).append(at)
+                for item, hits in found.items():
+                    _, least, span = seeds[item]
+                    stretches: list[list[int]] = []
+                    for first, last in zip(hits, hits[least - 1:]):
+                        if last - first < span:
+                            lo, hi = max(0, first - span), last + span + 1
+                            if stretches and lo <= stretches[-1][1]:
+                                stretches[-1][1] = hi
+                            else:
+                                stretches.append([lo, hi])
+                    for lo, hi in stretches:
+                        part = words[lo:hi]
+                        if MATCH * common_words(places[item], lengths[item], part) >= score * lengths[item] - 1e-9:
+                            rows.append((doc_id, item, lo, " ".join(part)))
             yield pa.RecordBatch.from_pylist([dict(zip(arrow.names, r)) for r in rows], arrow)
 
-    texts = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text").where("doc_id is not null and text is not null")
-    return texts.mapInArrow(run, schema)
-
-
-def rare_grams(found: DataFrame, wanted: dict, rare: float = RARE) -> DataFrame:
-    """(item, gram): the n-grams of every item that seed pairs.
-
-    A gram's frequency is the number of stretches in all texts that hold it. One is rare if it occurs at
-    most ``rare`` times as often as the item's median gram. So an item that leaked into very
-    many documents keeps its grams, while phrases common outside it lose theirs; every item
-    keeps at least half of its grams.
-    """
-    spark = found.sparkSession
-    counts = found.select(F.explode("grams").alias("gram")).groupBy("gram").count()
-    owners = [(i, n) for n, g in enumerate(sorted(wanted)) for i in {i for i, _ in wanted[g]}]
-    listed = spark.createDataFrame(owners, "item int, gram int").join(counts, "gram", "left").fillna(0, ["count"])
-    middle = listed.groupBy("item").agg(F.percentile("count", 0.5).alias("middle"))
-    return listed.join(middle, "item").where(F.col("count") <= rare * F.greatest("middle", F.lit(1.0))).select("item", "gram")
+    return docs.select("doc_id", "text").where("doc_id is not null and text is not null").mapInArrow(run, schema)
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, score: float = SCORE, gram: int = GRAM, rare: float = RARE) -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, score: float = SCORE) -> DataFrame:
     """(doc_id, item_id, score, start_word, end_word): passages of ``docs`` that hold a test item, whole or edited.
 
     ``benchmark`` (item_id, text) is the set of test items; it is collected, so its size is bounded by the benchmark,
-    not by the corpus. Stretches that share a rare n-gram with an item are aligned with it word by
-    word; the score is the best local alignment's, over the item's length, and counts from
+    not by the corpus. Every stretch that could reach ``score`` is aligned with its item word by
+    word, however many texts hold the same; the score is the best local alignment's, over the item's length, and counts from
     ``score`` up. One row per document and item, the best passage. Null or empty items and texts, and null ids, match nothing;
     equal items all match; repeated rows give one row; extra columns are ignored.
     """
     spark = docs.sparkSession
     items = [(r.item_id, words_of(r.text)) for r in benchmark.select("item_id", "text").where("item_id is not null and text is not null").collect()]
     items = sorted((i, w) for i, w in items if w)
-    wanted = item_grams(items, gram)
     numbers = [{w: n for n, w in enumerate(dict.fromkeys(words))} for _, words in items]
     ids = [i for i, _ in items]
     lengths = [len(w) for _, w in items]
@@ -148,11 +155,6 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, score: float = SCORE, gr
     out = "doc_id long, item_id long, score double, start_word long, end_word long"
     if not items:
         return spark.createDataFrame([], out)
-    found = pin(passages(docs, items, gram))
-    seeds = rare_grams(found, wanted, rare).groupBy("item").agg(F.collect_set("gram").alias("seeds"))
-    # As many rows as items, as many numbers as the items have n-grams.
-    paired = found.join(F.broadcast(seeds), "item").where(F.arrays_overlap("grams", "seeds"))
-
     arrow = to_arrow_schema(StructType.fromDDL(out))
 
     def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -167,7 +169,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, score: float = SCORE, gr
             yield pa.RecordBatch.from_pylist([dict(zip(arrow.names, r)) for r in rows], arrow)
 
     # Stretches are dealt anew, so that a hot file's passages are aligned by many tasks.
-    scored = paired.select("doc_id", "item", "start", "words").repartition("doc_id", "item", "start").mapInArrow(align, out)
+    scored = passages(docs, items, score).distinct().repartition("doc_id", "item", "start").mapInArrow(align, out)
     best = F.max(F.struct("score", -F.col("start_word"), "end_word"))
     return scored.groupBy("doc_id", "item_id").agg(best.alias("b")).select(
         "doc_id", "item_id", F.col("b.score").alias("score"), (-F.col("b.col2")).alias("start_word"), F.col("b.end_word").alias("end_word"))

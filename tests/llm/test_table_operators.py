@@ -228,6 +228,16 @@ def test_edited_copies_are_found_and_clean_texts_left(spark):
     assert decontaminate.contaminated(frame.limit(0), bench).count() == 0 and decontaminate.contaminated(frame, bench.limit(0)).count() == 0
 
 
+def test_many_copies_of_one_edited_passage_are_found(spark):
+    """More than eight copies of one excerpt or of one edit, of which fewer than half of the 4-grams are left."""
+    items = [(1, x.prose(1, 40)), (2, x.prose(2, 40))]
+    edited = [w if i % 6 else "other" for i, w in enumerate(items[1][1].split())]
+    docs = [(i, x.prose(100 + i, 90) + " " + " ".join(items[0][1].split()[:19])) for i in range(30)]
+    docs += [(50 + i, x.prose(200 + i, 90) + " " + " ".join(edited)) for i in range(30)] + [(99, items[1][1])]
+    rows = decontaminate.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {(r.doc_id, r.item_id) for r in rows} == {(i, 1) for i in range(30)} | {(50 + i, 2) for i in range(30)} | {(99, 2)}
+
+
 def test_query_holds_every_exact_passage(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()
     bench = [(r.item_id, " ".join(decontaminate.words_of(r.text))) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
