@@ -238,6 +238,28 @@ def test_many_copies_of_one_edited_passage_are_found(spark):
     assert {(r.doc_id, r.item_id) for r in rows} == {(i, 1) for i in range(30)} | {(50 + i, 2) for i in range(30)} | {(99, 2)}
 
 
+def test_spread_edits_against_alignment_of_whole_texts(spark):
+    """Seeds at one end, no 4-gram left, inserted words, short items: brute-force alignment of every text with every item decides."""
+    r, docs = random.Random(6), []
+    items = [(i, x.prose(60 + i, n)) for i, n in enumerate((3, 7, 12, 13, 15, 25, 40))]
+    for _, text in items:
+        words = text.split()
+        copies = [[w if i % k else "other" for i, w in enumerate(words)] for k in (2, 3, 4)]
+        copies += [[w if i % 4 or i > len(words) - 5 else "other" for i, w in enumerate(words)]]
+        copies += [[v for i, w in enumerate(words) for v in ([w, "more"] if i % k else [w])] for k in (2, 3, 10)]
+        copies += [[w if r.random() > 0.28 else "other" for w in words] for _ in range(8)]
+        docs += [x.prose(len(docs) + 5000 + i, 60, 4000) + " " + " ".join(c) + " " + x.prose(len(docs) + 9000 + i, 60, 4000) for i, c in enumerate(copies)]
+    want = set()
+    for d, text in enumerate(docs):
+        for i, item in items:
+            number = {w: n for n, w in enumerate(dict.fromkeys(item.split()))}
+            best, _, _ = decontaminate.local_score(np.array([number[w] for w in item.split()]), np.array([number.get(w, -1) for w in text.split()]))
+            if best / len(item.split()) >= decontaminate.SCORE:
+                want.add((d, i))
+    rows = decontaminate.contaminated(spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {(r.doc_id, r.item_id) for r in rows} == want and len(want) > 60
+
+
 def test_query_holds_every_exact_passage(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()
     bench = [(r.item_id, " ".join(decontaminate.words_of(r.text))) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
