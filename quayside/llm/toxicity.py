@@ -32,8 +32,9 @@ def sample(docs: DataFrame, labels: DataFrame, per_class: int = 4000, characters
     """A bounded training sample (pick, text, toxic, weight), pinned.
 
     At most ``per_class`` labelled rows of each class, those of smallest hash of doc_id, and of
-    these at most ``characters`` of text per class (a text longer than that bound is never
-    trained on). ``weight`` restores the class's share in all labels.
+    these at most ``characters`` of text per class: a text that no longer fits is left out, the next
+    are still tried. A text over a tenth of that bound takes part with sentences drawn from all of it
+    (``excerpt``), so no text ends its class. ``weight`` restores the class's share in all labels.
     Labels that are neither 0 nor 1, and labels without a document, are left out.
     """
     known = labels.where("toxic in (0, 1) and doc_id is not null").select("doc_id", "toxic", F.xxhash64("doc_id").alias("pick"))
@@ -43,20 +44,54 @@ def sample(docs: DataFrame, labels: DataFrame, per_class: int = 4000, characters
         part = known.where(F.col("toxic") == c).orderBy("pick", "doc_id").limit(per_class)
         part = part.withColumn("weight", F.lit(max(1.0, sizes.get(c, 0) / per_class)))
         chosen = part if chosen is None else chosen.union(part)
-    # Bounded: at most two times per_class rows of four numbers.
-    found = pin(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").where("text is not null")
-                .select("pick", "text", "toxic", "weight", F.length("text").alias("n")))
+    share = max(1, characters // 10)
+
+    def shorten(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = [excerpt(t, share) for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string()), *batch.columns[2:]], ["pick", "text", "toxic", "weight"])
+
+    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").where("text is not null").select(
+        "pick", "text", F.col("toxic").cast("int").alias("toxic"), "weight")
+    found = rows.mapInArrow(shorten, "pick long, text string, toxic int, weight double")
+    found = pin(found.withColumn("n", F.length("text")).withColumn("hash", F.xxhash64("text")))
     keep = {0: 0, 1: 0}
-    last = {0: None, 1: None}
-    for r in sorted(found.select("toxic", "pick", "n").collect(), key=lambda r: (r.pick, r.n)):
-        keep[r.toxic] += r.n
-        if keep[r.toxic] <= characters:
-            last[r.toxic] = r.pick
-    fits = F.lit(False)
-    for c, pick in last.items():
-        if pick is not None:
-            fits |= (F.col("toxic") == c) & (F.col("pick") <= pick)
-    return found.where(fits & (F.col("n") <= characters))
+    left_out = []
+    # Bounded: at most two times per_class rows of four numbers, where ids do not repeat.
+    for r in sorted(found.select("toxic", "pick", "n", "hash").collect(), key=lambda r: (r.pick, r.n, r.hash)):
+        if keep[r.toxic] + r.n > characters:
+            left_out.append((r.toxic, r.pick, r.hash))
+        else:
+            keep[r.toxic] += r.n
+    if left_out:
+        gone = docs.sparkSession.createDataFrame(left_out, "toxic int, pick long, hash long")
+        found = found.join(F.broadcast(gone), ["toxic", "pick", "hash"], "left_anti")
+    return found.select("pick", "text", "toxic", "weight", "n")
+
+
+def excerpt(text: str, share: int) -> str:
+    """A text of at most ``share`` characters as it is; of a longer one, sentences of smallest hash that fit.
+
+    A sentence that is longer by itself is first reduced to its distinct words, which is all the model reads of it.
+    """
+    if len(text) <= share:
+        return text
+    kept, room = [], share
+    for sentence in sorted((m.group() for m in _SENTENCE.finditer(text)), key=lambda s: (zlib.crc32(s.encode()), s)):
+        if len(sentence) >= room:
+            words = sorted(set(_WORD.findall(sentence.lower())), key=lambda w: (zlib.crc32(w.encode()), w))
+            sentence = " ".join(words)
+            if len(sentence) >= share and not kept:
+                fit = []
+                for w in words:
+                    if len(w) + 1 < room:
+                        fit.append(w)
+                        room -= len(w) + 1
+                return " ".join(fit)
+        if len(sentence) < room:
+            kept.append(sentence)
+            room -= len(sentence) + 1
+    return ".".join(kept)
 
 
 def _featurised(rows: DataFrame) -> DataFrame:

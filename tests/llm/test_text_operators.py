@@ -44,6 +44,19 @@ def test_toxicity_of_awkward_rows(spark):
     assert toxicity.train(x.none_of(spark), labels)["weights"] == {}
 
 
+def test_long_texts_end_no_class(spark):
+    """Toxic texts far over the bound of characters take part in excerpts, and the texts after them are trained on."""
+    docs, labels = toy(spark)
+    first = labels.where("toxic = 1").orderBy(F.xxhash64("doc_id")).first().doc_id
+    for long in ("calm words here. " * 900, "calm " * 3000):
+        mixed = docs.withColumn("text", F.when(F.col("doc_id") == first, F.concat("text", F.lit(long))).otherwise(F.col("text")))
+        rows = toxicity.sample(mixed, labels, characters=6000).collect()
+        assert sum(r.toxic == 1 for r in rows) == 30 and all(len(r.text) <= 600 for r in rows)
+        assert sum(len(r.text) for r in rows if r.toxic == 1) <= 6000
+        only = labels.where((F.col("toxic") == 0) | (F.col("doc_id") == first))
+        assert any(r.toxic == 1 for r in toxicity.sample(mixed, only, characters=6000).collect())
+
+
 def test_held_out_accuracy(spark):
     rows = QUERIES["op1_toxicity"](spark, SF)
     truth = spark.read.parquet(f"{SF}/labels.parquet")
