@@ -55,6 +55,21 @@ n AS (SELECT x, count(*) AS n FROM links GROUP BY x)
 SELECT r.x AS vec_id, COALESCE(any_value(n.n), 0) AS n_links, min(r.y) AS component_id, min(r.y) = r.x AS kept
 FROM reach r LEFT JOIN n ON n.x = r.x GROUP BY r.x"""
 
+HARD_NEGATIVES_SQL = """
+WITH v AS (
+    SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS e
+    FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (
+    SELECT a.vec_id AS anchor_id, b.vec_id AS id, a.label = b.label AS same, CAST(list_dot_product(a.e, b.e) AS BIGINT) AS score
+    FROM v a JOIN v b ON len(a.e) = len(b.e) WHERE a.vec_id % 50 = 0),
+p AS (
+    SELECT anchor_id, id AS positive_id, score AS positive_score FROM s WHERE same AND id IS DISTINCT FROM anchor_id
+    QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5)
+SELECT anchor_id, positive_id, CAST(row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, id) AS INT) AS rank,
+       id AS negative_id, positive_score, score AS negative_score
+FROM p JOIN s USING (anchor_id) WHERE NOT same AND 100 * score BETWEEN 50 * positive_score AND 95 * positive_score
+QUALIFY row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, id) <= 3"""
+
 _TEMPLATES = ", ".join(f"({i}, '{label}', {i < len(BASE)}, '{text}')" for i, (label, text) in enumerate([*BASE, *MORE]))
 _WORDS = r"regexp_extract_all(translate(COALESCE({}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 _GRAMS = """SELECT {id}, i - 1 AS place, 3 AS k, w || ' ' || lead(w, 1) OVER p || ' ' || lead(w, 2) OVER p AS g FROM {t} WINDOW p AS (PARTITION BY {id} ORDER BY i)
