@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quayside.llm import decontaminate, embeddings, hard_negatives, licenses, mixing, secrets, simhash, token_counts, toxicity, url_lists, warc
+from quayside.llm import decontaminate, embeddings, hard_negatives, licenses, merkle, mixing, secrets, simhash, token_counts, toxicity, url_lists, warc
 from quayside.llm.common import table
-from quayside.llm.oracles import EMBEDDINGS_SQL, HARD_NEGATIVES_SQL, LICENSES_SQL, MIX_SQL, WARC_SQL
+from quayside.llm.oracles import EMBEDDINGS_SQL, HARD_NEGATIVES_SQL, LICENSES_SQL, MERKLE_SQL, MIX_SQL, WARC_SQL
 
 QUERIES = {}
 ORACLES: dict[str, str] = {}
@@ -129,6 +129,13 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+@query(MERKLE_SQL)
+def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tampered = F.crc32(F.col("doc_id").cast("string")) % 5 == 0
+    return merkle.manifest(table(spark, sf_dir, "documents"), tampered).select(
+        "doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified")
+
+
 @query(HARD_NEGATIVES_SQL)
 def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     shifted = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))

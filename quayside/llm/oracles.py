@@ -70,6 +70,37 @@ SELECT anchor_id, positive_id, CAST(row_number() OVER (PARTITION BY anchor_id, p
 FROM p JOIN s USING (anchor_id) WHERE NOT same AND 100 * score BETWEEN 50 * positive_score AND 95 * positive_score
 QUALIFY row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, id) <= 3"""
 
+_PART = "COALESCE(CAST(strlen(CAST({0} AS VARCHAR)) AS VARCHAR) || ':' || CAST({0} AS VARCHAR), '-')"
+_LEAF = "sha256(" + " || ".join(_PART.format(c) for c in ("doc_id", "source", "lang", "n_chars")) + " || " + _PART + ")"
+# One step up for nodes (tree, p, n, h): the runs of a level, then the next level. A tree with one node stays as it is.
+_LEVEL = """
+r{0} AS (SELECT tree, p // 16 AS p, string_agg(h, '' ORDER BY p) AS run, any_value(n) AS n FROM n{0} GROUP BY tree, p // 16),
+n{1} AS (SELECT tree, p, (n + 15) // 16 AS n, CASE WHEN n = 1 THEN run ELSE sha256(run) END AS h FROM r{0}),"""
+# The same step for what every leaf carries: its place, its version's node and the siblings so far.
+_CLIMB = """
+d{1} AS (
+    SELECT d.* REPLACE (d.p // 16 AS p, CASE WHEN r.n = 1 THEN f ELSE sha256(run[:64 * (d.p % 16)] || f || run[64 * (d.p % 16) + 65:]) END AS f,
+                        CASE WHEN r.n = 1 THEN proof ELSE proof || run[:64 * (d.p % 16)] || run[64 * (d.p % 16) + 65:] END AS proof)
+    FROM d{0} d JOIN r{0} r ON d.{2} = r.tree AND d.p // 16 = r.p),"""
+# Levels of the sources' trees (to 16^5 leaves) and of the tree above them (to 16^3 sources).
+_LOWER, _UPPER = range(5), range(6, 9)
+MERKLE_SQL = f"""
+WITH crc AS (SELECT list_transform(range(256), lambda i: list_reduce(list_concat([i], range(8)), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END)) AS t),
+leaves AS (
+    SELECT doc_id, source, {_LEAF.format("text")} AS leaf, {_LEAF.format("translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} AS other,
+           xor(list_reduce(list_concat([4294967295], list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda x: CAST(ascii(x) AS BIGINT))),
+                           lambda c, b: xor(t[xor(c, b) % 256 + 1], c // 256)), 4294967295) % 5 = 0 AS tampered
+    FROM documents, crc),
+d0 AS (
+    SELECT doc_id, source, dense_rank() OVER (ORDER BY source NULLS FIRST) - 1 AS tree, 0 AS top, leaf, '' AS proof, CASE WHEN tampered THEN other ELSE leaf END AS f,
+           row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS p, count(*) OVER (PARTITION BY source) AS n FROM leaves),
+n0 AS (SELECT tree, p, n, leaf AS h FROM d0),{"".join(_LEVEL.format(k, k + 1) + _CLIMB.format(k, k + 1, "tree") for k in _LOWER)}
+n6 AS (SELECT 0 AS tree, tree AS p, count(*) OVER () AS n, h FROM n5),
+d6 AS (SELECT d5.* REPLACE (tree AS p) FROM d5),{"".join(_LEVEL.format(k, k + 1) + _CLIMB.format(k, k + 1, "top") for k in _UPPER)}
+last AS (SELECT h FROM n9)
+SELECT doc_id, leaf, n5.h AS subroot, last.h AS root, sha256(proof) AS proof_sha256, f AS folded_root, f = last.h AS verified
+FROM d9 JOIN n5 USING (tree), last"""
+
 _TEMPLATES = ", ".join(f"({i}, '{label}', {i < len(BASE)}, '{text}')" for i, (label, text) in enumerate([*BASE, *MORE]))
 _WORDS = r"regexp_extract_all(translate(COALESCE({}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 _GRAMS = """SELECT {id}, i - 1 AS place, 3 AS k, w || ' ' || lead(w, 1) OVER p || ' ' || lead(w, 2) OVER p AS g FROM {t} WINDOW p AS (PARTITION BY {id} ORDER BY i)
