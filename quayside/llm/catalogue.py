@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quayside.llm import decontaminate, embeddings, hard_negatives, licenses, merkle, mixing, secrets, simhash, token_counts, toxicity, url_lists, warc
+from quayside.llm import decontaminate, embeddings, hard_negatives, languages, licenses, merkle, mixing, secrets, simhash, token_counts, toxicity, url_lists, warc
 from quayside.llm.common import table
 from quayside.llm.oracles import EMBEDDINGS_SQL, HARD_NEGATIVES_SQL, LICENSES_SQL, MERKLE_SQL, MIX_SQL, WARC_SQL
 
@@ -136,6 +136,14 @@ def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified")
 
 
+@query()
+def op12_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = languages.train(docs.where(~languages.held_out(F.col("doc_id"))))
+    return languages.identify(docs, model).select(
+        "doc_id", languages.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", F.size("spans").alias("n_spans"))
+
+
 @query(HARD_NEGATIVES_SQL)
 def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     shifted = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
