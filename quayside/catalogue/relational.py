@@ -164,6 +164,30 @@ def attachment_with_records(spark, sf):
     )
 
 
+_DOCUMENTS_SQL = """
+    WITH l AS (SELECT *, (row_number() OVER (PARTITION BY attachment_id ORDER BY record_pos NULLS LAST, record_id) - 1) // {per_row} AS chunk FROM ({lines}))
+    SELECT o_orderkey, CAST(COALESCE(l.chunk, 0) AS BIGINT) AS chunk, CAST(count(l.record_id) AS INT) AS n_records,
+           COALESCE(string_agg(concat_ws(':', l.record_id, l.region, l.part), ',' ORDER BY l.record_pos, l.record_id), '') AS records
+    FROM orders LEFT JOIN l ON l.attachment_id = o_orderkey GROUP BY o_orderkey, l.chunk"""
+
+
+def _documents(spark, sf, per_row):
+    attachments = order_attachments(spark, sf).withColumn("raw_text", F.col("filename"))
+    told = F.transform("records", lambda r: F.concat_ws(":", r["record_id"].cast("string"), r["region"], r["dynamic_data"]["part"]))
+    return joins.attachment_documents(attachments, line_records(spark, sf), per_row).select(
+        F.col("attachment_id").alias("o_orderkey"), "chunk", F.size("records").alias("n_records"), F.array_join(told, ",").alias("records"))
+
+
+@query(_DOCUMENTS_SQL.format(lines=LINE_RECORDS_SQL, per_row=joins.CHILDREN_PER_ROW))
+def attachment_documents(spark, sf):
+    return _documents(spark, sf, joins.CHILDREN_PER_ROW)
+
+
+@query(_DOCUMENTS_SQL.format(lines=LINE_RECORDS_SQL, per_row=2))
+def attachment_documents_split(spark, sf):
+    return _documents(spark, sf, 2)
+
+
 @query("""
     SELECT o_orderkey, o_custkey, o_totalprice FROM orders
     WHERE o_orderstatus = 'O' AND o_orderpriority IN ('1-URGENT', '2-HIGH')

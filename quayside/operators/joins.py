@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import MapType
 
 from quayside.operators.numbering import number_rows
 from quayside.session import pin
@@ -57,17 +58,34 @@ def nest_children(
 
     A parent with more than ``per_row`` children continues on further rows (``chunk`` 1, 2, ...),
     so no array grows with the data. Chunks follow the children's rank, whatever their
-    positions; children without a position come last.
+    positions; children without a position come last. Only children of such parents are ranked
+    by a sort over all of them; the others are gathered by key and sorted there.
     """
     others = [f for f in fields if f != position]
-    ranked = number_rows(
-        children.select(key, position, *others), [key], [F.col(position).asc_nulls_last(), *[F.col(f) for f in others]], "_rank"
-    )
-    chunk = F.floor((F.col("_rank") - 1) / F.lit(per_row)).alias("chunk")
-    item = F.struct(F.col("_rank"), F.struct(F.col(position), *[F.col(f) for f in others]).alias("_item"))
-    nested = ranked.groupBy(key, chunk).agg(
-        F.transform(F.array_sort(F.collect_list(item)), lambda i: i["_item"]).alias(name)
-    )
+    rows = children.where(F.col(key).isNotNull()).select(key, position, *others)
+    maps = [f for f in others if isinstance(children.schema[f].dataType, MapType)]
+    # Maps have no order: they are compared, and sorted by, as lists of entries.
+    sortable = {f: F.map_entries(f).alias(f) if f in maps else F.col(f) for f in others}
+    item = F.struct(F.col(position).isNull().alias("_last"), position, *sortable.values())
+
+    def whole(i: Column, f: str) -> Column:
+        return (F.map_from_entries(i[f]) if f in maps else i[f]).alias(f)
+
+    def gathered(df: DataFrame, *by) -> DataFrame:
+        found = df.groupBy(key, *by).agg(F.array_sort(F.collect_list(item)).alias("_items"))
+        return found.withColumn(name, F.transform("_items", lambda i: F.struct(i[position].alias(position), *[whole(i, f) for f in others])))
+
+    sizes = rows.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
+    large = sizes.where(F.col("_n") > per_row).select(key)
+    if large.isEmpty():
+        nested = gathered(rows).select(key, F.lit(0).cast("long").alias("chunk"), name)
+    else:
+        # A key with more children than one row takes needs their rank; the others are sorted where they are gathered.
+        large = pin(large)
+        order = [F.col(position).asc_nulls_last(), *sortable.values()]
+        ranked = number_rows(selected(rows, large, key), [key], order, "_rank")
+        chunked = gathered(ranked, F.floor((F.col("_rank") - 1) / F.lit(per_row)).alias("chunk")).select(key, "chunk", name)
+        nested = chunked.unionByName(gathered(without_removed(rows, large, key)).select(key, F.lit(0).cast("long").alias("chunk"), name))
     empty = F.array().cast(nested.schema[name].dataType)
     return parents.join(nested, key, "left").withColumns({
         "chunk": F.coalesce("chunk", F.lit(0).cast("long")),
@@ -134,13 +152,24 @@ def live_over_stored(attachments: DataFrame, latest: DataFrame) -> DataFrame:
 
 
 def attachment_with_records(attachments: DataFrame, records: DataFrame) -> DataFrame:
-    """Raw text next to each extracted record; attachments without records keep one row."""
+    """Raw text next to each extracted record; attachments without records keep one row. The text is copied
+    to every record, as the rows say; ``attachment_documents`` has it once."""
     return attachments.select("attachment_id", "filename", "raw_text").join(
         records.select("attachment_id", "record_id", "record_pos", "dynamic_data", "region", "is_validated"),
         "attachment_id", "left",
     )
 
 
+def attachment_documents(attachments: DataFrame, records: DataFrame, per_row: int = CHILDREN_PER_ROW) -> DataFrame:
+    """Attachments with their raw text and their ordered records as an array: a text is there once per ``per_row`` records.
+
+    Records are nested before they meet the texts, so no text crosses the network more than once
+    a chunk, whatever the number of records.
+    """
+    fields = ["record_pos", "record_id", "dynamic_data", "region", "is_validated"]
+    return nest_children(attachments.select("attachment_id", "filename", "raw_text"), records, "attachment_id", "record_pos", fields, "records", per_row)
+
+
 def list_emails(emails: DataFrame, attachments: DataFrame) -> DataFrame:
     """E-mails newest first, an e-mail's chunks in order."""
     nested = emails_with_attachments(emails, attachments)

@@ -128,11 +128,11 @@ def resolve_attempts(replies: DataFrame, compat: bool = True) -> DataFrame:
     """
     tries = replies.where(F.col("attempt").isNotNull()).select("attachment_id", "attempt", "content", "error")
     ok = F.col("error").isNull()
-    numbers = tries.groupBy("attachment_id").agg(F.min(F.when(ok, F.col("attempt"))).alias("won"))
+    numbers = pin(tries.groupBy("attachment_id").agg(F.min(F.when(ok, F.col("attempt"))).alias("won")))
     won = F.col("won").isNotNull()
-    best = tries.where(ok).join(pin(numbers.where(won)), "attachment_id").where("attempt = won").groupBy("attachment_id").agg(
+    best = tries.where(ok).join(numbers.where(won), "attachment_id").where("attempt = won").groupBy("attachment_id").agg(
         F.min(F.coalesce("content", F.lit(""))).alias("content"))
-    failed = tries.where(~ok).join(pin(numbers), "attachment_id").where("won is null or attempt < won")
+    failed = tries.where(~ok).join(numbers, "attachment_id").where("won is null or attempt < won")
     standing = failed.groupBy("attachment_id").agg(F.max(F.struct("attempt", "error"))["error"].alias("last_error"))
     out = numbers.join(best, "attachment_id", "left").join(standing, "attachment_id", "left")
     last_error = F.col("last_error") if compat else F.when(~won, F.col("last_error"))

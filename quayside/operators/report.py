@@ -89,20 +89,19 @@ def report_fragments(
     zone of any size is written without ever being one value.
     """
     by = ["email_id", "zone"]
-    numbered = pin(numbered_cells(records, columns).withColumn(
-        "fragment", F.floor((F.col("row_index") - 1) / F.lit(rows_per_fragment))
-    ))
-    parts = zone_summary(numbered, [*by, "fragment"])
+    numbered = numbered_cells(records, columns).withColumn("fragment", F.floor((F.col("row_index") - 1) / F.lit(rows_per_fragment)))
+    parts = pin(zone_summary(numbered, [*by, "fragment"]))
     whole = parts.groupBy(*by).agg(F.sum("n_records").alias("n_records"), F.bit_or("active").alias("active"))
     heads = attach(parts.select(*by, "fragment"), whole, by, nulls=True)
-    # Rows meet their zone's totals by fragment, so a zone with most of the rows is spread out.
-    rows = attach(numbered, heads, [*by, "fragment"], nulls=True).select(
-        *by, "fragment", "active", "n_records", "row_index",
-        row_html(F.col("cells"), F.col("active"), raw).alias("html"),
-    )
-    pieces = rows.groupBy(*by, "fragment", "active", "n_records").agg(
+    # Rows meet their zone's totals by fragment, so a zone with most of the rows is spread out. The key is one
+    # value, in which nulls are equal: the rows cross the network once, for the join and the pieces alike.
+    key = F.struct(*by, "fragment").alias("_key")
+    totals = heads.select(key, "active", "n_records")
+    rows = numbered.select(key, "row_index", "cells").join(totals, "_key").select(
+        "_key", "active", "n_records", "row_index", row_html(F.col("cells"), F.col("active"), raw).alias("html"))
+    pieces = rows.groupBy("_key", "active", "n_records").agg(
         F.array_sort(F.collect_list(F.struct("row_index", "html"))).alias("_rows")
-    )
+    ).select("_key.*", "active", "n_records", "_rows")
     body = F.array_join(F.transform("_rows", lambda r: r["html"]), "")
     last = F.floor((F.col("n_records") - 1) / F.lit(rows_per_fragment))
     return pieces.select(
