@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -56,10 +58,27 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
     context.setCheckpointDir(shared)
 
 
+_recorded: list[list[str]] = []
+
+
 def shared_path(spark: SparkSession, name: str) -> str:
     """A path of its own in the shared folder."""
     ensure_checkpoint_dir(spark)
-    return f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
+    path = f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
+    for paths in _recorded:
+        paths.append(path)
+    return path
+
+
+@contextmanager
+def recorded_paths() -> Iterator[list[str]]:
+    """The shared paths given out meanwhile, for a caller that removes them once all that reads them is written."""
+    paths: list[str] = []
+    _recorded.append(paths)
+    try:
+        yield paths
+    finally:
+        _recorded.remove(paths)
 
 
 def pin(df: DataFrame) -> DataFrame:
