@@ -1,4 +1,4 @@
-"""Near-duplicates: SimHash fingerprints with blocks that close pairs must share, shingle sets with minhash bands; components."""
+"""Near-duplicates: SimHash fingerprints with blocks that close pairs must share; shingle sets with blocks of minima and sketches; components."""
 
 from __future__ import annotations
 
@@ -6,13 +6,14 @@ from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quayside.llm.common import bounded_batches, bytes_of, components
-from quayside.session import pin
+from quayside.session import pin, recorded_paths, remove
 
 BITS = 64
 SEED = 42
@@ -137,15 +138,22 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
-def _band_keys(hashes: np.ndarray, bands: int, rows: int) -> list[int]:
-    """One signed key a band, of ``rows`` minima of permuted hashes each."""
+def _minima(hashes: np.ndarray, number: int) -> np.ndarray:
+    """The smallest value of each of ``number`` permuted hashes; none for an empty set."""
     if not len(hashes):
-        return []
-    factors, added = np.random.default_rng(SEED).integers(0, 1 << 63, (2, bands * rows), dtype=np.uint64)
+        return np.zeros(0, np.uint64)
+    factors, added = np.random.default_rng(SEED).integers(0, 1 << 63, (2, number), dtype=np.uint64)
     factors |= np.uint64(1)
-    lowest = np.full(bands * rows, ~np.uint64(0))
+    lowest = np.full(number, ~np.uint64(0))
     for at in range(0, len(hashes), 1024):
         lowest = np.minimum(lowest, (hashes[at:at + 1024, None] * factors + added).min(axis=0))
+    return lowest
+
+
+def _band_keys(lowest: np.ndarray, bands: int, rows: int) -> list[int]:
+    """One signed key a band, of ``rows`` minima each."""
+    if not len(lowest):
+        return []
     keys = np.arange(bands, dtype=np.uint64)
     for column in lowest.reshape(bands, rows).T:
         keys = _mixed(keys * np.uint64(0x9E3779B97F4A7C15) + column)
@@ -156,64 +164,173 @@ def _node(hashes: np.ndarray) -> int:
     return xxhash.xxh64_intdigest(hashes.tobytes(), SEED) - (1 << 63)
 
 
-def _similar(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, words: int, similarity: float) -> DataFrame:
-    """The (a, b) of ``pairs`` whose shingle sets have a Jaccard similarity of ``similarity`` or more, pinned."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = [shingle_hashes(t.as_py(), words) for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([f.view(np.int64) for f in found], pa.list_(pa.int64()))], ["node", "shingles"])
-
-    ends = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-    wanted = pin(nodes.join(ends, "node").select("node", "text_hash"))
-    texts = docs.select(F.xxhash64("text").alias("text_hash"), bytes_of("text").alias("text")).join(wanted, "text_hash").dropDuplicates(["node"])
-    sets = pin(texts.select("node", "text").mapInArrow(run, "node long, shingles array<long>"))
-    met = pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("u")), "a").join(
-        sets.select(F.col("node").alias("b"), F.col("shingles").alias("v")), "b")
-    both = F.size(F.array_intersect("u", "v"))
-    return pin(met.where(both >= similarity * (F.size("u") + F.size("v") - both)).select("a", "b"))
+SKETCH = 12  # numbers of 16 lanes of 4 bits, one lane a minimum
+_LANES = 0x1111111111111111
+# A pair at the wanted similarity differs in more lanes than its sketch is allowed with a probability of about 3e-5.
+DEVIATIONS = 4.0
+# Members that one task holds of a family too large for pairs of rows.
+SLICE = 1024
+
+
+def _sketch(lowest: np.ndarray) -> list[int]:
+    """The last 4 bits of every minimum, as SKETCH numbers."""
+    lanes = _mixed(lowest[:SKETCH * 16]).reshape(SKETCH, 16) & np.uint64(15)
+    return np.bitwise_or.reduce(lanes << (np.arange(16, dtype=np.uint64) * np.uint64(4)), axis=1).view(np.int64).tolist()
+
+
+def _allowed(similarity: float) -> int:
+    """Lanes in which the sketches of a pair of this similarity may differ."""
+    n, p = SKETCH * 16, (1 - similarity) * 15 / 16
+    return int(n * p + DEVIATIONS * (n * p * (1 - p)) ** 0.5) + 1
+
+
+def _lanes_apart(left: str, right: str) -> Column:
+    """In how many lanes two sketches differ; ``left`` and ``right`` are prefixes of their columns."""
+    total = F.lit(0)
+    for i in range(SKETCH):
+        x = F.col(f"{left}{i}").bitwiseXOR(F.col(f"{right}{i}"))
+        x = x.bitwiseOR(F.shiftrightunsigned(x, 1))
+        x = x.bitwiseOR(F.shiftrightunsigned(x, 2))
+        total = total + F.bit_count(x.bitwiseAND(F.lit(_LANES)))
+    return total
+
+
+class _Nodes:
+    """Distinct shingle sets of a table: their sketches and, where a pair needs them, the sets themselves."""
+
+    def __init__(self, signed: DataFrame, nodes: DataFrame, similarity: float):
+        self.signed, self.nodes, self.similarity = signed, nodes, similarity
+
+    def sketched(self, rows: DataFrame, end: str) -> DataFrame:
+        """``rows`` with the sketch of the node in column ``end``, in columns ``end``0, ``end``1, ..."""
+        own = self.nodes.select(F.col("node").alias(end), *[F.col("sketch")[i].alias(f"{end}{i}") for i in range(SKETCH)])
+        return rows.join(own, end)
+
+    def sets(self, wanted: DataFrame) -> DataFrame:
+        """(node, shingles) of the nodes in ``wanted``, pinned: every set is written once, by the row that stands for it."""
+        rows = pin(self.nodes.join(wanted, "node", "left_semi").select("row"))
+        return pin(self.signed.select("row", "node", "shingles").join(rows, "row", "left_semi").select("node", "shingles"))
+
+    def close(self) -> Column:
+        return _lanes_apart("a", "b") <= _allowed(self.similarity)
+
+    def links(self, pairs: DataFrame) -> DataFrame:
+        """The (a, b) of ``pairs`` whose sets are similar enough, pinned. Pairs should be near by their sketches."""
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                u, v = ([np.frombuffer(x, np.uint32) for x in batch.column(i).to_pylist()] for i in (2, 3))
+                found = pa.array([_jaccard(x, y) >= similarity for x, y in zip(u, v)], pa.bool_())
+                yield pa.RecordBatch.from_arrays(batch.columns[:2], ["a", "b"]).filter(found)
+
+        similarity = self.similarity
+        pairs = pin(pairs)
+        sets = self.sets(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct())
+        met = pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("u")), "a").join(
+            sets.select(F.col("node").alias("b"), F.col("shingles").alias("v")), "b")
+        return pin(met.select("a", "b", "u", "v").mapInArrow(run, "a long, b long"))
+
+    def family_links(self, members: DataFrame) -> DataFrame:
+        """Links (a, b) between members (hub, node, component, n) of one hub that are in different components, pinned.
+
+        For families of any size ``n``: members are dealt into slices, and every two slices of a family are one task
+        that compares sketches as matrices and sets where those are near. What leaves a task is links, not pairs.
+        """
+        similarity, most = self.similarity, _allowed(self.similarity)
+
+        def compare(frame: pd.DataFrame) -> pd.DataFrame:
+            own, i, j = frame["own"].to_numpy(), frame["i"].iloc[0], frame["j"].iloc[0]
+            node, component = frame["node"].to_numpy(), frame["component"].to_numpy()
+            sketch = np.stack(frame["sketch"].to_numpy()).astype(np.int64).view(np.uint64)
+            sets = [np.frombuffer(x, np.uint32) for x in frame["shingles"]]
+            left, right = np.flatnonzero(own == i), np.flatnonzero(own == j)
+            found = []
+            for x in left:
+                others = right[right > x] if i == j else right
+                others = others[component[others] != component[x]]
+                apart = sketch[others] ^ sketch[x]
+                apart |= apart >> np.uint64(1)
+                apart |= apart >> np.uint64(2)
+                near = others[np.bitwise_count(apart & np.uint64(_LANES)).sum(axis=1) <= most]
+                found += [(node[x], node[y]) for y in near if _jaccard(sets[x], sets[y]) >= similarity]
+            return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
+
+        members = pin(members)
+        dealt = members.join(self.nodes.select("node", "sketch"), "node").join(self.sets(members.select("node")), "node")
+        dealt = dealt.withColumn("slices", F.ceil(F.col("n") / SLICE).cast("int")).withColumn("own", F.pmod(F.xxhash64("node"), "slices").cast("int"))
+        dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)))
+        dealt = dealt.select("hub", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "component", "sketch", "shingles")
+        return pin(dealt.groupBy("hub", "i", "j").applyInPandas(compare, "a long, b long").distinct())
+
+
+def _jaccard(u: np.ndarray, v: np.ndarray) -> float:
+    both = len(np.intersect1d(u, v, assume_unique=True))
+    return both / max(1, len(u) + len(v) - both)
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8, bands: int = 32, rows: int = 6) -> DataFrame:
     """(doc_id, component_id) for every row of ``docs`` (doc_id, text): groups of near-copies.
 
-    Texts are linked whose sets of ``words``-word shingles have a Jaccard similarity of ``similarity`` or
-    more. Equal sets are one node. Nodes that share all minima of a band meet and are verified; at a
-    similarity of 0.8, 32 bands of 6 miss a link with a probability of 6e-5, at 0.85 of 3e-7. A
-    large block first meets its smallest node; after that only members that this left in another component
-    meet the whole block, so links are left out only within a component. component_id is the
-    smallest doc_id of the component, as in ``close_fingerprints``.
+    Texts are linked whose sets of ``words``-word shingles (as 32-bit hashes) have a Jaccard similarity of ``similarity`` or
+    more. Equal sets are one node; texts without words are one node too, linked with nothing else. Nodes that share all minima
+    of a band are a block, and may be linked; at a similarity of 0.8, 32 bands of 6 miss a link with a probability of 6e-5.
+
+    A block's leader is the member that shares most blocks with others: of edited copies, the original. First every member meets
+    the leaders of its blocks, and links make components. A node's hub is the foremost of its leaders. Then members of one hub in
+    different components are compared, and members of a block with different hubs and components; pairs inside a
+    component need no comparison. Candidates pass if the sketches of their minima are near, and are linked if the sets are similar.
+    So the number of pairs of rows follows the number of nodes, not the square of a group; a hub with more than LARGE_BLOCK
+    members in several components is compared slice by slice, with the same result, where only the arithmetic is quadratic.
+    component_id is the smallest doc_id of the component, as in ``close_fingerprints``.
     """
     bounded_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [shingle_hashes(t.as_py(), words) for t in batch.column(2)]
+            found = [shingle_hashes(t.as_py(), words) for t in batch.column(1)]
+            lowest = [_minima(f, bands * rows) for f in found]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array([_node(f) for f in found], pa.int64()),
-                 pa.array([_band_keys(f, bands, rows) for f in found], pa.list_(pa.int64()))], ["doc_id", "text_hash", "node", "keys"])
+                [batch.column(0), pa.array([_node(f) for f in found], pa.int64()), pa.array([_band_keys(x, bands, rows) for x in lowest], pa.list_(pa.int64())),
+                 pa.array([_sketch(x) if len(x) else [0] * SKETCH for x in lowest], pa.list_(pa.int64())),
+                 pa.array([np.unique((f >> np.uint64(32)).astype(np.uint32)).tobytes() for f in found], pa.binary())], ["doc_id", "node", "keys", "sketch", "shingles"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    signed = pin(docs.select("doc_id", F.xxhash64("text").alias("text_hash"), bytes_of("text").alias("text")).mapInArrow(
-        run, f"doc_id {kind}, text_hash long, node long, keys array<long>"))
-    nodes = pin(signed.groupBy("node").agg(F.min("doc_id").alias("first"), F.min("text_hash").alias("text_hash"), F.any_value("keys").alias("keys")))
+    signed = pin(docs.select("doc_id", bytes_of("text").alias("text")).mapInArrow(
+        run, f"doc_id {kind}, node long, keys array<long>, sketch array<long>, shingles binary").withColumn("row", F.monotonically_increasing_id()))
+    nodes = pin(signed.groupBy("node").agg(F.min("doc_id").alias("first"), F.min("row").alias("row"), F.any_value("keys").alias("keys"), F.any_value("sketch").alias("sketch")))
+    every = _Nodes(signed, nodes, similarity)
+
     keyed = nodes.select("node", F.explode("keys").alias("key"))
-    blocks = pin(keyed.groupBy("key").agg(F.count("*").alias("members"), F.min("node").alias("leader")).where("members > 1"))
+    blocks = pin(keyed.groupBy("key").agg(F.count("*").alias("members")).where("members > 1"))
     keyed = pin(keyed.join(blocks, "key"))
-    small, large = keyed.where(F.col("members") <= LARGE_BLOCK), keyed.where(F.col("members") > LARGE_BLOCK)
-    left, right = small.select("key", F.col("node").alias("a")), small.select("key", F.col("node").alias("b"))
-    pairs = left.hint("merge").join(right, "key").where("a < b").select("a", "b").union(
-        large.where("node > leader").select(F.col("leader").alias("a"), F.col("node").alias("b")))
-    links = _similar(pin(pairs.distinct()), docs, nodes, words, similarity)
-    # What a large block's smallest node left apart meets all members of other components.
+    shared = pin(keyed.groupBy("node").agg(F.sum("members").alias("shared")))
+    leaders = pin(keyed.join(shared, "node").groupBy("key").agg(F.max(F.struct("shared", "node")).alias("leader")))
+    led = keyed.join(leaders, "key").select("key", "node", "leader").withColumn("to", F.col("leader")["node"])
+    met = pin(led.groupBy("node", "to").agg(F.first("leader").alias("leader")))
+    hubs = pin(met.groupBy("node").agg(F.max("leader")["node"].alias("hub")))
+
+    pairs = met.where("node <> to").select(F.greatest("node", "to").alias("a"), F.least("node", "to").alias("b")).distinct()
+    links = every.links(every.sketched(every.sketched(pairs, "a"), "b").where(every.close()).select("a", "b"))
+
     linked = pin(components(links))
-    placed = large.join(linked, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    heads = placed.where("node = leader").select("key", F.col("component").alias("head"))
-    placed = pin(placed.join(heads, "key"))
-    apart = placed.where("component <> head").select("key", F.col("node").alias("a"), F.col("component").alias("own"))
-    if not apart.isEmpty():
-        rest = apart.hint("merge").join(placed.select("key", F.col("node").alias("b"), "component"), "key").where("own <> component")
-        rest = pin(rest.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-        linked = pin(components(links.union(_similar(rest, docs, nodes, words, similarity))))
+    placed = pin(hubs.join(linked, "node", "left").select("node", "hub", F.coalesce("component", "node").alias("component")))
+    several = F.min("component") < F.max("component")
+    families = pin(placed.groupBy("hub").agg(F.count("*").alias("n"), several.alias("several")).where("several"))
+    members = placed.join(families.select("hub", "n"), "hub")
+    mixed = keyed.select("key", "node").join(placed, "node")
+    crossed = pin(mixed.groupBy("key").agg((several & (F.min("hub") < F.max("hub"))).alias("crossed")).where("crossed").select("key"))
+    mixed = pin(every.sketched(mixed.join(crossed, "key").withColumnRenamed("node", "a"), "a"))
+    small = pin(every.sketched(members.where(F.col("n") <= LARGE_BLOCK).withColumnRenamed("node", "a"), "a"))
+
+    def pairs_of(rows: DataFrame, on: str, *different: str) -> DataFrame:
+        other = rows.select(on, F.col("a").alias("b"), *[F.col(c).alias(f"b_{c}") for c in different], *[F.col(f"a{i}").alias(f"b{i}") for i in range(SKETCH)])
+        found = (F.col("a") > F.col("b")) & every.close()
+        for c in different:
+            found = found & (F.col(c) != F.col(f"b_{c}"))
+        return rows.hint("merge").join(other, on).where(found).select("a", "b")
+
+    rest = pairs_of(small.drop("n"), "hub", "component").union(pairs_of(mixed, "key", "hub", "component")).distinct()
+    linked = pin(components(links.union(every.links(rest)).union(every.family_links(members.where(F.col("n") > LARGE_BLOCK)))))
+
     firsts = nodes.join(linked, "node", "left").select("node", "first", F.coalesce("component", "node").alias("component"))
     lowest = pin(firsts.groupBy("component").agg(F.min("first").alias("component_id")))
     named = pin(firsts.join(lowest, "component").select("node", "component_id"))
@@ -226,7 +343,12 @@ def distinct_documents(docs: DataFrame, words: int = 5, similarity: float = 0.8)
     Of repeated rows with one id and text one stays; documents without an id stay, as no id can name
     them. Only ids and shingle hashes meet the links; the texts are joined once to the ids that go.
     """
-    found = pin(near_duplicates(docs, words, similarity))
+    with recorded_paths() as made:
+        found = near_duplicates(docs, words, similarity)
+    found = pin(found)
+    # Sets, sketches and blocks have done their work; what stays is a row of ids per document.
+    for path in made:
+        remove(docs.sparkSession, path)
     copies = found.where("doc_id <> component_id").select("doc_id")
     stay = docs.join(pin(copies.distinct()), "doc_id", "left_anti")
     again = pin(found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id"))
