@@ -5,7 +5,10 @@ from pyspark.sql import functions as F
 from quayside.catalogue.registry import query, table
 from quayside.catalogue.text import HTML_TEXT_SQL
 from quayside.plans.ingest import ingest
+from quayside.session import shared_path
 from quayside.sources.messages import attachment_parts, explode_parts, part_text
+from quayside.sources.packed import read_message_archives, stream_message_archives, write_message_archives
+from quayside.streaming.ingest import ingested_state, message_writer
 
 
 def _mime_base64(text):
@@ -45,17 +48,44 @@ def page_messages(spark, sf):
     return table(spark, sf, "pages").select(F.concat(F.lit("page/"), "page_id").alias("path"), F.encode(message, "utf-8").alias("content"))
 
 
-@query(r"""
+_PARTS_SQL = r"""
     SELECT '<' || doc_id || '@docs>' AS message_id, 'Liste é ' || lang AS subject, p.part_index,
            CASE p.part_index WHEN 2 THEN 'attachment_002.eml' ELSE 'doc_' || doc_id || '.EML' END AS filename,
            length(text) AS n_chars, md5(text) AS text_md5
-    FROM documents, (VALUES (2), (4)) AS p(part_index) WHERE trim(text, E' \t\n\r') <> ''""")
-def message_parts(spark, sf):
-    found = ingest(document_messages(spark, sf))
+    FROM documents, (VALUES (2), (4)) AS p(part_index) WHERE trim(text, E' \t\n\r') <> ''"""
+
+
+def _told(found):
+    """Parts with their mail: texts are measured before they meet the mails, so none crosses the network."""
     mails = found.emails.select("email_id", "message_id", "subject")
-    return found.attachments.join(mails, "email_id").select(
-        "message_id", "subject", "part_index", "filename", F.length("raw_text").alias("n_chars"), F.md5("raw_text").alias("text_md5")
-    )
+    parts = found.attachments.select("email_id", "part_index", "filename", F.length("raw_text").alias("n_chars"), F.md5("raw_text").alias("text_md5"))
+    return parts.join(mails, "email_id").drop("email_id")
+
+
+@query(_PARTS_SQL)
+def message_parts(spark, sf):
+    return _told(ingest(document_messages(spark, sf)))
+
+
+@query(_PARTS_SQL)
+def packed_message_parts(spark, sf):
+    """The messages written to archives and read back in splits much smaller than an archive."""
+    folder = shared_path(spark, "archives")
+    write_message_archives(document_messages(spark, sf).repartition(4), folder).count()
+    return _told(ingest(read_message_archives(spark, folder, split_bytes=1 << 20)))
+
+
+@query(_PARTS_SQL)
+def stream_packed_messages(spark, sf):
+    """Archives ingested as they come: two rounds, the second with archives that were added."""
+    folder = shared_path(spark, "archives")
+    messages = document_messages(spark, sf)
+    first = F.xxhash64("path") % 2 == 0
+    for name, part in (("a", messages.where(first)), ("b", messages.where(~first))):
+        write_message_archives(part, f"{folder}/in", name).count()
+        stream = stream_message_archives(spark, f"{folder}/in")
+        message_writer(stream, f"{folder}/out", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
+    return _told(ingested_state(spark, f"{folder}/out"))
 
 
 @query(f"""

@@ -10,7 +10,7 @@ from quayside.operators import joins, ranking, select, status
 from quayside.session import shared_path
 from quayside.sources.events import append_status_events, stream_status_events
 from quayside.streaming.status import (
-    current_rows, dedup_writer, deduplicated_rows, recent_log_writer, recent_rows, upsert_writer,
+    current_rows, dedup_writer, deduplicated_rows, event_window, recent_log_writer, recent_rows, upsert_writer,
 )
 
 
@@ -123,6 +123,38 @@ def stream_running_totals(spark, sf):
     return run_upserts(spark, status.running_totals(event_stream(spark, sf), "purchase"), "totals", "job_id")
 
 
+def windowed_stream(spark, sf):
+    """The events as a feed of four files, each later than the one before, by windows of event time."""
+    path = shared_path(spark, "events")
+    events = table(spark, sf, "events")
+    cuts = events.approxQuantile("event_id", [0.25, 0.5, 0.75], 0.01) if not events.isEmpty() else []
+    quarter = F.lit(0)
+    for cut in cuts:
+        quarter = quarter + (F.col("event_id") > cut).cast("int")
+    for i in range(len(cuts) + 1):
+        append_status_events(events.where(quarter == i).coalesce(1), path)
+    columns = ", ".join(f"{c} {t}" for c, t in events.dtypes)
+    return event_window(status_feed(stream_status_events(spark, path, columns, files_per_batch=1)))
+
+
+@query(_LATEST_SQL)
+def stream_latest_status_bounded(spark, sf):
+    parts = status.latest_status(windowed_stream(spark, sf), FEED_STATUS, ["window"])
+    return status.merged_status(run_upserts(spark, parts, "latest", ["attachment_id", "window"]))
+
+
+@query(_JOBS_SQL)
+def stream_terminal_jobs_bounded(spark, sf):
+    parts = status.job_states(windowed_stream(spark, sf), FEED_TERMINAL, ["window"])
+    return status.merged_states(run_upserts(spark, parts, "jobs", ["job_id", "window"]))
+
+
+@query(_TOTALS_SQL)
+def stream_running_totals_bounded(spark, sf):
+    parts = status.running_totals(windowed_stream(spark, sf), "purchase", ["window"])
+    return status.merged_totals(run_upserts(spark, parts, "totals", ["job_id", "window"]))
+
+
 @query(_RECENT_SQL)
 def stream_recent_log(spark, sf):
     folder = shared_path(spark, "recent")

@@ -10,7 +10,7 @@ from quayside.functions.zones import Rules, place_of, zone_coordinate, zone_of_p
 from quayside.operators.joins import attach
 from quayside.session import pin
 
-KEY_CHARS = 8
+GRAM_CHARS = 4
 BLOCK_CHARS = 256
 
 
@@ -26,9 +26,9 @@ def with_zone(df: DataFrame, region: str = "region", mode: str = "compat", rules
 def match_rules(df: DataFrame, region: str, rules: DataFrame) -> DataFrame:
     """Add ``zone`` by a rule table (priority, keyword, zone) of any size; same result as ``with_zone``.
 
-    Each distinct text is matched once, by a join on keys: a keyword inside a text begins at one of
-    its positions with the keyword's first characters, and a text inside a keyword likewise. What
-    meets on the key is verified, so no text is compared with all rules.
+    Each distinct text is matched once, by a positional index: a keyword inside a text has its rarest run of
+    characters there, and a text inside a keyword likewise. What meets on such a run is
+    verified at the one place it can be, so no text is compared with all rules.
     """
     text = place_of(region)
     places = pin(df.where(F.col(region) != "").select(text.alias("_text")).distinct().withColumn("_id", F.monotonically_increasing_id()))
@@ -42,31 +42,46 @@ def match_rules(df: DataFrame, region: str, rules: DataFrame) -> DataFrame:
     return attach(keyed, best, ["_text"]).withColumn("zone", F.coalesce("_zone", F.lit(UNSPECIFIED))).drop("_text", "_zone")
 
 
+def _grams(rows: DataFrame, sizes: list[int]) -> DataFrame:
+    """(a, gram, at): every run of characters of the given lengths in the texts of ``rows`` (a, s), with its 1-based place.
+
+    Texts are cut into overlapping blocks by one pass of a pattern, so a place deep inside a long
+    text costs no more than one at its beginning. The rows carry no text but the gram. Length 0 is the
+    empty run that every text has, once.
+    """
+    most = max(sizes, default=0)
+    pattern = f"(?s)(?=(.{{1,{BLOCK_CHARS + max(most, 1) - 1}}})).{{1,{BLOCK_CHARS}}}"
+    blocks = rows.select("a", F.posexplode(F.regexp_extract_all("s", F.lit(pattern), F.lit(1))).alias("number", "block"))
+    places = blocks.select("a", "number", "block", F.explode(F.sequence(F.lit(1), F.least(F.length("block"), F.lit(BLOCK_CHARS)))).alias("at"))
+    lengths = F.explode(F.array(*[F.lit(n) for n in sizes if n]).cast("array<int>")).alias("size")
+    runs = places.select("a", "number", "block", "at", lengths).where(F.col("at") + F.col("size") - 1 <= F.length("block"))
+    grams = runs.select("a", F.substring("block", F.col("at"), F.col("size")).alias("gram"), (F.col("number") * BLOCK_CHARS + F.col("at")).alias("at"))
+    return grams.unionByName(rows.select("a", F.lit("").alias("gram"), F.lit(1).alias("at"))) if 0 in sizes else grams
+
+
 def _holding(wholes: DataFrame, pieces: DataFrame) -> DataFrame:
     """Pairs (whole, piece) of ids where the text of one contains that of the other. Both have columns (a, s).
 
-    Pieces are keyed by their first KEY_CHARS characters, or all of a shorter one. Wholes are cut into
-    blocks that overlap by the longest piece, blocks are read at every position, once per length of key
-    that occurs, and what meets on the key is verified. Positions are rows that carry no more
-    than a block.
+    A positional index of short runs of characters: of its runs of GRAM_CHARS (or itself, where it is shorter) each piece is
+    keyed by the one that is rarest among the wholes, with its place inside the piece. A whole that has that run
+    somewhere can hold the piece at one place only, which is verified. A piece with a run that no whole
+    has is out before that. Postings are an id, a run and a place; the texts meet candidates alone.
     """
-    # Three numbers of each side.
-    most = wholes.agg(F.max(F.length("s"))).first()[0] or 0
-    keys = pieces.where(F.length("s") <= most).select(
-        F.col("a").alias("b"), F.col("s").alias("piece"), F.least(F.length("s"), F.lit(KEY_CHARS)).alias("size"))
-    keys = keys.withColumn("key", F.substring("piece", F.lit(1), F.col("size")))
-    sizes = sorted(r["size"] for r in keys.select("size").distinct().collect())
-    longest = keys.agg(F.max(F.length("piece"))).first()[0] or 0
-    blocks = wholes.select("a", "s", F.explode(F.sequence(
-        F.lit(0), F.greatest(F.length("s") - 1, F.lit(0)), F.lit(BLOCK_CHARS))).alias("start")).select(
-        "a", F.substring("s", F.col("start") + 1, F.lit(BLOCK_CHARS + longest)).alias("block"))
-    read = blocks.select("a", "block", F.explode(F.sequence(
-        F.lit(1), F.greatest(F.least(F.length("block"), F.lit(BLOCK_CHARS)), F.lit(1)))).alias("at")).select(
-        "a", "at", F.substring("block", F.col("at"), F.lit(max(longest, 1))).alias("rest"))
-    read = read.select("a", "rest", F.explode(F.array(*[F.lit(n) for n in sizes]).cast("array<int>")).alias("size"), "at").where(
-        (F.length("rest") >= F.col("size")) & ((F.col("size") > 0) | (F.col("at") == 1)))
-    read = read.select("a", "rest", "size", F.substring("rest", F.lit(1), F.col("size")).alias("key"))
-    return read.join(keys, ["size", "key"]).where(F.startswith("rest", "piece")).select("a", "b")
+    size = F.least(F.length("s"), F.lit(GRAM_CHARS))
+    sizes = sorted(r["size"] for r in pieces.select(size.alias("size")).distinct().collect() if r["size"] is not None)
+    own = pieces.select("a", "s", size.alias("size"))
+    keyed = _grams(own, sizes).join(own.select("a", "size", F.length("s").alias("length")), "a").where(F.length("gram") == F.col("size"))
+    keyed = keyed.select(F.col("a").alias("b"), "gram", F.col("at").alias("offset"), (F.col("length") - F.col("size") + 1).alias("runs"))
+    postings = pin(_grams(wholes, sizes).join(keyed.select("gram"), "gram", "left_semi"))
+    counts = postings.groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
+    rarest = keyed.join(counts, "gram").groupBy("b").agg(
+        F.min(F.struct("n", "offset", "gram")).alias("seed"), F.count(F.lit(1)).alias("found"), F.max("runs").alias("runs"))
+    seeds = rarest.where("found = greatest(runs, 1)").select("b", F.col("seed")["gram"].alias("gram"), F.col("seed")["offset"].alias("offset"))
+    start = (F.col("at") - F.col("offset") + 1).alias("start")
+    candidates = postings.join(seeds, "gram").where("at >= offset").select("a", "b", start)
+    texts, parts = wholes.select("a", F.col("s").alias("whole")), pieces.select(F.col("a").alias("b"), F.col("s").alias("piece"))
+    here = F.substring("whole", F.col("start"), F.length("piece")) == F.col("piece")
+    return candidates.join(parts, "b").join(texts, "a").where(here).select("a", "b").distinct()
 
 
 def with_coordinates(df: DataFrame) -> DataFrame:

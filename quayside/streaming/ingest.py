@@ -19,6 +19,12 @@ def ingest_writer(
     spark: SparkSession, source: str, target: str, checkpoint: str, first_n: int = 0,
     pattern: str = "*.eml", files_per_batch: int = 10_000,
 ) -> DataStreamWriter:
+    """Incremental ingest of a folder of message files."""
+    return message_writer(stream_message_files(spark, source, pattern, files_per_batch), target, checkpoint, first_n)
+
+
+def message_writer(messages: DataFrame, target: str, checkpoint: str, first_n: int = 0) -> DataStreamWriter:
+    """Incremental ingest of a stream of (path, content) rows, from message files or archives."""
     def write(batch: DataFrame, batch_id: int) -> None:
         held: list[DataFrame] = []
 
@@ -34,8 +40,7 @@ def ingest_writer(
         for df in held:
             df.unpersist()
 
-    files = stream_message_files(spark, source, pattern, files_per_batch)
-    return files.writeStream.option("checkpointLocation", checkpoint).foreachBatch(write)
+    return messages.writeStream.option("checkpointLocation", checkpoint).foreachBatch(write)
 
 
 def ingested_state(spark: SparkSession, target: str) -> Ingested:

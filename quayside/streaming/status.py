@@ -1,7 +1,9 @@
 """Streaming forms of the status operators.
 
 The aggregates themselves are in ``operators.status`` and serve both modes. Their state is
-one small row per attachment or job; the session keeps it in RocksDB. Results live in folders
+one small row per attachment or job; the session keeps it in RocksDB. Grouped by ``event_window`` as well
+it is bounded: a window's rows leave the state once the watermark has passed it, and the result
+keeps one row per key and window, which the ``merged_`` functions put together. Results live in folders
 of Parquet that every micro-batch adds to, bounded by compaction: a replayed batch overwrites
 only its own folder, and old folders go when a later one holds their rows.
 """
@@ -25,6 +27,15 @@ def event_time(events: DataFrame, column: str = "ts", delay: str = "1 hour") ->
     return events.withColumn(column, F.col(column).cast("timestamp")).withWatermark(column, delay)
 
 
+def event_window(events: DataFrame, width: str = "1 day", column: str = "ts", delay: str = "1 hour") -> DataFrame:
+    """Watermarked events with ``window``, the start of their stretch of event time.
+
+    An aggregate by key and ``window`` keeps state for the stretches that may still get events, those later than
+    the last event less ``delay``: finished jobs and old attachments are not in it. Events that come later than that are left out.
+    """
+    return event_time(events, column, delay).withColumn("window", F.window(column, width))
+
+
 def _part(key: str, parts: int) -> Column:
     return F.pmod(F.xxhash64(key), F.lit(parts)).cast("int")
 
@@ -60,7 +71,7 @@ def deduplicated_rows(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.option("basePath", path).parquet(path).drop("part", "batch_id")
 
 
-def upsert_writer(aggregated: DataFrame, path: str, checkpoint: str, key: str | None = None, compact_every: int = COMPACT_EVERY) -> DataStreamWriter:
+def upsert_writer(aggregated: DataFrame, path: str, checkpoint: str, key: str | list[str] | None = None, compact_every: int = COMPACT_EVERY) -> DataStreamWriter:
     """Changed rows of an aggregate, one folder per micro-batch. A replayed batch overwrites its own.
 
     With a ``key`` every ``compact_every`` batches are merged into one table of current rows, and the
@@ -84,7 +95,7 @@ def upsert_writer(aggregated: DataFrame, path: str, checkpoint: str, key: str |
     )
 
 
-def _log(spark: SparkSession, path: str, key: str) -> DataFrame:
+def _log(spark: SparkSession, path: str, key: str | list[str]) -> DataFrame:
     """Latest row per key with its ``_batch``: the last table of current rows and the batches after it."""
     base = _numbers(spark, path, "base=")
     after = [n for n in _numbers(spark, path, "batch_id=") if not base or n > base[-1]]
@@ -93,40 +104,47 @@ def _log(spark: SparkSession, path: str, key: str) -> DataFrame:
         log = spark.read.option("basePath", path).parquet(*[f"{path}/batch_id={n}" for n in after])
         rows.append(log.withColumn("_batch", F.col("batch_id").cast("long")).drop("batch_id"))
     log = rows[0] if len(rows) == 1 else rows[0].unionByName(rows[1])
-    rest = [c for c in log.columns if c != key]
-    return log.groupBy(key).agg(F.max_by(F.struct(*rest), "_batch").alias("_r")).select(key, "_r.*")
+    keys = [key] if isinstance(key, str) else key
+    rest = [c for c in log.columns if c not in keys]
+    return log.groupBy(*keys).agg(F.max_by(F.struct(*rest), "_batch").alias("_r")).select(*keys, "_r.*")
 
 
-def current_rows(spark: SparkSession, path: str, key: str) -> DataFrame:
+def current_rows(spark: SparkSession, path: str, key: str | list[str]) -> DataFrame:
     """Latest row per key of what ``upsert_writer`` wrote."""
     return _log(spark, path, key).drop("_batch")
 
 
+def _versions(spark: SparkSession, path: str) -> dict[str, list[int]]:
+    """Version numbers of every part of a recent log, ascending. A version's folder appears whole, when its batch commits."""
+    return {p: sorted(int(v.removeprefix("version=")) for v in folders(spark, f"{path}/{p}")) for p in folders(spark, path) if p.startswith("part=")}
+
+
 def recent_log_writer(events: DataFrame, path: str, checkpoint: str, n: int = RECENT_EVENTS, parts: int = PARTS) -> DataStreamWriter:
     """Keep the last ``n`` events of each job; a batch rewrites only the parts (hashes of job) it has events of.
 
-    A part's versions hold its result so far; the last two are kept.
+    A batch is one write, whatever the number of parts: it makes a new version of each part it touches and
+    leaves the others alone. A part's versions hold its result so far; the last two are kept.
     """
     def merge(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        rows = batch.withColumn("part", _part("job_id", parts))
+        rows = batch.withColumn("part", _part("job_id", parts)).persist()
         # At most ``parts`` numbers.
-        touched = sorted(r.part for r in rows.select("part").distinct().collect())
-        before = {p: [v for v in _numbers(spark, f"{path}/part={p}", "version=") if v < batch_id] for p in touched}
-        old = [f"{path}/part={p}/version={v[-1]}" for p, v in before.items() if v]
-        if old:
-            rows = rows.unionByName(spark.read.option("basePath", path).parquet(*old).drop("version"))
-        kept = recent_per_job(rows, n).persist()
-        for p in touched:
-            kept.where(F.col("part") == p).drop("part").write.mode("overwrite").parquet(f"{path}/part={p}/version={batch_id}")
-            for v in before[p][:-1]:
-                remove(spark, f"{path}/part={p}/version={v}")
-        kept.unpersist()
+        touched = {f"part={r.part}" for r in rows.select("part").distinct().collect()}
+        before = {p: [v for v in known if v < batch_id] for p, known in _versions(spark, path).items() if p in touched}
+        old = [f"{path}/{p}/version={known[-1]}" for p, known in before.items() if known]
+        merged = rows.unionByName(spark.read.option("basePath", path).parquet(*old).drop("version")) if old else rows
+        kept = recent_per_job(merged, n).withColumn("version", F.lit(batch_id)).repartition("part")
+        kept.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option(
+            "mapreduce.fileoutputcommitter.marksuccessfuljobs", "false").partitionBy("part", "version").parquet(path)
+        rows.unpersist()
+        for p, known in before.items():
+            for v in known[:-1]:
+                remove(spark, f"{path}/{p}/version={v}")
 
     return events.writeStream.option("checkpointLocation", checkpoint).foreachBatch(merge)
 
 
 def recent_rows(spark: SparkSession, path: str) -> DataFrame:
     """Last versions of what ``recent_log_writer`` wrote; only their folders are read."""
-    last = [f"{path}/{p}/version={_numbers(spark, f'{path}/{p}', 'version=')[-1]}" for p in folders(spark, path) if p.startswith("part=")]
+    last = [f"{path}/{p}/version={known[-1]}" for p, known in _versions(spark, path).items() if known]
     return spark.read.option("basePath", path).parquet(*last).drop("part", "version")

@@ -7,7 +7,7 @@ from quayside.operators import ranking, status
 from quayside.sources.events import append_status_events, read_status_events, stream_status_events
 from quayside.session import folders
 from quayside.streaming.status import (
-    current_rows, dedup_writer, deduplicated_rows, event_time, recent_log_writer, recent_rows, upsert_writer,
+    current_rows, dedup_writer, deduplicated_rows, event_time, event_window, recent_log_writer, recent_rows, upsert_writer,
 )
 
 SCHEMA = "job_id long, seq long, ts timestamp, type string, attachment_id long, record_count int"
@@ -82,3 +82,35 @@ def test_dedup(spark, tmp_path):
 def test_event_time_takes_timestamps_without_zone(spark):
     df = spark.readStream.schema("ts timestamp_ntz, x int").parquet("/root/testdata/sf0.001")
     assert dict(event_time(df).dtypes)["ts"] == "timestamp"
+
+
+def test_state_leaves_with_the_watermark(spark, tmp_path):
+    """The feed in order of time: state rows stay few while the windows they came from go, and the merged result is the batch's."""
+    path = str(tmp_path / "events")
+    events = status_feed(spark.read.parquet("/root/testdata/sf0.01/events.parquet"))
+    for i in range(6):
+        append_status_events(events.where(F.floor(F.col("seq") * 6 / 10_000) == i).coalesce(1), path)
+    batch = read_status_events(spark, path, SCHEMA)
+    for name, key, f, merge in [
+        ("latest", "attachment_id", lambda e, by: status.latest_status(e, FEED_STATUS, by), status.merged_status),
+        ("jobs", "job_id", lambda e, by: status.job_states(e, FEED_TERMINAL, by), status.merged_states),
+        ("totals", "job_id", lambda e, by: status.running_totals(e, "purchase", by), status.merged_totals),
+    ]:
+        keys, out = [key, "window"], str(tmp_path / name)
+        stream = event_window(stream_status_events(spark, path, SCHEMA, files_per_batch=1))
+        done = run(upsert_writer(f(stream, ["window"]), out, str(tmp_path / f"{name}-state"), keys, compact_every=2))
+        held = [p["stateOperators"][0]["numRowsTotal"] for p in done.recentProgress]
+        parts = current_rows(spark, out, keys)
+        assert max(held) < parts.count() / 2 and held[-1] <= 2 * batch.select(key).distinct().count()
+        assert rows(merge(parts)) == rows(f(batch, ()).select(*merge(parts).columns))
+
+
+def test_recent_log_is_one_write_a_batch(spark, tmp_path):
+    path, out, state = (str(tmp_path / p) for p in ("events", "log", "state"))
+    feed_files(spark, path, 3)
+    run(recent_log_writer(stream_status_events(spark, path, SCHEMA, files_per_batch=1), out, state, n=5))
+    files = [f for p in folders(spark, out) for v in folders(spark, f"{out}/{p}") for f in folders(spark, f"{out}/{p}/{v}")]
+    assert len(files) == len([v for p in folders(spark, out) for v in folders(spark, f"{out}/{p}")])
+    assert {v for p in folders(spark, out) for v in folders(spark, f"{out}/{p}")} <= {"version=0", "version=1", "version=2"}
+    again = rows(recent_rows(spark, out))
+    assert again == rows(ranking.recent_per_job(read_status_events(spark, path, SCHEMA), 5))
