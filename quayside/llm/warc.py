@@ -22,6 +22,7 @@ from quayside.session import pin, shared_path
 VERSION = "WARC/1.1"
 LEAST_REVISIT = 100
 _READ = 1 << 16
+MOST_TASKS = 20_000
 _RECORDS = ("path string, record long, type string, uri string, date string, item_id long, payload_bytes long, payload_digest string, "
             "refers_to long, digest_ok boolean, error string")
 
@@ -222,8 +223,8 @@ def read_records(stream, payloads: bool = False) -> Iterator[dict]:
 def read_archives(files: DataFrame, payloads: bool = False) -> DataFrame:
     """One row per record of the archives listed in ``files`` (path): what _RECORDS names, and payload if asked for.
 
-    Files are dealt to tasks by path and read as streams in pieces of 64 KB, so memory does
-    not grow with archives or records. A damaged or missing file gives a row with ``error``.
+    Files are dealt by path to as many tasks as there are files (MOST_TASKS at most, each with several then) and read as
+    streams in pieces of 64 KB, so memory does not grow with archives or records. A damaged or missing file gives a row with ``error``.
     """
     schema = _RECORDS + (", payload binary" if payloads else "")
     arrow = to_arrow_schema(StructType.fromDDL(schema))
@@ -246,7 +247,9 @@ def read_archives(files: DataFrame, payloads: bool = False) -> DataFrame:
                 yield pa.RecordBatch.from_pylist(rows, arrow)
 
     listed = files.select("path").where("path is not null")
-    return listed.repartition("path").mapInArrow(run, schema)
+    # A stated number of tasks is kept; one that Spark chose would follow the size of the list, not of the archives.
+    tasks = max(1, min(listed.count(), MOST_TASKS))
+    return listed.repartition(tasks, "path").mapInArrow(run, schema)
 
 
 def archive_folder(spark: SparkSession) -> str:
