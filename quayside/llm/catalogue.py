@@ -76,18 +76,19 @@ def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 LIST_EVENTS_SQL = r"""
     SELECT 'list' || (page_id % 3) AS list, action, day,
-           CASE page_id % 4 WHEN 0 THEN host WHEN 1 THEN regexp_replace(host, '^[^.]*[.]', '') ELSE host || '/' || regexp_extract(url, '://[^/]*/([^/?#]*/)', 1) END AS entry
+           CASE page_id % 4 WHEN 0 THEN host WHEN 1 THEN regexp_replace(host, '^[^.]*[.]', '') WHEN 2 THEN host || '/' || regexp_extract(url, '://[^/]*/([^/?#]*/)', 1) ELSE host || '/' END AS entry
     FROM (SELECT page_id, url, regexp_extract(url, '://([^/:?#]*)', 1) AS host, DATE '2020-01-01' + CAST(page_id * 13 % 1461 AS INT) AS day,
                  CASE WHEN page_id % 5 < 2 THEN 'remove' ELSE 'add' END AS action
-          FROM pages WHERE page_id % 4 < 3) h"""
+          FROM pages) h"""
 
 
 def list_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Dated list entries derived from the pages: hosts, their parents and leading paths, added and removed by turns."""
-    pages = table(spark, sf_dir, "pages").where("page_id % 4 < 3")
+    """Dated list entries derived from the pages: hosts, their parents, leading paths and roots, added and removed by turns."""
+    pages = table(spark, sf_dir, "pages")
     host = F.regexp_extract("url", r"://([^/:?#]*)", 1)
-    entry = F.when(F.col("page_id") % 4 == 0, host).when(F.col("page_id") % 4 == 1, F.regexp_replace(host, r"^[^.]*[.]", "")).otherwise(
-        F.concat(host, F.lit("/"), F.regexp_extract("url", r"://[^/]*/([^/?#]*/)", 1)))
+    kind = F.col("page_id") % 4
+    entry = F.when(kind == 0, host).when(kind == 1, F.regexp_replace(host, r"^[^.]*[.]", "")).when(
+        kind == 2, F.concat(host, F.lit("/"), F.regexp_extract("url", r"://[^/]*/([^/?#]*/)", 1))).otherwise(F.concat(host, F.lit("/")))
     return pages.select(
         F.concat(F.lit("list"), F.col("page_id") % 3).alias("list"), entry.alias("entry"),
         F.when(F.col("page_id") % 5 < 2, "remove").otherwise("add").alias("action"),
@@ -96,14 +97,14 @@ def list_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(rf"""
 WITH events AS ({LIST_EVENTS_SQL}),
-daily AS (SELECT list, lower(entry) AS entry, day, bool_or(action = 'remove') AS gone FROM events WHERE entry <> '' GROUP BY ALL),
+daily AS (SELECT list, lower(regexp_extract(entry, '^[^/]*')) || regexp_replace(entry, '^[^/]*', '') AS entry, day, bool_or(action = 'remove') AS gone FROM events WHERE entry <> '' GROUP BY ALL),
 dated AS (SELECT *, COALESCE(lead(day) OVER (PARTITION BY list, entry ORDER BY day), DATE '9999-12-31') AS stop FROM daily),
 captures AS (SELECT page_id, url, DATE '2020-01-01' + CAST(page_id * 37 % 1461 AS INT) AS fetched_at,
                     lower(regexp_replace(regexp_replace(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.\-]*://([^/?#]*)', 1), '^.*@', ''), ':[0-9]*$', '')) AS host,
                     regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.\-]*://[^/?#]*(/[^?#]*/|/)', 1) AS folder FROM pages),
 keys AS (SELECT c.*, unnest(list_distinct(list_concat(
-             list_transform(range(1, len(string_split(host, '.')) + 1), lambda i: array_to_string(string_split(host, '.')[i:], '.')),
-             list_transform(range(2, len(string_split(folder, '/'))), lambda i: host || array_to_string(string_split(folder, '/')[1:i], '/') || '/')))) AS entry FROM captures c),
+             list_transform(range(1, len(string_split(host, '.')) + 1), lambda i: array_to_string(string_split(host, '.')[i:], '.')) || [host || '/'],
+             list_transform(range(2, len(string_split(folder, '/'))), lambda i: host || array_to_string(string_split(folder, '/')[1:i], '/') || '/')))) AS entry FROM captures c WHERE host <> ''),
 hits AS (SELECT DISTINCT k.page_id, d.list FROM keys k JOIN dated d ON k.entry = d.entry AND k.fetched_at >= d.day AND k.fetched_at < d.stop WHERE NOT d.gone)
 SELECT c.page_id, c.url, CAST(c.fetched_at AS VARCHAR) AS fetched_at, COALESCE(string_agg(h.list, ',' ORDER BY h.list), '') AS lists, count(h.list) > 0 AS blocked
 FROM captures c LEFT JOIN hits h ON c.page_id = h.page_id GROUP BY c.page_id, c.url, c.fetched_at""")

@@ -20,10 +20,10 @@ def host_of(url: str | Column) -> Column:
 
 
 def entry_keys(url: str) -> Column:
-    """All entries that would cover a URL: its host, every parent domain, and its host with every leading path.
+    """All entries that would cover a URL: its host, every parent domain, and its host with every leading path, the root among them.
 
-    A URL without host has none. Entries are written the same way: ``example.org``, ``a.example.org``,
-    ``a.example.org/en/``; a leading path ends in a slash.
+    A URL without host has none. Entries are written the same way: ``example.org``, ``a.example.org``, ``a.example.org/``,
+    ``a.example.org/en/``; a leading path ends in a slash. Hosts are lower-case, paths as they are.
     """
     host = host_of(url)
     labels = F.split(host, r"\.")
@@ -33,7 +33,8 @@ def entry_keys(url: str) -> Column:
     folders = F.when(path == "", F.array().cast("array<string>")).otherwise(F.transform(
         F.sequence(F.lit(1), F.size(parts) - 1),
         lambda i: F.concat(host, F.lit("/"), F.array_join(F.slice(parts, 1, i), "/"), F.lit("/"))))
-    return F.when(host == "", F.array().cast("array<string>")).otherwise(F.array_distinct(F.concat(domains, folders)))
+    root = F.array(F.concat(host, F.lit("/")))
+    return F.when(host == "", F.array().cast("array<string>")).otherwise(F.array_distinct(F.concat(domains, root, folders)))
 
 
 def intervals(events: DataFrame) -> DataFrame:
@@ -41,9 +42,12 @@ def intervals(events: DataFrame) -> DataFrame:
 
     Events of one date count as one, removal winning; so an entry has at most one event a day, however
     often it is repeated, and its history is short. An addition lasts until the entry's next
-    event. Events without list, entry, date or known action are ignored; entries are lower-cased.
+    event. Events without list, entry, date or known action are ignored. Of an entry the host is lower-cased,
+    the path is not.
     """
-    known = events.select("list", F.lower("entry").alias("entry"), "at", (F.col("action") == "remove").alias("gone")).where(
+    host = F.substring_index("entry", "/", 1)
+    entry = F.concat(F.lower(host), F.substring("entry", F.length(host) + 1, F.length("entry")))
+    known = events.select("list", entry.alias("entry"), "at", (F.col("action") == "remove").alias("gone")).where(
         F.col("list").isNotNull() & (F.col("entry") != "") & F.col("at").isNotNull() & events["action"].isin("add", "remove"))
     daily = known.groupBy("list", "entry", "at").agg(F.max("gone").alias("gone"))
     following = F.lead("at").over(W.partitionBy("list", "entry").orderBy("at"))
@@ -75,7 +79,9 @@ def listed_captures(captures: DataFrame, events: DataFrame) -> DataFrame:
     else:
         periods = periods.withColumn("month", F.lit(0)).limit(0)
     periods = pin(periods)
-    keyed = asked.select("url", "fetched_at", F.explode(entry_keys("url")).alias("entry"), _month("fetched_at").alias("month"))
+    # One small file of captures becomes many rows of long keys: dealt out first, to a number of tasks that is kept.
+    tasks = int(captures.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    keyed = asked.repartition(tasks, "url", "fetched_at").select("url", "fetched_at", F.explode(entry_keys("url")).alias("entry"), _month("fetched_at").alias("month"))
     found = keyed.join(periods, ["entry", "month"]).where("fetched_at >= start and fetched_at < stop")
     found = found.groupBy("url", "fetched_at", "list").agg(F.min("entry").alias("entry"))
     lists = pin(found.groupBy("url", "fetched_at").agg(F.array_join(F.sort_array(F.collect_list("list")), ",").alias("lists")))

@@ -6,13 +6,14 @@ import io
 import math
 import random
 from datetime import date
+from urllib.parse import urlsplit
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from quayside.llm import decontaminate, embeddings, mixing, url_lists, warc
-from quayside.llm.catalogue import ORACLES, QUERIES
+from quayside.llm.catalogue import ORACLES, QUERIES, list_events
 from tests.llm import fixtures as x
 from tools.compare import database, rows_of
 
@@ -179,6 +180,57 @@ def test_lists_as_of_the_fetch(spark):
     assert url_lists.listed_captures(frame, events.limit(0)).where("blocked").count() == 0
 
 
+def plain_lists(captures, events):
+    """Lists of every capture, entry by entry, with another parser of URLs."""
+    history = {}
+    for name, entry, action, at in sorted(events, key=lambda e: (e[3], e[2] == "remove")):
+        host, slash, rest = entry.partition("/")
+        if entry:
+            history.setdefault((name, host.lower() + slash + rest), {})[at] = action == "add"
+    out = {}
+    for key, url, at in captures:
+        parts = urlsplit(url)
+        host, path = (parts.hostname or "").rstrip("."), parts.path or "/"
+        found = set()
+        for (name, entry), days in history.items():
+            domain, slash, rest = entry.partition("/")
+            covers = host == domain and path.startswith("/" + rest) if slash else host == domain or host.endswith("." + domain)
+            before = [d for d in days if d <= at]
+            if host and covers and before and days[max(before)]:
+                found.add(name)
+        out[key] = ",".join(sorted(found))
+    return out
+
+
+def test_query_against_plain_lists(spark):
+    pages = spark.read.parquet(f"{SF}/pages.parquet").select("page_id", "url").collect()
+    day = date(2020, 1, 1).toordinal()
+    events = [(r.list, r.entry, r.action, r["at"]) for r in list_events(spark, SF).collect()]
+    assert len(events) == len(pages) and sum(e[1].count("/") == 1 and e[1].endswith("/") for e in events) > len(pages) // 8
+    want = plain_lists([(r.page_id, r.url, date.fromordinal(day + r.page_id * 37 % 1461)) for r in pages], events)
+    got = {r.page_id: r.lists for r in QUERIES["op9_url_lists"](spark, SF).collect()}
+    assert got == want and 10 < sum(map(bool, want.values())) < len(want)
+
+
+def test_paths_keep_their_case_and_roots_are_entries(spark):
+    at, long = date(2020, 1, 1), "d/" * 400
+    events = spark.createDataFrame([("l1", "Example.org/News/", "add", at), ("l2", "ROOT.org/", "add", at), ("l3", "deep.org/" + long, "add", at)],
+                                   "list string, entry string, action string, at date")
+    urls = [("http://example.org/News/x", "l1"), ("http://example.org/news/x", ""), ("http://root.org", "l2"), ("http://root.org/", "l2"), ("http://Root.org/a/b?c", "l2"),
+            ("http://www.root.org/", ""), ("http://deep.org/" + long + "x", "l3"), ("http://deep.org/" + long[:-2], "")]
+    rows = url_lists.listed_captures(spark.createDataFrame([(u, date(2020, 2, 2)) for u, _ in urls], "url string, fetched_at date"), events).collect()
+    assert {r.url: r.lists for r in rows} == dict(urls)
+
+
+def test_archives_are_read_by_many_tasks(spark, tmp_path):
+    pages = spark.range(160).select(F.col("id").alias("page_id"), F.concat(F.lit("http://a/"), "id").alias("url"), F.repeat(F.lit("y"), 50).alias("html"))
+    files = warc.write_archives(warc.with_revisits(pages).repartition(16), f"file://{tmp_path}/w")
+    assert files.count() == 16
+    read = warc.read_archives(files).select("path", F.spark_partition_id().alias("task"))
+    assert read.count() == 160 and read.select("task").distinct().count() >= 8
+    assert read.groupBy("path").agg(F.countDistinct("task").alias("n")).where("n > 1").isEmpty()
+
+
 # --- decontamination ------------------------------------------------------------------------------------
 
 def plain_local(a, b):
@@ -331,3 +383,61 @@ def test_audit_sees_missing_links(spark):
     lists = embeddings.best_lists(poor, 4)
     better = embeddings.refined(lists, nodes, 0.93, 4)
     assert embeddings.recall(nodes, better, 0.93, 1000) >= embeddings.recall(nodes, lists, 0.93, 1000)
+
+
+def all_pairs(rows, threshold=0.93):
+    """(vec_id, n_links, component_id, kept) by comparing all pairs of a label."""
+    units = np.array([r[1] for r in rows], float)
+    units /= np.linalg.norm(units, axis=1, keepdims=True)
+    labels = np.array([r[2] for r in rows])
+    near = (units @ units.T >= threshold) & (labels[:, None] == labels)
+    np.fill_diagonal(near, False)
+    ids = [r[0] for r in rows]
+    lowest = x.smallest_reachable(ids, [(ids[i], ids[j]) for i, j in zip(*np.nonzero(near))])
+    return sorted((i, int(n), lowest[i], lowest[i] == i) for i, n in zip(ids, near.sum(axis=1)))
+
+
+def turned(rng, centre, cosine):
+    """A unit vector at this cosine from a unit vector."""
+    side = rng.standard_normal(len(centre))
+    side -= centre * (side @ centre)
+    return cosine * centre + np.sqrt(1 - cosine**2) * side / np.linalg.norm(side)
+
+
+def answers(df):
+    return sorted((r.vec_id, r.n_links, r.component_id, r.kept) for r in df.collect())
+
+
+def test_groups_that_fill_their_lists_are_linked_across(spark):
+    """A chain of tight groups, each larger than a list, neighbours at 0.945: one component, all links counted."""
+    rng = np.random.default_rng(2)
+    centre, rows = turned(rng, np.eye(64)[0], 0.0), []
+    for _ in range(12):
+        rows += [(len(rows) + k, turned(rng, centre, 0.9997).tolist(), 1) for k in range(30)]
+        centre = turned(rng, centre, 0.945)
+    rows += [(1000 + k, rng.standard_normal(64).tolist(), int(k % 2)) for k in range(600)]
+    want = all_pairs(rows)
+    assert len({c for i, _, c, _ in want if i < 360}) == 1
+    assert answers(embeddings.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int").repartition(6))) == want
+
+
+def test_a_large_group_hides_nothing_beside_it(spark):
+    """A group of many leaves, and vectors that only some of its members are near to."""
+    rng = np.random.default_rng(3)
+    centre = turned(rng, np.eye(32)[0], 0.0)
+    rows = [(k, turned(rng, centre, 0.995).tolist(), 1) for k in range(900)]
+    rows += [(2000 + k, turned(rng, np.array(rows[17 * k][1]), 0.94).tolist(), 1) for k in range(40)]
+    rows += [(3000 + k, rng.standard_normal(32).tolist(), 1) for k in range(300)]
+    assert answers(embeddings.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int").repartition(5))) == all_pairs(rows)
+
+
+def test_audit_goes_on_until_it_meets_links(spark):
+    rng = np.random.default_rng(4)
+    rows = [(k, rng.standard_normal(48).tolist(), 1) for k in range(3000)]
+    rows += [(5000 + k, turned(rng, np.array(rows[k][1]) / np.linalg.norm(rows[k][1]), 0.96).tolist(), 1) for k in range(40)]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    nodes = embeddings.classes(frame)
+    nothing = spark.createDataFrame([], "a long, b long, cos double")
+    assert embeddings.recall(nodes, nothing, 0.93, 16) == 0.0
+    assert embeddings.recall(embeddings.classes(frame.where("vec_id < 3000")), nothing, 0.93, 16) is None
+    assert answers(embeddings.near_duplicates(frame)) == all_pairs(rows)

@@ -1,7 +1,10 @@
 """Toxicity, secrets, token counts and licenses on awkward rows and against plain versions."""
 
 import hashlib
+import math
+import random
 import re
+import zlib
 
 import pytest
 from pyspark.sql import functions as F
@@ -67,6 +70,40 @@ def test_held_out_accuracy(spark):
     assert rows.count() == 1000 and rows.where("score < 0 or score > 1 or score is null").count() == 0
 
 
+def plain_toxicity(text, weights, bias, threshold=0.3):
+    """Noisy-or over the sentences of a text by the product of their complements, and the sentences at fault."""
+    clean, spans, at = 1.0, [], 0
+    for sentence in re.split(r"([.!?\n\r]+)", text or ""):
+        own = set()
+        for word in re.findall(r"\w+", sentence.lower()):
+            for part in [word] + [word[:n] + "^" for n in (5, 7) if len(word) > n]:
+                own.add(zlib.crc32(part.encode()) % (1 << 20))
+        known = [weights[b] for b in own if b in weights]
+        if known:
+            p = 1 / (1 + math.exp(-bias - sum(known)))
+            clean *= 1 - p
+            if p >= threshold:
+                spans.append((at, at + len(sentence), p))
+        at += len(sentence)
+    return 1 - clean, spans
+
+
+def test_scores_and_spans_against_a_plain_noisy_or(spark):
+    """Whole documents and a handed-in table of weights."""
+    rng = random.Random(6)
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    words = sorted({w for t in list(texts.values())[:60] for w in re.findall(r"\w+", (t or "").lower())})
+    weights = {zlib.crc32(w.encode()) % (1 << 20): rng.uniform(-2, 4) for w in rng.sample(words, 80)}
+    rows = toxicity.score(docs, {"bias": -4.0, "weights": weights}).collect()
+    assert len(rows) == len(texts) and sum(r.toxic for r in rows) > 20 and any(not r.toxic for r in rows)
+    for r in rows:
+        want, spans = plain_toxicity(texts[r.doc_id], weights, -4.0)
+        assert math.isclose(r.toxicity, want, abs_tol=1e-9)
+        assert [(s["start"], s["end"]) for s in r.offending] == [s[:2] for s in spans]
+        assert all(math.isclose(s["score"], w[2], rel_tol=1e-9) for s, w in zip(r.offending, spans))
+
+
 # --- secrets --------------------------------------------------------------------------------------
 
 def plain_base(text):
