@@ -18,7 +18,7 @@ BITS = 17
 ORDERS = (1, 2, 3, 4)
 # A run of letters; a longer one is taken in pieces, which bounds what a word costs and what the cache holds.
 _WORD = re.compile(r"[^\W\d_]{1,24}")
-_CACHE = 60_000
+_CACHE = 200_000
 # What one word may say at most against a language, and against one that does not use its script.
 WORST, OTHER_SCRIPT = 6.0, 12.0
 PENALTY = 14.0
