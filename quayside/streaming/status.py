@@ -10,15 +10,20 @@ only its own folder, and old folders go when a later one holds their rows.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
 from quayside.config_tables import RECENT_EVENTS
 from quayside.operators.ranking import recent_per_job
 from quayside.session import folders, remove
+from quayside.streaming.dedup import dedup_writer, deduplicated_rows
+from quayside.streaming.folders import numbers as _numbers, part_of as _part
 
 PARTS = 64
+__all__ = [
+    "current_rows", "dedup_writer", "deduplicated_rows", "event_time", "event_window", "recent_log_writer", "recent_rows", "upsert_writer",
+]
 COMPACT_EVERY = 16
 
 
@@ -36,41 +41,6 @@ def event_window(events: DataFrame, width: str = "1 day", column: str = "ts", de
     return event_time(events, column, delay).withColumn("window", F.window(column, width))
 
 
-def _part(key: str, parts: int) -> Column:
-    return F.pmod(F.xxhash64(key), F.lit(parts)).cast("int")
-
-
-def _numbers(spark: SparkSession, path: str, prefix: str) -> list[int]:
-    """Numbers of the complete folders ``prefix``N below a path, ascending."""
-    return sorted(int(n.removeprefix(prefix)) for n in folders(spark, path) if n.startswith(prefix) and "_SUCCESS" in folders(spark, f"{path}/{n}"))
-
-
-def dedup_writer(messages: DataFrame, path: str, checkpoint: str, key: str = "message_id", parts: int = PARTS) -> DataStreamWriter:
-    """First rows of every key, however late the repeats: keys seen before are looked up in what is written.
-
-    The rows are partitioned by a hash of the key, and a batch reads only the keys of its own parts.
-    Rows without a key are all kept.
-    """
-    def write(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        new = batch.where(F.col(key).isNotNull()).dropDuplicates([key]).withColumn("part", _part(key, parts)).persist()
-        earlier = [f"{path}/batch_id={n}" for n in _numbers(spark, path, "batch_id=") if n < batch_id]
-        fresh = new
-        if earlier:
-            touched = [r.part for r in new.select("part").distinct().collect()]
-            seen = spark.read.option("basePath", path).parquet(*earlier).where(F.col("part").isin(touched)).select(key)
-            fresh = new.join(seen, key, "left_anti").select(*new.columns)
-        fresh.unionByName(batch.where(F.col(key).isNull()).withColumn("part", F.lit(0))).write.mode("overwrite").partitionBy("part").parquet(
-            f"{path}/batch_id={batch_id}")
-        new.unpersist()
-
-    return messages.writeStream.option("checkpointLocation", checkpoint).foreachBatch(write)
-
-
-def deduplicated_rows(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.option("basePath", path).parquet(path).drop("part", "batch_id")
-
-
 def upsert_writer(aggregated: DataFrame, path: str, checkpoint: str, key: str | list[str] | None = None, compact_every: int = COMPACT_EVERY) -> DataStreamWriter:
     """Changed rows of an aggregate, one folder per micro-batch. A replayed batch overwrites its own.
 
