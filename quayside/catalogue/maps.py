@@ -59,6 +59,26 @@ def backfill_long(spark, sf):
     return filled.select("record_id", F.explode_outer("dynamic_data").alias("key", "value"))
 
 
+@query(f"""
+    SELECT email_id, chunk, string_agg(key, ',' ORDER BY key_pos) AS keys FROM (
+        SELECT user_id AS email_id, key, row_number() OVER w AS key_pos, CAST((row_number() OVER w - 1) // 2 AS BIGINT) AS chunk FROM ({_KEYS_SQL})
+        WINDOW w AS (PARTITION BY user_id ORDER BY {_RANK_SQL}, key))
+    GROUP BY email_id, chunk""")
+def superset_chunks(spark, sf):
+    chunks = superset.superset_chunks(event_records(spark, sf), ["email_id"], priority=EVENT_PRIORITY, per_chunk=2)
+    return chunks.select("email_id", "chunk", F.array_join("keys", ",").alias("keys"))
+
+
+@query(_BACKFILL_SQL)
+def backfill_chunks(spark, sf):
+    """The same cells, two keys of a group a row."""
+    records = event_records(spark, sf)
+    chunks = superset.superset_chunks(records, ["email_id"], priority=EVENT_PRIORITY, per_chunk=2)
+    filled = superset.backfill_chunks(records, chunks, ["email_id"])
+    cell = F.explode(F.arrays_zip("keys", "values")).alias("c")
+    return filled.select("record_id", cell).select("record_id", F.col("c")["keys"].alias("key"), F.col("c")["values"].alias("value"))
+
+
 @query(_BACKFILL_SQL)
 def normalise_flow(spark, sf):
     """The whole flow; attachments come from the events themselves."""

@@ -11,6 +11,8 @@ from quayside.functions.text import ColumnLike, col
 from quayside.operators.joins import attach
 from quayside.operators.numbering import number_rows
 
+KEYS_PER_CHUNK = 1_000
+
 
 def distinct_keys(records: DataFrame, by: list[str], data: str = "dynamic_data") -> DataFrame:
     """(group, key), each once. Map tasks already drop repeats, so a hot group ships only its keys.
@@ -57,6 +59,53 @@ def preview_keys(records: DataFrame, by: list[str], order: ColumnLike, data: str
     return first.groupBy(*by).agg(F.transform(in_order, lambda s: s["key"]).alias("columns"))
 
 
+def superset_chunks(
+    records: DataFrame, by: list[str], data: str = "dynamic_data", priority: list[str] = PRIORITY_KEYS, per_chunk: int = KEYS_PER_CHUNK,
+) -> DataFrame:
+    """(group, chunk, keys): a group's ordered keys, at most ``per_chunk`` a row, chunks counted from 0.
+
+    For groups with more keys than one value should hold. A group whose maps are all empty has no row.
+    """
+    rows = superset_rows(records, by, data, priority).withColumn("chunk", _chunk("key_pos", per_chunk))
+    in_order = F.array_sort(F.collect_list(F.struct("key_pos", "key")))
+    return rows.groupBy(*by, "chunk").agg(F.transform(in_order, lambda s: s["key"]).alias("keys"))
+
+
+def _chunk(position: str, per_chunk: int) -> Column:
+    return F.floor((F.col(position) - 1) / F.lit(per_chunk))
+
+
+def record_cells(
+    records: DataFrame, chunks: DataFrame, by: list[str], record: str = "record_id", data: str = "dynamic_data",
+) -> DataFrame:
+    """(group, record, chunk, cells): a record's own values as (0-based place in the chunk, value), in order.
+
+    Only chunks that a record has a key of give a row, so the result is as large as the maps are,
+    whatever the number of keys of their group.
+    """
+    places = chunks.select(*by, "chunk", F.posexplode("keys").alias("place", "key"))
+    entries = records.select(*by, record, F.explode(data).alias("key", "value"))
+    met = attach(entries, places, [*by, "key"], how="inner", nulls=True)
+    return met.groupBy(*by, record, "chunk").agg(F.array_sort(F.collect_list(F.struct("place", "value"))).alias("cells"))
+
+
+def backfill_chunks(
+    records: DataFrame, chunks: DataFrame, by: list[str], record: str = "record_id", data: str = "dynamic_data",
+) -> DataFrame:
+    """(group, record, chunk, keys, values): every record with all keys of its group, a chunk of them a row.
+
+    A missing key's value is "", a stored null stays null, as in ``backfill_records``; but no row holds more than a
+    chunk, so neither the group's keys nor a record's need fit one value. Records of groups without keys give no row.
+    """
+    cells = record_cells(records, chunks, by, record, data)
+    every = attach(records.select(*by, record), chunks, by, how="inner", nulls=True)
+    own = cells.select(F.struct(*by, record, "chunk").alias("_key"), "cells")
+    met = every.withColumn("_key", F.struct(*by, record, "chunk")).join(own, "_key", "left").drop("_key")
+    known = F.map_from_entries(F.coalesce("cells", F.array().cast(cells.schema["cells"].dataType)))
+    values = F.transform("keys", lambda _, i: F.when(F.map_contains_key(known, i), known[i]).otherwise(F.lit("")))
+    return met.select(*by, record, "chunk", "keys", values.alias("values"))
+
+
 def backfill_records(records: DataFrame, supersets: DataFrame, by: list[str], data: str = "dynamic_data") -> DataFrame:
     """Give every record of a group the same keys. The superset side has one row per group."""
     return (
