@@ -10,13 +10,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
-from pyspark.sql.types import StructType
+from pyspark.sql.types import DataType, DoubleType, LongType, StructField, StructType
 
 from quayside.llm.common import bounded_batches
 from quayside.session import pin
 
 SCORE = 0.45
 MATCH, MISMATCH, GAP = 1.0, -0.5, -0.6
+# Words of a text that are searched at a time.
+SEGMENT = 20_000
 _LETTERS = str.maketrans({c: " " for c in "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"})
 
 
@@ -83,96 +85,133 @@ def local_score(a: np.ndarray, b: np.ndarray) -> tuple[float, int, int]:
     return best, *span
 
 
-def passages(docs: DataFrame, items: list[tuple[int, list[str]]], score: float = SCORE) -> DataFrame:
-    """(doc_id, item, start, words): stretches of texts that an alignment of ``score`` or more with an item can lie in.
+def windows(hits: list[int], least: int, span: int, length: int) -> Iterator[tuple[int, int]]:
+    """Overlapping pieces of a text of ``length`` words, of at most three spans: every alignment that counts lies in one whole.
 
-    Map-only over whole texts. Where as many of an item's n-grams as ``seeding`` asks lie within its span,
-    the text is widened by that span on both sides; overlapping stretches are one. A stretch
-    stays if its longest common subsequence with the item has as many words as the score needs.
+    ``hits`` are the places of an item's n-grams, ascending. Where ``least`` of them lie within a span, the text is widened by a span
+    on both sides; what overlaps is one stretch, however long, and cut again.
     """
+    stretches: list[list[int]] = []
+    for first, last in zip(hits, hits[least - 1:]):
+        if last - first < span:
+            lo, hi = max(0, first - span), min(length, last + span + 1)
+            if stretches and lo <= stretches[-1][1]:
+                stretches[-1][1] = hi
+            else:
+                stretches.append([lo, hi])
+    for lo, hi in stretches:
+        for at in range(lo, max(lo + 1, hi - span), 2 * span):
+            yield at, min(at + 3 * span, hi)
+
+
+class _Aligner:
+    """Some test items, ready to be found in texts."""
+
+    def __init__(self, items: list[tuple], score: float):
+        self.items, self.score = items, score
+        self.lengths = [len(w) for _, w in items]
+        self.seeds = [seeding(n, score) for n in self.lengths]
+        self.reach = max(span for _, _, span in self.seeds)
+        self.numbers = [{w: n for n, w in enumerate(dict.fromkeys(words))} for _, words in items]
+        self.codes = [np.array([own[w] for w in words]) for own, (_, words) in zip(self.numbers, items)]
+        self.places: list[dict[str, int]] = []
+        self.wanted: dict[int, dict] = {}
+        for i, (_, words) in enumerate(items):
+            self.places.append({})
+            for p, word in enumerate(words):
+                self.places[i][word] = self.places[i].get(word, 0) | 1 << p
+            owners = self.wanted.setdefault(self.seeds[i][0], {})
+            for g in dict.fromkeys(zip(words, words[1:]) if self.seeds[i][0] == 2 else words):
+                owners.setdefault(g, []).append(i)
+
+    def find(self, words: list[str]) -> dict[int, tuple[float, int, int]]:
+        """Best (score, start, end) of every item that the text holds.
+
+        Long texts are read in segments that overlap by what an alignment can reach, so what is
+        held at a time does not grow with the text.
+        """
+        best: dict[int, tuple[float, int, int]] = {}
+        overlap = 3 * self.reach
+        for start in range(0, max(1, len(words) - overlap), SEGMENT):
+            for item, (value, lo, hi) in self._in_segment(words[start:start + SEGMENT + overlap]):
+                if item not in best or value > best[item][0] + 1e-12:
+                    best[item] = value, start + lo, start + hi
+        return best
+
+    def _in_segment(self, words: list[str]) -> Iterator[tuple[int, tuple[float, int, int]]]:
+        found: dict[int, list[int]] = {}
+        for size, owners in self.wanted.items():
+            for at, g in enumerate(zip(words, words[1:]) if size == 2 else words):
+                if g in owners:
+                    for item in owners[g]:
+                        found.setdefault(item, []).append(at)
+        for item, hits in found.items():
+            _, least, span = self.seeds[item]
+            for lo, hi in windows(hits, least, span, len(words)):
+                part = words[lo:hi]
+                if MATCH * common_words(self.places[item], self.lengths[item], part) < self.score * self.lengths[item] - 1e-9:
+                    continue
+                own = self.numbers[item]
+                value, first, last = local_score(self.codes[item], np.array([own.get(w, -1) for w in part]))
+                value = min(1.0, value / (MATCH * self.lengths[item]))
+                if value >= self.score:
+                    yield item, (value, lo + first, lo + last)
+
+
+def _aligned(docs: DataFrame, items: list[tuple], item_type: DataType, score: float) -> DataFrame:
+    """Rows of ``contaminated`` for some items, map-only: texts and stretches of them stay in their task."""
     bounded_batches(docs.sparkSession)
-    lengths = [len(w) for _, w in items]
-    seeds = [seeding(n, score) for n in lengths]
-    places: list[dict[str, int]] = []
-    wanted: dict[int, dict] = {}
-    for i, (_, words) in enumerate(items):
-        places.append({})
-        for p, word in enumerate(words):
-            places[i][word] = places[i].get(word, 0) | 1 << p
-        owners = wanted.setdefault(seeds[i][0], {})
-        for g in dict.fromkeys(zip(words, words[1:]) if seeds[i][0] == 2 else words):
-            owners.setdefault(g, []).append(i)
-
-    schema = "doc_id long, item int, start int, words string"
-    arrow = to_arrow_schema(StructType.fromDDL(schema))
+    schema = StructType([
+        StructField("doc_id", docs.schema["doc_id"].dataType), StructField("item_id", item_type), StructField("score", DoubleType()),
+        StructField("start_word", LongType()), StructField("end_word", LongType())])
+    arrow = to_arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        aligner = _Aligner(items, score)
         for batch in batches:
             rows = []
             for doc_id, text in zip(*(column.to_pylist() for column in batch.columns)):
-                words = words_of(text)
-                found: dict[int, list[int]] = {}
-                for size, owners in wanted.items():
-                    for at, g in enumerate(zip(words, words[1:]) if size == 2 else words):
-                        if g in owners:
-                            for item in owners[g]:
-                                found.setdefault(item, []).append(at)
-                for item, hits in found.items():
-                    _, least, span = seeds[item]
-                    stretches: list[list[int]] = []
-                    for first, last in zip(hits, hits[least - 1:]):
-                        if last - first < span:
-                            lo, hi = max(0, first - span), last + span + 1
-                            if stretches and lo <= stretches[-1][1]:
-                                stretches[-1][1] = hi
-                            else:
-                                stretches.append([lo, hi])
-                    for lo, hi in stretches:
-                        part = words[lo:hi]
-                        if MATCH * common_words(places[item], lengths[item], part) >= score * lengths[item] - 1e-9:
-                            rows.append((doc_id, item, lo, " ".join(part)))
-            yield pa.RecordBatch.from_pylist([dict(zip(arrow.names, r)) for r in rows], arrow)
+                for item, found in aligner.find(words_of(text)).items():
+                    rows.append(dict(zip(arrow.names, (doc_id, items[item][0], *found))))
+            yield pa.RecordBatch.from_pylist(rows, arrow)
 
     return docs.select("doc_id", "text").where("doc_id is not null and text is not null").mapInArrow(run, schema)
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, score: float = SCORE) -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, score: float = SCORE, item_bytes: int = 4 << 20) -> DataFrame:
     """(doc_id, item_id, score, start_word, end_word): passages of ``docs`` that hold a test item, whole or edited.
 
-    ``benchmark`` (item_id, text) is the set of test items; it is collected, so its size is bounded by the benchmark,
-    not by the corpus. Every stretch that could reach ``score`` is aligned with its item word by
-    word, however many texts hold the same; the score is the best local alignment's, over the item's length, and counts from
-    ``score`` up. One row per document and item, the best passage. Null or empty items and texts, and null ids, match nothing;
-    equal items all match; repeated rows give one row; extra columns are ignored.
+    ``benchmark`` (item_id, text) is the set of test items. It goes to the tasks in rounds of ``item_bytes`` of text, so a
+    benchmark of any size is never whole in one place. Every stretch that could reach ``score`` is aligned with its item word by
+    word, in the task that read the text, however many texts hold the same; the score is the best local alignment's, over the item's length,
+    and counts from ``score`` up. One row per document and item, the best passage. Ids are of any type. Null or empty items
+    and texts, and null ids, match nothing; equal items all match; repeated rows give one row; extra columns are ignored.
     """
     spark = docs.sparkSession
-    items = [(r.item_id, words_of(r.text)) for r in benchmark.select("item_id", "text").where("item_id is not null and text is not null").collect()]
-    items = sorted((i, w) for i, w in items if w)
-    numbers = [{w: n for n, w in enumerate(dict.fromkeys(words))} for _, words in items]
-    ids = [i for i, _ in items]
-    lengths = [len(w) for _, w in items]
-    codes = [np.array([numbers[i][w] for w in words]) for i, (_, words) in enumerate(items)]
-    out = "doc_id long, item_id long, score double, start_word long, end_word long"
-    if not items:
-        return spark.createDataFrame([], out)
-    arrow = to_arrow_schema(StructType.fromDDL(out))
-
-    def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = []
-            for doc_id, item, start, words in zip(*(column.to_pylist() for column in batch.columns)):
-                b = np.array([numbers[item].get(w, -1) for w in words.split(" ")])
-                best, lo, hi = local_score(codes[item], b)
-                best /= MATCH * lengths[item]
-                if best >= score:
-                    rows.append((doc_id, ids[item], best, start + lo, start + hi))
-            yield pa.RecordBatch.from_pylist([dict(zip(arrow.names, r)) for r in rows], arrow)
-
-    # Stretches are dealt anew, so that a hot file's passages are aligned by many tasks.
-    scored = passages(docs, items, score).distinct().repartition("doc_id", "item", "start").mapInArrow(align, out)
-    best = F.max(F.struct("score", -F.col("start_word"), "end_word"))
+    item_type = benchmark.schema["item_id"].dataType
+    rounds: list[DataFrame] = []
+    held: list[tuple] = []
+    size = 0
+    listed = benchmark.select("item_id", "text").where("item_id is not null and text is not null").orderBy("item_id", "text")
+    for r in listed.toLocalIterator():
+        words = words_of(r.text)
+        if words:
+            if held and size + len(r.text) > item_bytes:
+                rounds.append(pin(_aligned(docs, held, item_type, score)))
+                held, size = [], 0
+            held.append((r.item_id, words))
+            size += len(r.text)
+    if held:
+        rounds.append(_aligned(docs, held, item_type, score))
+    if not rounds:
+        return spark.createDataFrame([], StructType([docs.schema["doc_id"], benchmark.schema["item_id"]])).selectExpr(
+            "doc_id", "item_id", "0.0D AS score", "0L AS start_word", "0L AS end_word")
+    scored = rounds[0]
+    for more in rounds[1:]:
+        scored = scored.unionByName(more)
+    best = F.max(F.struct("score", (-F.col("start_word")).alias("back"), "end_word"))
     return scored.groupBy("doc_id", "item_id").agg(best.alias("b")).select(
-        "doc_id", "item_id", F.col("b.score").alias("score"), (-F.col("b.col2")).alias("start_word"), F.col("b.end_word").alias("end_word"))
+        "doc_id", "item_id", F.col("b.score").alias("score"), (-F.col("b.back")).alias("start_word"), F.col("b.end_word").alias("end_word"))
 
 
 def clean_documents(docs: DataFrame, benchmark: DataFrame, **settings) -> DataFrame:

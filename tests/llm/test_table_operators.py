@@ -312,6 +312,37 @@ def test_spread_edits_against_alignment_of_whole_texts(spark):
     assert {(r.doc_id, r.item_id) for r in rows} == want and len(want) > 60
 
 
+def test_windows_hold_every_reach():
+    r = random.Random(8)
+    for _ in range(300):
+        length, span, least = r.randrange(1, 400), r.randrange(1, 30), r.randrange(1, 4)
+        hits = sorted(r.sample(range(length), min(length, r.randrange(1, 40))))
+        pieces = list(decontaminate.windows(hits, least, span, length))
+        assert all(0 <= lo < hi <= length and hi - lo <= 3 * span for lo, hi in pieces)
+        for a, b in zip(hits, hits[least - 1:]):
+            if b - a < span:
+                for start in range(max(0, b - span + 1), a + 1):
+                    assert any(lo <= start and min(start + span, length) <= hi for lo, hi in pieces)
+
+
+def test_long_text_of_common_words_and_text_ids(spark):
+    """Items of the very words that the text is made of: what leaves a task is results, and segments change nothing."""
+    r = random.Random(5)
+    words = [f"c{i}" for i in range(60)]
+    items = [(f"item {i}", " ".join(r.choice(words) for _ in range(30))) for i in range(6)]
+    long = [r.choice(words) for _ in range(45_000)]
+    for at, i in ((19_990, 0), (39_985, 3)):
+        long[at:at + 30] = items[i][1].split()
+    docs = spark.createDataFrame([("long", " ".join(long)), ("short", "one two"), (None, items[0][1])], "doc_id string, text string")
+    bench = spark.createDataFrame(items, "item_id string, text string")
+    rows = {(q.doc_id, q.item_id): q for q in decontaminate.contaminated(docs, bench).collect()}
+    assert {("long", "item 0"), ("long", "item 3")} <= rows.keys() and len({d for d, _ in rows}) == 1
+    assert (rows["long", "item 0"].score, rows["long", "item 0"].start_word, rows["long", "item 0"].end_word) == (1.0, 19_990, 20_020)
+    assert rows["long", "item 3"].start_word == 39_985
+    again = {(q.doc_id, q.item_id): q for q in decontaminate.contaminated(docs, bench, item_bytes=200).collect()}
+    assert again == rows
+
+
 def test_query_holds_every_exact_passage(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()
     bench = [(r.item_id, " ".join(decontaminate.words_of(r.text))) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
