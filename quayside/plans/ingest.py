@@ -8,6 +8,7 @@ from typing import NamedTuple
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quayside.operators.blooms import MOST_BUCKETS, with_maybe
 from quayside.operators.joins import without_removed
 from quayside.operators.merge import merge_emails
 from quayside.operators.select import from_sender, subject_contains
@@ -39,13 +40,25 @@ def superseded_paths(heads: DataFrame) -> DataFrame:
     return ids.join(repeated, "message_id").where(F.col("path") < F.col("_last")).select("path")
 
 
-def without_paths(messages: DataFrame, paths: DataFrame, hold: Hold = pin) -> DataFrame:
-    """Leave out messages by path. The paths are held first, so the planner knows their bytes: up to
-    spark.sql.autoBroadcastJoinThreshold they go to the messages, and bodies stay where they are."""
-    paths = hold(paths)
+def without_paths(messages: DataFrame, paths: DataFrame, hold: Hold = pin, buckets: int = MOST_BUCKETS) -> DataFrame:
+    """Leave out messages by path; bodies stay where they are, whatever the number of paths.
+
+    A Bloom filter of the paths, of a bounded size, goes to the messages. What it lets through is certainly kept. Of
+    the rest, the few that only look like a path are found from the paths alone; they get a filter of their own,
+    and what passes that is compared exactly. So the bodies that are shuffled are a hundredth, not the repeats.
+    """
+    paths = hold(paths.select("path"))
     if paths.isEmpty():
         return messages
-    return messages.join(paths, "path", "left_anti").select(*messages.columns)
+    marked = with_maybe(messages, paths, "path", "_maybe", hold, buckets)
+    kept = marked.where(~F.col("_maybe")).drop("_maybe")
+    looked = with_maybe(messages.select("path"), paths, "path", "_maybe", hold, buckets).where("_maybe").select("path")
+    spared = hold(looked.join(paths, "path", "left_anti").select("path"))
+    if spared.isEmpty():
+        return kept.select(*messages.columns)
+    suspects = marked.where("_maybe").drop("_maybe")
+    passed = with_maybe(suspects, spared, "path", "_spared", hold, buckets).where("_spared").drop("_spared")
+    return kept.select(*messages.columns).unionByName(passed.join(spared.distinct(), "path", "left_semi").select(*messages.columns))
 
 
 def ingest(

@@ -12,18 +12,17 @@ from __future__ import annotations
 import math
 from typing import NamedTuple
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
+from quayside.operators.blooms import BITS_PER_KEY, BUCKET_BITS, bitmaps, bucket, may_hold
 from quayside.session import folders, remove
 from quayside.streaming.folders import numbers, part_of
 
 PARTS = 64
 FAN = 8
-# A bucket is one bitmap of Spark's bitmap functions; with 16 bits a key and two bits set, 1.4 % of unknown keys look known.
-BUCKET_BITS = 32_768
-BITS_PER_KEY = 16
+# With 16 bits a key and two bits set, 1.4 % of unknown keys look known.
 _BITS = "part int, bucket int, bits binary"
 
 
@@ -53,39 +52,21 @@ def _keys(spark: SparkSession, path: str, run: Run, schema: str, key: str) -> Da
     return spark.read.schema(f"{schema}, part int").parquet(_keys_path(path, run)).where(F.col(key).isNotNull())
 
 
-def _bucket(key: str, buckets: Column) -> Column:
-    return F.pmod(F.xxhash64(F.lit("bucket"), F.col(key)), buckets).cast("int")
-
-
-def _places(key: str) -> list[Column]:
-    """The two bits of a key in its bucket's bitmap."""
-    return [F.pmod(F.xxhash64(F.lit(seed), F.col(key)), F.lit(BUCKET_BITS)) for seed in ("first", "second")]
-
-
-def _is_set(bits: str, place: Column) -> Column:
-    byte = F.conv(F.hex(F.substring(bits, (F.floor(place / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
-    return F.call_function("getbit", byte, F.pmod(place, F.lit(8)).cast("int")) == 1
-
-
 def write_digest(keys: DataFrame, path: str, level: int, number: int, key: str) -> None:
     """Digest of a run's (key, part) rows; map-side bitmaps are merged, keys do not move."""
     largest = keys.groupBy("part").count().agg(F.max("count")).first()[0] or 0
     buckets = max(1, math.ceil(largest * BITS_PER_KEY / BUCKET_BITS))
-    set_bits = keys.select("part", _bucket(key, F.lit(buckets)).alias("bucket"), F.explode(F.array(*_places(key))).alias("place"))
-    bitmaps = set_bits.groupBy("part", "bucket").agg(F.bitmap_construct_agg("place").alias("bits"))
-    bitmaps.write.mode("overwrite").parquet(f"{path}/_digests/level={level}/run={number}/buckets={buckets}")
+    bitmaps(keys, key, buckets, ["part"]).write.mode("overwrite").parquet(f"{path}/_digests/level={level}/run={number}/buckets={buckets}")
 
 
 def suspects(new: DataFrame, path: str, known: list[Run], key: str) -> DataFrame:
     """(key, part, level, run): keys that a run's digest does not rule out."""
     spark = new.sparkSession
     asked = F.explode(F.array(*[F.struct(*[F.lit(v).alias(n) for n, v in run._asdict().items()]) for run in known])).alias("r")
-    tried = new.select(key, "part", asked).select(key, "part", F.col("r.level").alias("level"), F.col("r.number").alias("run"), _bucket(key, F.col("r.buckets")).alias("bucket"))
+    tried = new.select(key, "part", asked).select(key, "part", F.col("r.level").alias("level"), F.col("r.number").alias("run"), bucket(key, F.col("r.buckets")).alias("bucket"))
     paths = [f"{path}/_digests/level={r.level}/run={r.number}/buckets={r.buckets}" for r in known]
     digests = spark.read.schema(f"{_BITS}, level int, run int").option("basePath", f"{path}/_digests").parquet(*paths).select("part", "bucket", "bits", "level", "run")
-    first, second = _places(key)
-    met = tried.join(digests, ["level", "run", "part", "bucket"])
-    return met.where(_is_set("bits", first) & _is_set("bits", second)).select(key, "part", "level", "run")
+    return tried.join(digests, ["level", "run", "part", "bucket"]).where(may_hold(key)).select(key, "part", "level", "run")
 
 
 def parts_to_open(found: DataFrame, path: str) -> list[str]:
