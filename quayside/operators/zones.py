@@ -12,6 +12,7 @@ from quayside.session import pin
 
 GRAM_CHARS = 4
 BLOCK_CHARS = 256
+KEY_RUNS = 64
 
 
 def with_zone(df: DataFrame, region: str = "region", mode: str = "compat", rules: Rules = ZONE_RULES) -> DataFrame:
@@ -28,7 +29,8 @@ def match_rules(df: DataFrame, region: str, rules: DataFrame) -> DataFrame:
 
     Each distinct text is matched once, by a positional index: a keyword inside a text has its rarest run of
     characters there, and a text inside a keyword likewise. What meets on such a run is
-    verified at the one place it can be, so no text is compared with all rules.
+    verified at the one place it can be, so no text is compared with all rules. Zones come back to the rows by the
+    texts' digests.
     """
     text = place_of(region)
     places = pin(df.where(F.col(region) != "").select(text.alias("_text")).distinct().withColumn("_id", F.monotonically_increasing_id()))
@@ -37,9 +39,10 @@ def match_rules(df: DataFrame, region: str, rules: DataFrame) -> DataFrame:
     inside_text = _holding(texts, words).toDF("_id", "_rule")
     inside_word = _holding(words, texts).toDF("_rule", "_id").select("_id", "_rule")
     hits = inside_text.unionByName(inside_word).join(rules.select("_rule", "priority", "zone"), "_rule")
-    best = hits.groupBy("_id").agg(F.min_by("zone", "priority").alias("_zone")).join(places, "_id").select("_text", "_zone")
-    keyed = df.withColumn("_text", F.when(F.col(region) != "", text))
-    return attach(keyed, best, ["_text"]).withColumn("zone", F.coalesce("_zone", F.lit(UNSPECIFIED))).drop("_text", "_zone")
+    named = places.select("_id", F.sha2("_text", 256).alias("_key"))
+    best = hits.groupBy("_id").agg(F.min_by("zone", "priority").alias("_zone")).join(named, "_id").select("_key", "_zone")
+    keyed = df.withColumn("_key", F.when(F.col(region) != "", F.sha2(text, 256)))
+    return attach(keyed, best, ["_key"]).withColumn("zone", F.coalesce("_zone", F.lit(UNSPECIFIED))).drop("_key", "_zone")
 
 
 def _grams(rows: DataFrame, sizes: list[int]) -> DataFrame:
@@ -49,9 +52,7 @@ def _grams(rows: DataFrame, sizes: list[int]) -> DataFrame:
     text costs no more than one at its beginning. The rows carry no text but the gram. Length 0 is the
     empty run that every text has, once.
     """
-    most = max(sizes, default=0)
-    pattern = f"(?s)(?=(.{{1,{BLOCK_CHARS + max(most, 1) - 1}}})).{{1,{BLOCK_CHARS}}}"
-    blocks = rows.select("a", F.posexplode(F.regexp_extract_all("s", F.lit(pattern), F.lit(1))).alias("number", "block"))
+    blocks = _blocks(rows, max(sizes, default=1) - 1 if any(sizes) else 0)
     places = blocks.select("a", "number", "block", F.explode(F.sequence(F.lit(1), F.least(F.length("block"), F.lit(BLOCK_CHARS)))).alias("at"))
     lengths = F.explode(F.array(*[F.lit(n) for n in sizes if n]).cast("array<int>")).alias("size")
     runs = places.select("a", "number", "block", "at", lengths).where(F.col("at") + F.col("size") - 1 <= F.length("block"))
@@ -59,29 +60,58 @@ def _grams(rows: DataFrame, sizes: list[int]) -> DataFrame:
     return grams.unionByName(rows.select("a", F.lit("").alias("gram"), F.lit(1).alias("at"))) if 0 in sizes else grams
 
 
+def _runs(pieces: DataFrame) -> DataFrame:
+    """(b, gram, offset, tried, length): of each piece's runs of GRAM_CHARS, or itself where it is shorter, at most about KEY_RUNS, evenly spaced.
+
+    A piece may be keyed by any of its runs, so a long one needs no more to find a rare one.
+    """
+    size = F.least(F.length("s"), F.lit(GRAM_CHARS))
+    last = F.greatest(F.length("s") - size + 1, F.lit(1))
+    step = F.ceil(last / F.lit(KEY_RUNS)).cast("int")
+    offsets = pieces.select("a", "s", size.alias("size"), F.sequence(F.lit(1), last, step).alias("offsets"))
+    each = offsets.select("a", "s", "size", F.size("offsets").alias("tried"), F.explode("offsets").alias("offset"))
+    return each.select(F.col("a").alias("b"), F.substring("s", F.col("offset"), F.col("size")).alias("gram"), "offset", "tried", F.length("s").alias("length"))
+
+
+def _blocks(rows: DataFrame, more: int) -> DataFrame:
+    """(a, number, block): the texts of ``rows`` (a, s) in blocks of BLOCK_CHARS, each with up to ``more`` characters of what follows."""
+    pattern = f"(?s)(?=(.{{1,{BLOCK_CHARS + more}}})).{{1,{BLOCK_CHARS}}}"
+    return rows.select("a", F.posexplode(F.regexp_extract_all("s", F.lit(pattern), F.lit(1))).alias("number", "block"))
+
+
 def _holding(wholes: DataFrame, pieces: DataFrame) -> DataFrame:
     """Pairs (whole, piece) of ids where the text of one contains that of the other. Both have columns (a, s).
 
     A positional index of short runs of characters: of its runs of GRAM_CHARS (or itself, where it is shorter) each piece is
     keyed by the one that is rarest among the wholes, with its place inside the piece. A whole that has that run
     somewhere can hold the piece at one place only, which is verified. A piece with a run that no whole
-    has is out before that. Postings are an id, a run and a place; the texts meet candidates alone.
+    has is out before that, and one longer than all wholes before it is cut into runs. Postings are an id, a run and a
+    place. A piece that is one run needs no verification; others meet blocks of the wholes' texts, each block
+    only where a candidate begins, or one of its further stretches of BLOCK_CHARS.
     """
-    size = F.least(F.length("s"), F.lit(GRAM_CHARS))
-    sizes = sorted(r["size"] for r in pieces.select(size.alias("size")).distinct().collect() if r["size"] is not None)
-    own = pieces.select("a", "s", size.alias("size"))
-    keyed = _grams(own, sizes).join(own.select("a", "size", F.length("s").alias("length")), "a").where(F.length("gram") == F.col("size"))
-    keyed = keyed.select(F.col("a").alias("b"), "gram", F.col("at").alias("offset"), (F.col("length") - F.col("size") + 1).alias("runs"))
-    postings = pin(_grams(wholes, sizes).join(keyed.select("gram"), "gram", "left_semi"))
+    longest = wholes.agg(F.max(F.length("s"))).first()[0]
+    pieces = pieces.where(F.length("s") <= F.lit(longest))
+    # Keys, candidates and hits are tables whose size is known: small ones go to the texts, and no text's runs are shuffled to meet them.
+    keyed = pin(_runs(pieces))
+    told = keyed.agg(F.max("length").alias("most"), F.collect_set(F.length("gram")).alias("sizes")).first()
+    postings = pin(_grams(wholes, sorted(told["sizes"])).join(pin(keyed.select("gram").distinct()), "gram", "left_semi"))
     counts = postings.groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
     rarest = keyed.join(counts, "gram").groupBy("b").agg(
-        F.min(F.struct("n", "offset", "gram")).alias("seed"), F.count(F.lit(1)).alias("found"), F.max("runs").alias("runs"))
-    seeds = rarest.where("found = greatest(runs, 1)").select("b", F.col("seed")["gram"].alias("gram"), F.col("seed")["offset"].alias("offset"))
-    start = (F.col("at") - F.col("offset") + 1).alias("start")
-    candidates = postings.join(seeds, "gram").where("at >= offset").select("a", "b", start)
-    texts, parts = wholes.select("a", F.col("s").alias("whole")), pieces.select(F.col("a").alias("b"), F.col("s").alias("piece"))
-    here = F.substring("whole", F.col("start"), F.length("piece")) == F.col("piece")
-    return candidates.join(parts, "b").join(texts, "a").where(here).select("a", "b").distinct()
+        F.min(F.struct("n", "offset", "gram")).alias("seed"), F.count(F.lit(1)).alias("found"), F.max("tried").alias("tried"), F.max("length").alias("length"))
+    seeds = pin(rarest.where("found = tried").select("b", F.col("seed")["gram"].alias("gram"), F.col("seed")["offset"].alias("offset"), "length"))
+    sure = postings.join(seeds.where(F.col("length") <= GRAM_CHARS), "gram").select("a", "b").distinct()
+    start = (F.col("at") - F.col("offset")).alias("start")
+    candidates = postings.join(seeds.where(F.col("length") > GRAM_CHARS), "gram").where("at >= offset").select("a", "b", start)
+    parts = pieces.where(F.length("s") > GRAM_CHARS).select(
+        F.col("a").alias("b"), F.posexplode(F.regexp_extract_all("s", F.lit(f"(?s).{{1,{BLOCK_CHARS}}}"), F.lit(0))).alias("part", "chunk"))
+    parts = pin(parts.join(seeds.select("b", F.ceil(F.col("length") / F.lit(BLOCK_CHARS)).alias("parts")), "b"))
+    begun = candidates.join(parts, "b").withColumn("from", F.col("start") + F.col("part") * BLOCK_CHARS)
+    looked = pin(begun.select(
+        "a", "b", "start", "parts", "chunk", F.expr(f"int(from div {BLOCK_CHARS})").alias("number"), (F.col("from") % BLOCK_CHARS + 1).cast("int").alias("here")))
+    blocks = _blocks(wholes, min(told["most"] or 1, BLOCK_CHARS) - 1)
+    met = blocks.join(looked, ["a", "number"]).where(F.substring("block", F.col("here"), F.length("chunk")) == F.col("chunk"))
+    verified = met.groupBy("a", "b", "start", "parts").agg(F.count(F.lit(1)).alias("n")).where("n = parts").select("a", "b").distinct()
+    return sure.unionByName(verified)
 
 
 def with_coordinates(df: DataFrame) -> DataFrame:

@@ -54,3 +54,22 @@ def test_rarest_run_is_the_key(spark):
     wholes = [f"port of {i:04d}" for i in range(1000)]
     pieces = ["port of 0007", "port of 9999", "port of 00"]
     assert held(spark, wholes, pieces) == plain(wholes, pieces)
+
+
+def test_pieces_longer_than_blocks_and_than_key_runs(spark):
+    r = random.Random(4)
+    wholes = ["".join(r.choice("abcd") for _ in range(n)) for n in (3000, 900, 700)]
+    pieces = [w[at:at + n] for w in wholes for at, n in ((0, 700), (37, 513), (150, 512), (255, 257))]
+    pieces += [p[:400] + ("b" if p[400] == "a" else "a") + p[401:] for p in pieces if len(p) > 400] + ["x" * 3001]
+    assert held(spark, wholes, pieces) == plain(wholes, pieces)
+
+
+def test_long_texts_are_not_cut_into_runs(spark, monkeypatch):
+    """Texts longer than all keywords are in none; of a long text that may be in one, a bounded number of runs is tried."""
+    seen, runs = [], zones._runs
+    monkeypatch.setattr(zones, "_runs", lambda pieces: seen.append(runs(pieces)) or seen[-1])
+    rows = spark.createDataFrame([(i, f"{i} " + "cargo for Singapore and Lagos " * 40) for i in range(50)], "id long, region string")
+    rules = spark.createDataFrame([(1, "singapore", "A"), (2, "lagos", "B")], "priority int, keyword string, zone string")
+    assert {x.zone for x in zones.match_rules(rows, "region", rules).collect()} == {"A"}
+    assert [s.count() for s in seen] == [8, 0]
+    assert runs(spark.createDataFrame([(1, "ab" * 5000)], "a long, s string")).count() <= zones.KEY_RUNS
