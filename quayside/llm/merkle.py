@@ -56,7 +56,7 @@ class Block:
 
 
 def copied_path(node: str, places: list[int], runs: list[str]) -> list[str]:
-    """The nodes that a version with ``node`` at the path's start has of its own: itself and its new ancestors."""
+    """The nodes on the way up from ``node``, folded with the path's siblings: what a version with ``node`` at its start has of its own."""
     out = [node]
     for at, run in zip(places, runs):
         out.append(digest(run[:HEX * at] + out[-1] + run[HEX * (at + 1):]))
@@ -122,8 +122,8 @@ def manifest(docs: DataFrame, changed: Column, proofs: bool = False) -> DataFram
 
     Where ``changed`` holds, the text's A-Z are lower-cased: the changed leaf starts a version. A version shares all base
     nodes but those on its leaf's path: ``copied`` holds its new nodes from leaf to root, null where nothing is changed.
-    ``folded_root`` is the version's root, or the base tree's; ``verified`` says whether it equals the root. A
-    changed row without capitals has an equal leaf, a version of equal digests, and is verified.
+    ``folded_root`` is recomputed for every row, from its leaf (the changed one, if any) and the siblings on its way up;
+    ``verified`` says whether it equals the root. A changed row without capitals has an equal leaf, a version of equal digests, and is verified.
 
     Null fields count as ``-``; repeated rows are leaves side by side; other columns are ignored; an empty table gives an empty one.
 
@@ -156,12 +156,14 @@ def manifest(docs: DataFrame, changed: Column, proofs: bool = False) -> DataFram
     def finish(frame: pd.DataFrame, base: Block, path) -> pd.DataFrame:
         upper = list(path["places"]), list(path["runs"])
         rest = siblings(*upper)
-        proof, copied = [], []
+        proof, copied, folded = [], [], []
         for i, other in enumerate(frame["other"]):
             places, runs = base.path(i)
             proof.append(siblings(places, runs) + rest)
-            copied.append(copied_path(other, places + upper[0], runs + upper[1]) if isinstance(other, str) else None)
-        folded = [c[-1] if c else root for c in copied]
+            changed = isinstance(other, str)
+            way = copied_path(other if changed else frame["node"].iloc[i], places + upper[0], runs + upper[1])
+            copied.append(way if changed else None)
+            folded.append(way[-1])
         return pd.DataFrame({
             "doc_id": frame["doc_id"], "source": frame["source"], "place": frame["place"], "leaf": frame["node"], "subroot": path["subroot"],
             "root": root, "proof_sha256": [digest(p) for p in proof], "copied": copied, "folded_root": folded, "verified": [f == root for f in folded],

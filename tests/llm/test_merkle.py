@@ -94,3 +94,18 @@ def test_a_version_copies_its_way_up_and_nothing_else(spark):
     assert got[300].copied == [new[k][300 // 16**k] for k in range(len(new))] and not got[300].verified
     assert sum(a != b for old, now in zip(base, new) for a, b in zip(old, now)) == len(got[300].copied)
     assert all(r.verified and h(r.proof) == r.proof_sha256 for i, r in got.items() if i != 300)
+
+
+def test_unchanged_leaves_are_folded_too(spark, monkeypatch):
+    """A root is recomputed from every leaf: with a fold that is wrong, no row is verified."""
+    rows = [(i, "Text", "en", "a" if i < 40 else "b", 4) for i in range(60)]
+    frame = spark.createDataFrame(rows, x.SCHEMA)
+    assert all(r.verified and r.folded_root == r.root for r in merkle.manifest(frame, F.lit(False)).collect())
+
+    def wrong(node, places, runs):
+        return [node, "0" * 64]
+
+    monkeypatch.setattr(merkle, "copied_path", wrong)
+    got = merkle.manifest(frame, F.col("doc_id") == 3).collect()
+    assert {(r.folded_root, r.verified) for r in got} == {("0" * 64, False)}
+    assert [r.doc_id for r in got if r.copied] == [3]
