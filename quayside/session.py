@@ -41,6 +41,14 @@ def prepare(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def bounded_batches(spark: SparkSession) -> SparkSession:
+    """Python workers get batches bounded in rows and in bytes: one batch never holds many long texts."""
+    prepare(spark)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "500")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(4 << 20))
+    return spark
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
     """Use the shared folder named by spark.checkpoint.dir.
 

@@ -22,12 +22,16 @@ from pyspark.sql import types as T
 from quayside.functions.dates import received_at
 from quayside.functions.ids import stable_id
 from quayside.functions.text import html_to_text, is_blank, is_message_name, join_non_empty, part_filename
+from quayside.session import bounded_batches
 
 # --- Fixed values: part types treated as attached messages --------------------------------
 MESSAGE_TYPES = ["message/rfc822", "message/delivery-status"]
 
 FILE_SCHEMA = "path string, modificationTime timestamp, length long, content binary"
 HEADERS = ["message_id", "subject", "sender", "date_header"]
+PARSED = ["path", "message_id", "parts"]
+# Bytes of messages after which a worker passes on what it has parsed.
+PIECE_BYTES = 2 << 20
 PARSED_SCHEMA = (
     "path string, message_id string, parts array<struct<part_index:int, content_type:string, filename:string, "
     "leaves:array<struct<content_type:string, text:string>>>>"
@@ -104,13 +108,18 @@ def _parts(message: Message) -> Iterator[dict]:
 
 
 def _parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """One message is parsed at a time, and what was parsed leaves in pieces: a worker holds neither all messages of a batch nor all their parts."""
     for batch in batches:
-        messages = [message_from_bytes(content) for content in batch["content"]]
-        yield pd.DataFrame({
-            "path": batch["path"],
-            "message_id": [_message_id(message, path) for message, path in zip(messages, batch["path"])],
-            "parts": [list(_parts(message)) for message in messages],
-        })
+        rows, held = [], 0
+        for path, content in zip(batch["path"], batch["content"]):
+            message = message_from_bytes(content)
+            rows.append((path, _message_id(message, path), list(_parts(message))))
+            held += len(content)
+            if held >= PIECE_BYTES:
+                yield pd.DataFrame(rows, columns=PARSED)
+                rows, held = [], 0
+        if rows:
+            yield pd.DataFrame(rows, columns=PARSED)
 
 
 def _header_block(content: Column) -> Column:
@@ -136,6 +145,7 @@ def _headers(paths: pd.Series, blocks: pd.Series) -> pd.DataFrame:
 def with_headers(messages: DataFrame) -> DataFrame:
     """Add the decoded headers to (path, content) rows. Bodies are not parsed for this, so
     messages can be chosen by sender or subject before the full parse."""
+    bounded_batches(messages.sparkSession)
     # Non-deterministic to the optimizer, so that a filter on a header does not decode it again.
     decode = _headers.asNondeterministic()
     return messages.withColumn("_h", decode("path", _header_block(F.col("content")))).select(*messages.columns, "_h.*")
@@ -143,6 +153,7 @@ def with_headers(messages: DataFrame) -> DataFrame:
 
 def parse_messages(messages: DataFrame) -> DataFrame:
     """One row per message of (path, content) rows, with its MIME parts in walk order."""
+    bounded_batches(messages.sparkSession)
     return messages.select("path", "content").mapInPandas(_parse, PARSED_SCHEMA)
 
 

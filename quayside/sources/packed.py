@@ -19,6 +19,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 
+from quayside.session import bounded_batches
+
 FORMAT = "message_archives"
 SCHEMA = "path string, content binary"
 SPLIT_BYTES = 64 << 20
@@ -206,4 +208,5 @@ def write_message_archives(messages: DataFrame, folder: str, name: str = "part",
             finish()
         yield pa.RecordBatch.from_arrays([pa.array([m[i] for m in made], t) for i, t in enumerate((pa.string(), pa.int64(), pa.int64()))], ["archive", "messages", "bytes"])
 
+    bounded_batches(messages.sparkSession)
     return messages.select("path", "content").mapInArrow(run, "archive string, messages long, bytes long")

@@ -197,3 +197,36 @@ def test_repeats_in_one_batch(spark, folder, limit):
     paths = superseded_paths(m.with_headers(both))
     assert [r.path for r in without_paths(both, paths).collect()] == ["z/later"]
     spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_a_worker_holds_a_bounded_piece_of_a_batch(spark):
+    """Parsed messages leave in pieces by their bytes, and batches themselves are bounded, whatever the table's size."""
+    import pandas as pd
+
+    text = outer("<m>", MIMEMessage(inner("x" * 40_000))).as_bytes()
+    batch = pd.DataFrame({"path": [f"p{i}" for i in range(300)], "content": [text] * 300})
+    pieces = list(m._parse(iter([batch])))
+    assert [p for piece in pieces for p in piece["path"]] == list(batch["path"])
+    assert max(len(piece) for piece in pieces) * len(text) < m.PIECE_BYTES + len(text)
+    rows = spark.range(0, 3000, 1, 1).select(F.concat(F.lit("p"), "id").alias("path"), F.lit(text).alias("content"))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")
+    m.parse_messages(rows)
+    sizes = rows.mapInPandas(lambda batches: (pd.DataFrame({"n": [len(b)]}) for b in batches), "n int")
+    assert sizes.agg(F.max("n")).first()[0] <= 500
+
+
+def test_archives_are_written_by_as_many_tasks_as_the_table_has_splits(spark, tmp_path, monkeypatch):
+    from quayside.catalogue import messages as catalogue
+
+    docs = spark.range(60).select(F.col("id").alias("doc_id"), F.repeat(F.lit("text "), 50).alias("text"), F.lit("en").alias("lang"), F.lit("s").alias("source"))
+    docs.repartition(12).write.option("maxRecordsPerFile", 5).parquet(str(tmp_path / "documents.parquet"))
+    seen, write = [], catalogue.write_message_archives
+    monkeypatch.setattr(catalogue, "write_message_archives", lambda messages, *rest: seen.append(messages.rdd.getNumPartitions()) or write(messages, *rest))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+    spark.conf.set("spark.sql.files.openCostInBytes", "4096")
+    try:
+        assert catalogue.packed_message_parts(spark, str(tmp_path)).count() == 120
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    assert seen[0] >= 12
