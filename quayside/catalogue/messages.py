@@ -69,9 +69,9 @@ def message_parts(spark, sf):
 
 @query(_PARTS_SQL)
 def packed_message_parts(spark, sf):
-    """The messages written to archives and read back in splits much smaller than an archive."""
+    """The messages written to archives, where they are read and made, and read back in splits much smaller than an archive."""
     folder = shared_path(spark, "archives")
-    write_message_archives(document_messages(spark, sf).repartition(4), folder).count()
+    write_message_archives(document_messages(spark, sf), folder).count()
     return _told(ingest(read_message_archives(spark, folder, split_bytes=1 << 20)))
 
 
