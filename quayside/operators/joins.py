@@ -14,6 +14,8 @@ from quayside.operators.numbering import number_rows
 from quayside.session import pin
 
 CHILDREN_PER_ROW = 1_000
+# Children of one parent that are gathered in one array before it is cut into chunks.
+GATHERED = 1_000
 
 
 def attach(rows: DataFrame, per_key: DataFrame, on: list[str], how: str = "left", nulls: bool = False) -> DataFrame:
@@ -58,8 +60,8 @@ def nest_children(
 
     A parent with more than ``per_row`` children continues on further rows (``chunk`` 1, 2, ...),
     so no array grows with the data. Chunks follow the children's rank, whatever their
-    positions; children without a position come last. Only children of such parents are ranked
-    by a sort over all of them; the others are gathered by key and sorted there.
+    positions; children without a position come last. Children are gathered by key, sorted there and cut into chunks; only those of
+    parents with more than GATHERED (or ``per_row``) children are ranked by a sort over all of them.
     """
     others = [f for f in fields if f != position]
     rows = children.where(F.col(key).isNotNull()).select(key, position, *others)
@@ -75,17 +77,23 @@ def nest_children(
         found = df.groupBy(key, *by).agg(F.array_sort(F.collect_list(item)).alias("_items"))
         return found.withColumn(name, F.transform("_items", lambda i: F.struct(i[position].alias(position), *[whole(i, f) for f in others])))
 
+    def cut(df: DataFrame) -> DataFrame:
+        """Chunks of ordered arrays: a parent's children are sorted where they are gathered, so their ranks are their places."""
+        starts = F.posexplode(F.sequence(F.lit(1), F.size(name), F.lit(per_row))).alias("chunk", "_from")
+        return df.select(key, name, starts).select(key, F.col("chunk").cast("long").alias("chunk"), F.slice(name, F.col("_from"), F.lit(per_row)).alias(name))
+
+    most = max(per_row, GATHERED)
     sizes = rows.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
-    large = sizes.where(F.col("_n") > per_row).select(key)
+    large = sizes.where(F.col("_n") > most).select(key)
     if large.isEmpty():
-        nested = gathered(rows).select(key, F.lit(0).cast("long").alias("chunk"), name)
+        nested = cut(gathered(rows))
     else:
-        # A key with more children than one row takes needs their rank; the others are sorted where they are gathered.
+        # A parent with more children than one task should gather needs their ranks from a sort over all of them.
         large = pin(large)
         order = [F.col(position).asc_nulls_last(), *sortable.values()]
         ranked = number_rows(selected(rows, large, key), [key], order, "_rank")
         chunked = gathered(ranked, F.floor((F.col("_rank") - 1) / F.lit(per_row)).alias("chunk")).select(key, "chunk", name)
-        nested = chunked.unionByName(gathered(without_removed(rows, large, key)).select(key, F.lit(0).cast("long").alias("chunk"), name))
+        nested = chunked.unionByName(cut(gathered(without_removed(rows, large, key))))
     empty = F.array().cast(nested.schema[name].dataType)
     return parents.join(nested, key, "left").withColumns({
         "chunk": F.coalesce("chunk", F.lit(0).cast("long")),

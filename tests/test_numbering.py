@@ -86,6 +86,23 @@ def test_children_of_small_parents_are_not_sorted_globally(spark):
     assert split.agg(F.max(F.size("c"))).first()[0] == 3
 
 
+def test_chunks_of_gathered_parents_need_no_global_sort(spark, monkeypatch):
+    """Two children a row: parents of a few children are cut where they are gathered, and equal those ranked by the sort."""
+    parents = spark.range(6).withColumnRenamed("id", "p")
+    rows = [(i % 5, None if i % 7 == 0 else i % 4, f"r{i}" if i % 9 else None, {"k": str(i)}) for i in range(61)] + [(None, 1, "x", {})]
+    children = spark.createDataFrame(rows, "p long, at int, r string, m map<string,string>").repartition(3)
+
+    def nest(most):
+        monkeypatch.setattr(joins, "GATHERED", most)
+        return joins.nest_children(parents, children, "p", "at", ["r", "m"], "c", per_row=2)
+
+    cut = nest(1000)
+    assert "rangepartitioning" not in plan_of(cut)
+    rows = sorted((q.p, q.chunk, str(q.c)) for q in cut.collect())
+    assert [r[:2] for r in rows if r[0] == 5] == [(5, 0)] and len(rows) == 4 * 6 + 7 + 1
+    assert rows == sorted((q.p, q.chunk, str(q.c)) for q in nest(2).collect())
+
+
 def test_text_is_there_once_per_chunk_of_records(spark):
     attachments = spark.createDataFrame([("a", "f", "long text"), ("b", "g", None)], "attachment_id string, filename string, raw_text string")
     records = spark.createDataFrame(
