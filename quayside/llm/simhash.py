@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -29,11 +29,16 @@ def fingerprint(text: bytes, words: int = 3) -> int:
         return 0
     spans = zip(*(found[i:] for i in range(words))) if len(found) >= words else [tuple(found)]
     shingles = [b" ".join(s) for s in spans]
+    hashes = (np.array([xxhash.xxh64_intdigest(s, SEED) for s in shingles[at:at + _CHUNK]], np.uint64) for at in range(0, len(shingles), _CHUNK))
+    return _majority(hashes, len(shingles))
+
+
+def _majority(chunks: Iterable[np.ndarray], number: int) -> int:
+    """Signed 64 bits, each set if it is set in over half of ``number`` hashes."""
     counts = np.zeros(BITS, np.int64)
-    for at in range(0, len(shingles), _CHUNK):
-        hashes = np.array([xxhash.xxh64_intdigest(s, SEED) for s in shingles[at:at + _CHUNK]], np.uint64)
+    for hashes in chunks:
         counts += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * counts > len(shingles), bitorder="little").view(np.int64)[0])
+    return int(np.packbits(2 * counts > number, bitorder="little").view(np.int64)[0])
 
 
 def fingerprints(docs: DataFrame, words: int = 3) -> DataFrame:
@@ -214,6 +219,10 @@ class _Nodes:
     def close(self) -> Column:
         return _lanes_apart("a", "b") <= _allowed(self.similarity)
 
+    def near(self, pairs: DataFrame) -> DataFrame:
+        """The (a, b) of ``pairs`` whose sketches are near."""
+        return self.sketched(self.sketched(pairs, "a"), "b").where(self.close()).select("a", "b")
+
     def links(self, pairs: DataFrame) -> DataFrame:
         """The (a, b) of ``pairs`` whose sets are similar enough, pinned. Pairs should be near by their sketches."""
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -229,6 +238,22 @@ class _Nodes:
             sets.select(F.col("node").alias("b"), F.col("shingles").alias("v")), "b")
         return pin(met.select("a", "b", "u", "v").mapInArrow(run, "a long, b long"))
 
+    def print_links(self, distance: int) -> DataFrame:
+        """Links (a, b) found by SimHash: nodes with one fingerprint, and the first ones of fingerprints that share blocks and differ in up to ``distance`` bits."""
+        def ends(a: str, b: str) -> list[Column]:
+            return [F.greatest(a, b).alias("a"), F.least(a, b).alias("b")]
+
+        with recorded_paths() as made:
+            heads = pin(self.nodes.groupBy("fingerprint").agg(F.min("node").alias("head")))
+            equal = self.nodes.select("node", "fingerprint").join(heads, "fingerprint").where("node <> head").select(*ends("node", "head"))
+            of = [heads.select(F.col("fingerprint").alias(c), F.col("head").alias(f"head_{c}")) for c in "ab"]
+            apart = close_pairs(heads.select("fingerprint"), distance).join(of[0], "a").join(of[1], "b").select(*ends("head_a", "head_b"))
+            found = self.links(self.near(equal.union(apart).distinct()))
+        # The last table holds the links.
+        for path in made[:-1]:
+            remove(self.nodes.sparkSession, path)
+        return found
+
     def family_links(self, members: DataFrame) -> DataFrame:
         """Links (a, b) between members (hub, node, component, n) of one hub that are in different components, pinned.
 
@@ -267,15 +292,18 @@ def _jaccard(u: np.ndarray, v: np.ndarray) -> float:
     return both / max(1, len(u) + len(v) - both)
 
 
-def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8, bands: int = 32, rows: int = 6) -> DataFrame:
+def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8, bands: int = 32, rows: int = 6, distance: int = 2) -> DataFrame:
     """(doc_id, component_id) for every row of ``docs`` (doc_id, text): groups of near-copies.
 
     Texts are linked whose sets of ``words``-word shingles (as 32-bit hashes) have a Jaccard similarity of ``similarity`` or
-    more. Equal sets are one node; texts without words are one node too, linked with nothing else. Nodes that share all minima
-    of a band are a block, and may be linked; at a similarity of 0.8, 32 bands of 6 miss a link with a probability of 6e-5.
+    more. Equal sets are one node; texts without words are one node too, linked with nothing else.
+
+    First comes SimHash: a node's fingerprint has the bits that are set in over half of its shingles' hashes. Fingerprints that differ in up to
+    ``distance`` bits meet by blocks (``close_pairs``), and those whose sets are similar are linked. Sets at a similarity of 0.8 mostly differ in more bits than any
+    blocks of 64 can be asked for, so what is not yet connected is looked for by minima: nodes that share all minima of a band are a block, and may be linked; at a similarity of 0.8, 32 bands of 6 miss a link with a probability of 6e-5.
 
-    A block's leader is the member that shares most blocks with others: of edited copies, the original. First every member meets
-    the leaders of its blocks, and links make components. A node's hub is the foremost of its leaders. Then members of one hub in
+    A block's leader is the member that shares most blocks with others: of edited copies, the original. Every member meets
+    the leaders of its blocks that are in other components, and links make components. A node's hub is the foremost of its leaders. Then members of one hub in
     different components are compared, and members of a block with different hubs and components; pairs inside a
     component need no comparison. Candidates pass if the sketches of their minima are near, and are linked if the sets are similar.
     So the number of pairs of rows follows the number of nodes, not the square of a group; a hub with more than LARGE_BLOCK
@@ -289,15 +317,20 @@ def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8, ba
             found = [shingle_hashes(t.as_py(), words) for t in batch.column(1)]
             lowest = [_minima(f, bands * rows) for f in found]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([_node(f) for f in found], pa.int64()), pa.array([_band_keys(x, bands, rows) for x in lowest], pa.list_(pa.int64())),
+                [batch.column(0), pa.array([_node(f) for f in found], pa.int64()), pa.array([_majority([f], len(f)) for f in found], pa.int64()), pa.array([_band_keys(x, bands, rows) for x in lowest], pa.list_(pa.int64())),
                  pa.array([_sketch(x) if len(x) else [0] * SKETCH for x in lowest], pa.list_(pa.int64())),
-                 pa.array([np.unique((f >> np.uint64(32)).astype(np.uint32)).tobytes() for f in found], pa.binary())], ["doc_id", "node", "keys", "sketch", "shingles"])
+                 pa.array([np.unique((f >> np.uint64(32)).astype(np.uint32)).tobytes() for f in found], pa.binary())], ["doc_id", "node", "fingerprint", "keys", "sketch", "shingles"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     signed = pin(docs.select("doc_id", bytes_of("text").alias("text")).mapInArrow(
-        run, f"doc_id {kind}, node long, keys array<long>, sketch array<long>, shingles binary").withColumn("row", F.monotonically_increasing_id()))
-    nodes = pin(signed.groupBy("node").agg(F.min("doc_id").alias("first"), F.min("row").alias("row"), F.any_value("keys").alias("keys"), F.any_value("sketch").alias("sketch")))
+        run, f"doc_id {kind}, node long, fingerprint long, keys array<long>, sketch array<long>, shingles binary").withColumn("row", F.monotonically_increasing_id()))
+    nodes = pin(signed.groupBy("node").agg(F.min("doc_id").alias("first"), F.min("row").alias("row"), F.any_value("fingerprint").alias("fingerprint"), F.any_value("keys").alias("keys"), F.any_value("sketch").alias("sketch")))
     every = _Nodes(signed, nodes, similarity)
+    printed = every.print_links(distance)
+    first = pin(components(printed))
+
+    def component(end: str) -> Column:
+        return F.coalesce(f"component_{end}", end)
 
     keyed = nodes.select("node", F.explode("keys").alias("key"))
     blocks = pin(keyed.groupBy("key").agg(F.count("*").alias("members")).where("members > 1"))
@@ -309,7 +342,9 @@ def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8, ba
     hubs = pin(met.groupBy("node").agg(F.max("leader")["node"].alias("hub")))
 
     pairs = met.where("node <> to").select(F.greatest("node", "to").alias("a"), F.least("node", "to").alias("b")).distinct()
-    links = every.links(every.sketched(every.sketched(pairs, "a"), "b").where(every.close()).select("a", "b"))
+    for end in "ab":
+        pairs = pairs.join(first.select(F.col("node").alias(end), F.col("component").alias(f"component_{end}")), end, "left")
+    links = printed.union(every.links(every.near(pairs.where(component("a") != component("b")).select("a", "b"))))
 
     linked = pin(components(links))
     placed = pin(hubs.join(linked, "node", "left").select("node", "hub", F.coalesce("component", "node").alias("component")))

@@ -117,3 +117,24 @@ def test_near_copies_by_shingles_against_all_pairs(spark, monkeypatch, limit):
     assert any(tight[a] != tight[b] for a, b in links)
     kept = simhash.distinct_documents(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
     assert {q.doc_id for q in kept.collect()} == set(want.values())
+
+
+def test_near_copies_are_linked_by_fingerprints_first(spark, monkeypatch):
+    """Long texts with one edited word differ in few bits: SimHash links them, whatever the bands find, and only pairs of similar sets."""
+    base = {g: x.prose(70 + g, 900).split() for g in range(4)}
+    texts = {}
+    for g, words in base.items():
+        for k in range(6):
+            edited = list(words)
+            edited[100 * k + 50] = f"e{k}"
+            texts[10 * g + k] = " ".join(edited)
+    frame = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    prints = {i: simhash._majority([h], len(h)) for i, h in ((i, simhash.shingle_hashes(t.encode())) for i, t in texts.items())}
+    close = [(a, b) for a in prints for b in prints if a < b and ((prints[a] ^ prints[b]) % 2**64).bit_count() <= 2]
+    assert len(close) > 10 and all(a // 10 == b // 10 for a, b in close)
+    want = x.smallest_reachable(list(texts), close)
+    monkeypatch.setattr(simhash, "_band_keys", lambda *_: [])
+    alone = {r.doc_id: r.component_id for r in simhash.near_duplicates(frame).collect()}
+    assert alone == want
+    monkeypatch.undo()
+    assert {r.doc_id: r.component_id for r in simhash.near_duplicates(frame).collect()} == {i: i - i % 10 for i in texts}
