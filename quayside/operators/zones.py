@@ -4,15 +4,20 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from quayside.config_tables import UNSPECIFIED, ZONE_RULES
 from quayside.functions.zones import Rules, place_of, zone_coordinate, zone_of_place, zone_or_default, zone_position
 from quayside.operators.joins import attach
+from quayside.operators.runs import holding, run_counts
 from quayside.session import pin
 
 GRAM_CHARS = 4
 BLOCK_CHARS = 256
 KEY_RUNS = 64
+# Pieces of up to so many runs and characters are carried to the wholes; others meet them by joins.
+CARRIED_RUNS = 100_000
+CARRIED_CHARS = 1 << 20
 
 
 def with_zone(df: DataFrame, region: str = "region", mode: str = "compat", rules: Rules = ZONE_RULES) -> DataFrame:
@@ -33,14 +38,16 @@ def match_rules(df: DataFrame, region: str, rules: DataFrame) -> DataFrame:
     texts' digests.
     """
     text = place_of(region)
-    places = pin(df.where(F.col(region) != "").select(text.alias("_text")).distinct().withColumn("_id", F.monotonically_increasing_id()))
+    # Lengths and digests are columns of their own: what asks for them reads no text.
+    told = {"_id": F.monotonically_increasing_id(), "_length": F.length("_text"), "_key": F.sha2("_text", 256)}
+    places = pin(df.where(F.col(region) != "").select(text.alias("_text")).distinct().withColumns(told))
     rules = pin(rules.where(F.col("keyword").isNotNull()).select("priority", "keyword", "zone").withColumn("_rule", F.monotonically_increasing_id()))
-    texts, words = places.select(F.col("_id").alias("a"), F.col("_text").alias("s")), rules.select(F.col("_rule").alias("a"), F.col("keyword").alias("s"))
+    texts = places.select(F.col("_id").alias("a"), F.col("_text").alias("s"), F.col("_length").alias("length"))
+    words = rules.select(F.col("_rule").alias("a"), F.col("keyword").alias("s"))
     inside_text = _holding(texts, words).toDF("_id", "_rule")
     inside_word = _holding(words, texts).toDF("_rule", "_id").select("_id", "_rule")
     hits = inside_text.unionByName(inside_word).join(rules.select("_rule", "priority", "zone"), "_rule")
-    named = places.select("_id", F.sha2("_text", 256).alias("_key"))
-    best = hits.groupBy("_id").agg(F.min_by("zone", "priority").alias("_zone")).join(named, "_id").select("_key", "_zone")
+    best = hits.groupBy("_id").agg(F.min_by("zone", "priority").alias("_zone")).join(places.select("_id", "_key"), "_id").select("_key", "_zone")
     keyed = df.withColumn("_key", F.when(F.col(region) != "", F.sha2(text, 256)))
     return attach(keyed, best, ["_key"]).withColumn("zone", F.coalesce("_zone", F.lit(UNSPECIFIED))).drop("_key", "_zone")
 
@@ -80,7 +87,7 @@ def _blocks(rows: DataFrame, more: int) -> DataFrame:
 
 
 def _holding(wholes: DataFrame, pieces: DataFrame) -> DataFrame:
-    """Pairs (whole, piece) of ids where the text of one contains that of the other. Both have columns (a, s).
+    """Pairs (whole, piece) of ids where the text of one contains that of the other. Both have columns (a, s), and length where it is known.
 
     A positional index of short runs of characters: of its runs of GRAM_CHARS (or itself, where it is shorter) each piece is
     keyed by the one that is rarest among the wholes, with its place inside the piece. A whole that has that run
@@ -88,12 +95,18 @@ def _holding(wholes: DataFrame, pieces: DataFrame) -> DataFrame:
     has is out before that, and one longer than all wholes before it is cut into runs. Postings are an id, a run and a
     place. A piece that is one run needs no verification; others meet blocks of the wholes' texts, each block
     only where a candidate begins, or one of its further stretches of BLOCK_CHARS.
+
+    Pieces that are few enough to be carried are looked for where the wholes are read, by the same runs: none of the wholes' runs becomes a row.
     """
-    longest = wholes.agg(F.max(F.length("s"))).first()[0]
-    pieces = pieces.where(F.length("s") <= F.lit(longest))
+    wholes, pieces = (x if "length" in x.columns else x.withColumn("length", F.length("s")) for x in (wholes, pieces))
+    longest = wholes.agg(F.max("length")).first()[0]
+    pieces = pieces.where(F.col("length") <= F.lit(longest))
     # Keys, candidates and hits are tables whose size is known: small ones go to the texts, and no text's runs are shuffled to meet them.
     keyed = pin(_runs(pieces))
-    told = keyed.agg(F.max("length").alias("most"), F.collect_set(F.length("gram")).alias("sizes")).first()
+    chars = F.sum(F.col("length") / F.col("tried")).alias("chars")
+    told = keyed.agg(F.max("length").alias("most"), F.collect_set(F.length("gram")).alias("sizes"), F.count(F.lit(1)).alias("runs"), chars).first()
+    if told["runs"] <= CARRIED_RUNS and (told["chars"] or 0) <= CARRIED_CHARS:
+        return _holding_carried(wholes, pieces, keyed)
     postings = pin(_grams(wholes, sorted(told["sizes"])).join(pin(keyed.select("gram").distinct()), "gram", "left_semi"))
     counts = postings.groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
     rarest = keyed.join(counts, "gram").groupBy("b").agg(
@@ -114,6 +127,30 @@ def _holding(wholes: DataFrame, pieces: DataFrame) -> DataFrame:
     return sure.unionByName(verified)
 
 
+def _holding_carried(wholes: DataFrame, pieces: DataFrame, keyed: DataFrame) -> DataFrame:
+    """As ``_holding``, for pieces that are carried: the runs are counted in one pass over the wholes, the pieces with their rarest run found in another.
+
+    Equal pieces are looked for once, under a number; their ids come back by a join on it.
+    """
+    spark, whole, piece = wholes.sparkSession, wholes.schema["a"].dataType, pieces.schema["a"].dataType
+    grams: dict[object, list[bytes]] = {}
+    for b, gram in keyed.select("b", F.col("gram").cast("binary")).collect():
+        grams.setdefault(b, []).append(bytes(gram))
+    if not grams:
+        return spark.createDataFrame([], StructType([StructField("a", whole), StructField("b", piece)]))
+    known = sorted({gram for of_piece in grams.values() for gram in of_piece if gram})
+    counts = dict(zip(known, run_counts(wholes, known))) | {b"": 1}
+    seeds = {b: min(of_piece, key=lambda gram: (counts[gram], gram)) for b, of_piece in grams.items()}
+    numbers: dict[bytes, tuple[int, bytes]] = {}
+    ids = []
+    for b, text in pieces.select("a", F.col("s").cast("binary")).collect():
+        if b in seeds and counts[seeds[b]]:
+            ids.append((numbers.setdefault(bytes(text), (len(numbers), seeds[b]))[0], b))
+    named = pin(spark.createDataFrame(ids, StructType([StructField("number", LongType()), StructField("b", piece)])))
+    found = holding(wholes, [(number, text, seed) for text, (number, seed) in numbers.items()])
+    return found.join(named, "number").select("a", "b").distinct()
+
+
 def with_coordinates(df: DataFrame) -> DataFrame:
     """Add latitude and longitude of ``zone``; (0, 0) for an unknown one."""
     return df.withColumns({"lat": zone_coordinate("zone", "lat"), "lng": zone_coordinate("zone", "lng")})
